@@ -13,10 +13,10 @@ from pagesheaf.operators.tokens import html_tokens
 _STYLE_URL = r"""url\(["']?([^"')\s]+)["']?\)"""
 
 
-def _content_tokens(pages: DataFrame, keep_raw: bool = False, cluster: bool = False) -> DataFrame:
+def _content_tokens(pages: DataFrame, keys: list[str], **options) -> DataFrame:
     """Tokens of pages without script and style bodies."""
     bare = pages.withColumn("html", markup.remove_elements(F.col("html"), ["script", "style"]))
-    return html_tokens(bare, cluster=cluster, keep_raw=keep_raw)
+    return html_tokens(bare, keys, **options)
 
 
 def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> DataFrame:
@@ -25,7 +25,7 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
     Emoji images are no assets. One scan of the tokens serves the three passes.
     """
     attrs, tag = F.col("attrs"), F.col("tag")
-    tokens = _content_tokens(pages).where(
+    tokens = _content_tokens(pages.withColumn("base", F.col("url")), ["page_id", "base"]).where(
         (F.col("kind") == "open") & (tag.isin("img", "a") | F.contains(attrs, F.lit("background")))
     )
     style = markup.attr(attrs, "style")
@@ -38,11 +38,12 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
             for n, src in ((1, image), (2, background), (3, anchor))
         ]
     )
-    rows = tokens.select("page_id", "pos", F.explode(refs).alias("ref")).select(
-        "page_id", "ref.pass", "pos", "ref.src"
-    ).where(F.coalesce(F.col("src") != "", F.lit(False)))
-    base = pages.select("page_id", F.col("url").alias("base"))
-    resolved = rows.join(base, "page_id").withColumn("url", urls.resolve_url(F.col("base"), F.col("src"))).drop("base")
+    rows = tokens.select("page_id", "base", "pos", F.explode(refs).alias("ref")).where(
+        F.coalesce(F.col("ref.src") != "", F.lit(False))
+    )
+    resolved = rows.select(
+        "page_id", "ref.pass", "pos", "ref.src", urls.resolve_url(F.col("base"), F.col("ref.src")).alias("url")
+    )
     return resolved.where((F.col("pass") < 3) | urls.is_fetchable_href(F.col("src"), F.col("url"), host_regex))
 
 
@@ -112,7 +113,7 @@ def rewrite_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     spots = assets.where(F.col("rel_path").isNotNull()).groupBy("page_id", "pos").agg(
         *[F.max(F.when(F.col("pass") == n, F.col("rel_path"))).alias(f"rel_{n}") for n in (1, 2, 3)]
     )
-    tokens = _content_tokens(pages, keep_raw=True, cluster=True)
+    tokens = _content_tokens(pages, ["page_id"], keep_raw=True, cluster=True)
     joined = tokens.join(spots, ["page_id", "pos"], "left")
     attrs, raw = F.col("attrs"), F.col("raw")
     is_img = (F.col("kind") == "open") & (F.col("tag") == "img")
