@@ -114,45 +114,48 @@ def link_targets(links: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFra
     return joined.where(F.col("child_id").isNotNull()), joined.where(F.col("child_id").isNull()).drop("child_id")
 
 
-def subdocument_paths(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """``parent_id, pos, url, child_id, child_path`` of every linked stored page."""
-    resolved, _ = link_targets(links, pages)
-    key = urls.page_key(F.col("url"))
+def document_folders(pages: DataFrame) -> DataFrame:
+    """``child_id, folder``: folder and file stem a page gets as a sub-document."""
     title = F.coalesce(
-        blank_to_null(markup.extract_title(F.col("html"))), blank_to_null(key), F.lit(fixed.DEFAULT_SUBDOCUMENT)
+        blank_to_null(markup.extract_title(F.col("html"))),
+        blank_to_null(urls.page_key(F.col("url"))),
+        F.lit(fixed.DEFAULT_SUBDOCUMENT),
     )
     safe = F.coalesce(
         blank_to_null(F.substring(names.sanitize_filename(title), 1, fixed.NAME_LIMIT)),
         F.lit(fixed.DEFAULT_SUBDOCUMENT),
     )
-    folder = pages.select(F.col("page_id").alias("child_id"), safe.alias("folder"))
-    narrow = resolved.select(F.col("page_id").alias("parent_id"), "pos", "url", "child_id")
-    return skew_safe_join(narrow, folder, "child_id", ["parent_id", "pos"]).select(
-        "parent_id",
-        "pos",
-        "url",
-        "child_id",
-        F.concat("folder", F.lit("/"), "folder", F.lit(".md")).alias("child_path"),
-    )
+    return pages.select(F.col("page_id").alias("child_id"), safe.alias("folder"))
 
 
-def subdocuments(links: DataFrame, pages: DataFrame, markdown: DataFrame) -> DataFrame:
-    """``parent_id, pos, child_id, child_path, child_md``: linked pages as files of their parent."""
+def subdocuments(resolved: DataFrame, pages: DataFrame, markdown: DataFrame) -> DataFrame:
+    """``parent_id, pos, url, child_id, child_path, child_md``: linked pages as files of their parent.
+
+    ``resolved`` comes from ``link_targets``, best stored before.
+    """
     texts = markdown.select(F.col("page_id").alias("child_id"), F.col("md").alias("child_md"))
-    return skew_safe_join(subdocument_paths(links, pages), texts, "child_id", ["parent_id", "pos"]).select(
-        "parent_id", "pos", "child_id", "child_path", "child_md"
+    children = document_folders(pages).join(texts, "child_id")
+    narrow = resolved.select(F.col("page_id").alias("parent_id"), "pos", "url", "child_id")
+    path = F.concat("folder", F.lit("/"), "folder", F.lit(".md"))
+    return skew_safe_join(narrow, children, "child_id", ["parent_id", "pos"]).select(
+        "parent_id", "pos", "url", "child_id", path.alias("child_path"), "child_md"
     )
 
 
-def append_subpages(markdown: DataFrame, variants: DataFrame, pages: DataFrame) -> DataFrame:
-    """Append each variant page that is stored: ``page_id, md, n_subpages``.
-
-    The appended text is ordered inside the output document it becomes part of.
-    """
+def variant_targets(variants: DataFrame, pages: DataFrame) -> DataFrame:
+    """Variant links to stored addresses, with ``child_id``; of several copies the lowest id."""
     by_url = first_per_key(
         pages.select(F.col("url").alias("href"), F.col("page_id").alias("child_id")), "href", ["child_id"]
     )
-    resolved = skew_safe_join(variants, by_url, "href", ["page_id", "pos"])
+    return skew_safe_join(variants, by_url, "href", ["page_id", "pos"])
+
+
+def append_subpages(markdown: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Append each stored variant page: ``page_id, md, n_subpages``.
+
+    ``resolved`` comes from ``variant_targets``, best stored before. What is collected per page is
+    the output document itself.
+    """
     texts = markdown.select(F.col("page_id").alias("child_id"), F.col("md").alias("child_md"))
     parts = skew_safe_join(resolved, texts, "child_id", ["page_id", "pos"])
     section = F.concat(F.lit("\n\n---\n\n## Subpage: "), "href", F.lit("\n\n"), "child_md")
@@ -165,7 +168,7 @@ def append_subpages(markdown: DataFrame, variants: DataFrame, pages: DataFrame)
             "md",
             F.coalesce(F.array_join(F.transform("sections", lambda s: s.getField("md")), ""), F.lit("")),
         ).alias("md"),
-        F.coalesce(F.size("sections"), F.lit(0)).alias("n_subpages"),
+        F.when(F.col("sections").isNull(), 0).otherwise(F.size("sections")).alias("n_subpages"),
     )
 
 

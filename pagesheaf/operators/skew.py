@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so at most 1 / SHARE keys are hot.
-HOT_SHARE = 0.001
+# At most this many keys are spread. Every other key holds less than 1 / HOT_KEYS of the rows and
+# is joined as it is, so the list is a matter of balance and never of the result.
+HOT_KEYS = 1000
+HOT_ROWS = 10_000
 SLICES = 64
 
 
-def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1 / share`` rows, whatever the data."""
+def hot_keys(facts: DataFrame, key: str, rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
+    """The keys with most rows, counted with map-side combining: never more than ``most`` of them."""
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col("n") > total * F.lit(share)).select(key)
+    return counts.where(F.col("n") >= rows).orderBy(F.desc("n"), key).limit(most).select(key)
 
 
 def skew_safe_join(
@@ -25,16 +26,16 @@ def skew_safe_join(
     key: str,
     spread_by: list[str],
     how: str = "inner",
-    share: float = HOT_SHARE,
+    rows: int = HOT_ROWS,
     slices: int = SLICES,
 ) -> DataFrame:
     """Join many ``facts`` to a ``lookup`` that is unique on ``key``.
 
     Facts of hot keys are spread over ``slices`` by a hash of ``spread_by``, and only the lookup
-    rows of hot keys are repeated once per slice. The broadcast list of hot keys is bounded by
-    ``1 / share``; every other key is joined as it is.
+    rows of hot keys are repeated once per slice. The broadcast list of hot keys is bounded.
+    ``facts`` is read twice, so it should be a stored or otherwise cheap table of narrow rows.
     """
-    hot = F.broadcast(hot_keys(facts, key, share).withColumn("is_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(facts, key, rows).withColumn("is_hot", F.lit(True)))
     slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
     left = facts.join(hot, key, "left").withColumn("slice", F.when(F.col("is_hot"), slice_no).otherwise(0))
     right = lookup.join(hot, key, "left").withColumn(

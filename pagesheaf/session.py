@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # One hash exchange on the page key must serve every later window, aggregation and join that
 # also has that key; the co-partition switch extends this from windows to joins.
@@ -47,3 +47,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="pagesheaf-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a narrow table to the shared folder and read it back.
+
+    Later stages then neither recompute it nor depend on the executors that made it.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
