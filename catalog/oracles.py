@@ -1 +1,356 @@
-ORACLES = {}
+"""Independent SQL for the registered queries, runnable by DuckDB on the same tables.
+
+Each statement computes the expected result from the rule behind the data, not by repeating the
+DataFrame code.
+"""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
+
+
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+# --- shared fragments -----------------------------------------------------------------------
+
+BARE = (
+    r"regexp_replace(html, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+    r"|<noscript\b[^>]*>.*?</noscript\s*>|<(?:link|meta)\b[^>]*>', '', 'gis')"
+)
+NO_SCRIPT = r"regexp_replace(html, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'gis')"
+
+
+def unescape(x: str) -> str:
+    return (
+        f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    )
+
+
+def squeeze(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\s\x{{00a0}}]+', ' ', 'g'))"
+
+
+TOKENS = rf"""
+toklists AS (SELECT page_id, regexp_extract_all({BARE}, '(?s)<!--.*?-->|<[^>]+>|[^<]+') AS l FROM pages),
+toks AS (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM toklists),
+kinds AS (SELECT *, CASE WHEN raw LIKE '</%' THEN 'close' WHEN regexp_matches(raw, '^<[A-Za-z]') THEN 'open'
+    WHEN raw LIKE '<!%' THEN 'comment' ELSE 'text' END AS kind,
+    lower(regexp_extract(raw, '^</?([A-Za-z][^\s/>]*)', 1)) AS name FROM toks)"""
+
+# Content pieces of the bundled pages: a block tag, then text and inline tags up to the next one.
+PIECES = rf"""
+cuts AS (SELECT page_id, regexp_extract_all(regexp_replace({BARE}, '<!.*?>', '', 'g'),
+    '(?s)</?(?:html|head|title|body|nav|ul|li|div|article|h1|p|footer)(?:\s[^>]*)?>(?:[^<]|</?(?:a|b|br)(?:\s[^>]*)?>)*') AS l FROM pages),
+pieces AS (SELECT page_id, unnest(range(len(l))) + 1 AS block_no, unnest(l) AS piece FROM cuts),
+arts AS (SELECT *, sum(CASE WHEN piece LIKE '<article>%' THEN 1 WHEN piece LIKE '</article>%' THEN -1 ELSE 0 END)
+    OVER (PARTITION BY page_id ORDER BY block_no) AS depth,
+    regexp_replace(piece, '^<[^>]*>', '') AS body FROM pieces),
+page_blocks AS (SELECT page_id, block_no, CASE WHEN piece LIKE '<h1>%' THEN 'heading' ELSE 'paragraph' END AS kind,
+    CASE WHEN body LIKE '<b>%' THEN '**' || {squeeze(unescape("replace(replace(body, '<b>', ''), '<br>', '')"))} || '**'
+        ELSE {squeeze(unescape("replace(body, '<br>', '')"))} END AS text
+    FROM arts WHERE depth = 1 AND trim(replace(replace(body, '<b>', ''), '<br>', '')) <> '')"""
+
+PAGE_MD = PIECES + r""",
+page_md AS (SELECT page_id, string_agg(CASE WHEN kind = 'heading' THEN '# ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block_no)
+    || chr(10) AS md FROM page_blocks GROUP BY page_id)"""
+
+TITLES = rf"""titles AS (SELECT page_id, url, {unescape("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))")} AS title FROM pages)"""
+
+
+def safe(x: str) -> str:
+    return rf"""regexp_replace(regexp_replace(trim({x}), '[\\/*?:"<>|]', '', 'g'), '\s+', ' ', 'g')"""
+
+
+# Blocks of the conversation pages, one per line that is not blank.
+TALK = r"""
+raw_lines AS (SELECT conv_id, turn, unnest(range(len(l))) AS line_no, unnest(l) AS line
+    FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)),
+talk AS (SELECT conv_id * 100000 + turn AS page_id, conv_id, turn, line_no, line, (conv_id + turn + line_no // 2) % 9 AS k,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS j
+    FROM raw_lines WHERE trim(line) <> ''),
+talk_blocks AS (SELECT page_id, 3 + 4 * (j - 1) + (CASE WHEN k = 8 THEN 1 ELSE 2 END) AS block_no, conv_id, turn, line_no, line, k, j,
+    CASE WHEN k <= 2 THEN 'heading' WHEN k = 3 THEN 'paragraph' WHEN k <= 6 THEN 'list_item' WHEN k = 7 THEN 'quote' ELSE 'divider' END AS kind,
+    CASE WHEN k <= 2 THEN k + 1 END AS level,
+    CASE WHEN k IN (4, 5) THEN false WHEN k = 6 THEN true END AS ordered,
+    CASE WHEN k = 8 THEN '' ELSE trim(regexp_replace(line, '\s+', ' ', 'g')) END AS text FROM talk),
+talk_marks AS (SELECT *, CASE WHEN kind = 'list_item'
+    AND lag(kind) OVER w = 'list_item' AND lag(ordered) OVER w = ordered THEN 0 ELSE 1 END AS fresh
+    FROM talk_blocks WINDOW w AS (PARTITION BY page_id ORDER BY block_no)),
+talk_runs AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY block_no) AS run_id FROM talk_marks),
+talk_items AS (SELECT *, row_number() OVER (PARTITION BY page_id, run_id ORDER BY block_no) AS item_no FROM talk_runs),
+classes AS (SELECT ['header','sub_header','sub_sub_header','text','bulleted_list','bulleted_list','numbered_list','quote','divider'] AS c),
+talk_html AS (SELECT page_id, line_no, j, 'b' || conv_id || '-' || turn || '-' || line_no AS block_id,
+    '<div class="notion-selectable notion-' || c[k + 1] || '-block" data-block-id="b' || conv_id || '-' || turn || '-' || line_no
+    || '"><div data-content-editable-leaf="true">' || line || '</div></div>' AS html FROM talk, classes)"""
+
+BLANKED = r"""
+blanked AS (SELECT doc_id, i AS line_no, CASE WHEN (doc_id + i // 4) % 3 = 0 OR i % 5 = 4 THEN '' ELSE line END AS line
+    FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+
+
+def collapsed(source: str) -> str:
+    return rf"""
+flags AS (SELECT *, trim(line) = '' AS blank FROM {source}),
+steps AS (SELECT *, CASE WHEN blank = lag(blank) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS chg FROM flags),
+islands AS (SELECT *, sum(chg) OVER (PARTITION BY doc_id ORDER BY line_no) AS isl FROM steps),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, isl ORDER BY line_no) AS rn FROM islands),
+joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM ranked WHERE NOT blank OR rn <= 2 GROUP BY doc_id),
+final AS (SELECT doc_id, CASE WHEN t LIKE '%' || chr(10) THEN t ELSE t || chr(10) END AS md FROM joined)"""
+
+
+DOC = "'https://ws.notion.site/Doc-' || md5(CAST({} AS VARCHAR))"
+
+LINKED = r"""
+n AS (SELECT count(*) AS n FROM pages),
+five AS (SELECT page_id, pos, CASE pos WHEN 0 THEN (3 * page_id + 1) % n WHEN 1 THEN (5 * page_id + 2) % n WHEN 2 THEN page_id
+    WHEN 3 THEN n + page_id ELSE (3 * page_id + 1) % n END AS target, n FROM pages, n, range(5) r(pos)),
+linked AS (SELECT page_id, target, n, min(pos) AS pos FROM five WHERE target <> page_id GROUP BY ALL)"""
+
+OBS = r"""
+obs AS (SELECT user_id AS page_id, event_id, ts, event_type <> 'error' AS clean, CAST(floor(value / 20) AS BIGINT) AS height, props AS html,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt FROM events)"""
+
+
+def stable(measure: str, cap: int, k: int, initial: str) -> str:
+    return rf"""
+seen AS (SELECT page_id, attempt, {measure} AS m FROM obs WHERE attempt < {cap}),
+diffs AS (SELECT *, CASE WHEN m = coalesce(lag(m) OVER (PARTITION BY page_id ORDER BY attempt), {initial}) THEN 0 ELSE 1 END AS chg FROM seen),
+isl AS (SELECT *, sum(chg) OVER (PARTITION BY page_id ORDER BY attempt) AS g FROM diffs),
+run AS (SELECT *, sum(1 - chg) OVER (PARTITION BY page_id, g ORDER BY attempt) AS same FROM isl),
+stops AS (SELECT page_id, min(CASE WHEN same >= {k} THEN attempt END) AS stop, max(attempt) AS last FROM run GROUP BY page_id)"""
+
+
+# --- sources and sinks ----------------------------------------------------------------------
+
+sql("scan_pages", "SELECT page_id, url, html FROM pages")
+sql("scan_text_files", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS text,
+    CASE WHEN doc_id % 5 = 0 THEN 'utf8_error' ELSE 'ok' END AS status FROM documents""")
+sql("write_markdown", "SELECT doc_id, text AS md, lang FROM documents")
+sql("write_side_html", "SELECT page_id, html FROM pages")
+sql("quarantine", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'bad' ELSE 'good' END AS side FROM documents")
+
+# --- projections ----------------------------------------------------------------------------
+
+sql("strip_noncontent", f"SELECT page_id, {BARE} AS html FROM pages")
+sql("content_root", with_(TOKENS, """bounds AS (SELECT page_id, min(CASE WHEN raw LIKE '<article%' THEN pos END) AS a,
+    min(CASE WHEN raw = '</article>' THEN pos END) AS b FROM toks GROUP BY page_id)""")
+    + """SELECT page_id, count(*) AS n_tokens, CAST(sum(length(raw)) AS BIGINT) AS n_chars, min(pos) AS start
+    FROM toks JOIN bounds USING (page_id) WHERE pos BETWEEN a AND b GROUP BY page_id""")
+sql("extract_title", rf"""SELECT page_id, CASE WHEN page_id % 4 < 3 THEN {squeeze(unescape("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))}
+    ELSE trim(regexp_extract(html, '(?s)<li><a [^>]*>(.*?)</a>', 1)) END AS title FROM pages""")
+sql("extract_title_regex", r"""SELECT page_id, CASE WHEN page_id % 4 < 2 THEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) END AS title FROM pages""")
+sql("strip_tags_text", rf"SELECT page_id, regexp_replace({NO_SCRIPT}, '<[^>]+>', '', 'g') AS text FROM pages")
+PATH = r"regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+sql("page_key", f"SELECT page_id, rtrim({PATH}, '/') AS key, md5(CAST(page_id AS VARCHAR)) AS doc_key FROM pages")
+sql("page_hex_id", "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN md5(CAST(page_id AS VARCHAR)) ELSE '' END AS hex_id FROM pages")
+sql("is_page_host", r"SELECT page_id, regexp_matches(url, '^https?://[^/]*\.example\.(com|net|org)/') AS is_page, true AS is_doc FROM pages")
+sql("is_fetchable_href", "SELECT page_id, page_id % 6 = 5 AS fetchable FROM pages")
+SRC = """CASE page_id % 5 WHEN 1 THEN 'https://x.com/notion-emojis/1.png' WHEN 2 THEN 'data:image/gif;base64,R0' ELSE '/i.png' END"""
+sql("is_emoji_img", "SELECT page_id, page_id % 5 = 0 OR (page_id % 3 = 0 AND page_id % 5 IN (1, 2)) AS is_emoji FROM pages")
+sql("emoji_to_text", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '😊' ELSE '' END AS text FROM pages")
+sql("image_src", f"SELECT page_id, CASE WHEN page_id % 3 < 2 THEN {SRC} ELSE '/images/a.png' END AS src FROM pages")
+sql("attr", f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '😊 smile' ELSE 'emoji' END AS alt,
+    CASE WHEN page_id % 3 = 1 THEN {SRC} ELSE '' END AS data_src, '' AS none FROM pages""")
+sql("is_placeholder_literal", "SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'xyz') AS hit FROM documents")
+sql("is_loading_phrase", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false
+    ELSE regexp_matches(lower(trim(text)), '^(carregando|loading)') AND regexp_matches(lower(text), 'plain|codigo|loading code') END AS hit FROM documents""")
+
+# --- structure ------------------------------------------------------------------------------
+
+sql("html_tokens", with_(TOKENS) + rf"""SELECT page_id, pos, kind, CASE WHEN kind IN ('open', 'close') THEN name END AS tag,
+    CASE WHEN kind = 'open' THEN trim(regexp_extract(raw, '(?s)^<[A-Za-z][^\s/>]*(.*?)/?>$', 1)) END AS attrs,
+    CASE WHEN kind = 'text' THEN {unescape('raw')} WHEN kind = 'comment' THEN raw END AS text FROM kinds""")
+sql("token_context", with_(TOKENS) + """SELECT page_id, pos,
+    CAST(sum(CASE WHEN name = 'ul' THEN CASE kind WHEN 'open' THEN 1 ELSE -1 END ELSE 0 END) OVER w AS BIGINT) AS in_ul,
+    CAST(sum(CASE WHEN name = 'a' THEN CASE kind WHEN 'open' THEN 1 ELSE -1 END ELSE 0 END) OVER w AS BIGINT) AS in_a,
+    CAST(sum(CASE WHEN name = 'article' THEN CASE kind WHEN 'open' THEN 1 ELSE -1 END ELSE 0 END) OVER w AS BIGINT) AS in_article
+    FROM kinds WINDOW w AS (PARTITION BY page_id ORDER BY pos)""")
+sql("element_spans", with_(TOKENS) + """SELECT page_id, name AS tag, pos AS first_pos, next_pos AS last_pos FROM (
+    SELECT page_id, name, kind, pos, lead(pos) OVER (PARTITION BY page_id, name ORDER BY pos) AS next_pos FROM kinds
+    WHERE name IN ('article', 'nav', 'li')) WHERE kind = 'open'""")
+sql("page_blocks", with_(TALK) + "SELECT page_id, block_no, kind, level, ordered, text FROM talk_blocks")
+sql("page_blocks_html", with_(PIECES) + "SELECT page_id, block_no, kind, CASE WHEN kind = 'heading' THEN CAST(1 AS BIGINT) END AS level, text FROM page_blocks")
+sql("leaf_text", with_(TALK) + "SELECT page_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM talk_blocks GROUP BY page_id")
+sql("group_list_runs", with_(TALK) + "SELECT page_id, block_no, CAST(run_id AS BIGINT) AS run_id, item_no FROM talk_items WHERE kind = 'list_item'")
+sql("block_stats", with_(TALK) + "SELECT page_id, kind, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM talk_blocks GROUP BY page_id, kind")
+sql("render_markdown", with_(TALK, r"""
+bits AS (SELECT page_id, block_no, run_id, CASE kind WHEN 'heading' THEN repeat('#', CAST(level AS INTEGER)) || ' ' || text
+    WHEN 'list_item' THEN CASE WHEN ordered THEN item_no || '. ' ELSE '* ' END || text WHEN 'quote' THEN '> ' || text
+    WHEN 'divider' THEN '---' ELSE text END AS bit FROM talk_items),
+runs AS (SELECT page_id, run_id, string_agg(bit, chr(10) ORDER BY block_no) AS bit FROM bits GROUP BY page_id, run_id)""")
+    + "SELECT page_id, string_agg(bit, chr(10) || chr(10) ORDER BY run_id) || chr(10) AS md FROM runs GROUP BY page_id")
+sql("pages_to_markdown", with_(PAGE_MD) + "SELECT page_id, md FROM page_md")
+sql("markdown_documents", with_(PAGE_MD, TITLES) + f"""SELECT page_id, title,
+    '/out/' || substr({safe('title')}, 1, 160) || ' - 20240506-070809/' || substr({safe('title')}, 1, 160) || '.md' AS out_path,
+    md, sha256(md) AS sha256, CAST(strlen(md) AS BIGINT) AS n_bytes, 'ok' AS status FROM page_md JOIN titles USING (page_id)""")
+sql("selectable_chunks", with_(TALK) + "SELECT page_id, block_id, html FROM talk_html")
+sql("code_blocks", "SELECT page_id, 'py' AS lang, 'var' || page_id || ' = f(<' || page_id || ')' || chr(10) || 'end' AS text FROM pages")
+sql("code_blocks_regex", "SELECT page_id, 'py' AS lang, 'var' || page_id || ' = f(&lt;' || page_id || ')' || chr(10) || 'end' AS text FROM pages")
+sql("code_lang", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'js' WHEN 1 THEN 'Go' WHEN 2 THEN 'sql' END AS lang FROM pages")
+sql("code_text", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 2 = 0 THEN
+    regexp_replace('x =' || url, '\s*=\s*', ' = ', 'g') || ' < code> ' ELSE 'x =' || url || ' < code> ' END AS text FROM pages""")
+
+# --- links ----------------------------------------------------------------------------------
+
+sql("page_links", with_(LINKED) + f"""SELECT page_id, {DOC.format('target')} AS href, {DOC.format('target')} AS url, 'Doc' || pos AS text,
+    md5(CAST(target AS VARCHAR)) AS target_id FROM linked""")
+VARIANTS = r"""variants AS (SELECT page_id, pos, 'https://ws.notion.site/V-k' || (page_id // 2) || 'z-' || (pos + 6) AS href
+    FROM pages, range(1, 3) r(pos) WHERE page_id % 2 = 0)"""
+sql("variant_links", with_(VARIANTS) + "SELECT page_id, pos, href FROM variants")
+sql("subpage_index", with_(VARIANTS) + "SELECT page_id, href, 'subpage_' || pos AS folder FROM variants")
+sql("link_counts", with_(LINKED) + "SELECT page_id, count(*) AS n_links FROM linked GROUP BY page_id")
+sql("unresolved_links", with_(LINKED) + "SELECT page_id, md5(CAST(target AS VARCHAR)) AS target_id FROM linked WHERE target >= n")
+SAFE_TITLES = TITLES + f""",
+folders AS (SELECT page_id, substr({safe('title')}, 1, 160) AS f FROM titles)"""
+sql("subdocuments", with_(PAGE_MD, SAFE_TITLES, LINKED) + """SELECT l.page_id AS parent_id, target AS child_id, f || '/' || f || '.md' AS child_path, md AS child_md
+    FROM linked l JOIN folders f ON f.page_id = target JOIN page_md m ON m.page_id = target""")
+sql("append_subpages", """SELECT p.page_id, 'page ' || p.page_id || chr(10) || CASE WHEN c.page_id IS NULL THEN '' ELSE
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: https://ws.notion.site/V-k' || (p.page_id // 2) || 'z-7' || chr(10) || chr(10)
+    || 'page ' || c.page_id || chr(10) END AS md, CAST(CASE WHEN c.page_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_subpages
+    FROM pages p LEFT JOIN pages c ON p.page_id % 2 = 0 AND c.page_id = p.page_id + 1""")
+sql("rewrite_links", with_(SAFE_TITLES, "n AS (SELECT count(*) AS n FROM pages)") + f"""SELECT p.page_id, '[a](' || {DOC.format('p.page_id')} || ') [b](' ||
+    CASE WHEN f.page_id = p.page_id THEN {DOC.format('f.page_id')} ELSE replace(url_encode(f || '/' || f || '.md'), '%2F', '/') END || ')' || chr(10) AS md
+    FROM pages p, n JOIN folders f ON f.page_id = (3 * p.page_id + 1) % n""")
+sql("filter_seen", """SELECT user_id AS page_id, min(event_id) AS pos, props AS href FROM events WHERE props <> '{"k": 1}' GROUP BY user_id, props""")
+
+# --- assets ---------------------------------------------------------------------------------
+
+ORIGIN = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
+REFS = f"""
+refs AS (SELECT page_id, 1 AS pass, '/img/' || page_id % 7 || '.png' AS src, {ORIGIN} AS o, page_id % 7 || '.png' AS name FROM pages
+    UNION ALL SELECT page_id, 1, '/img/' || page_id % 7 || '.png', {ORIGIN}, page_id % 7 || '-1.png' FROM pages
+    UNION ALL SELECT page_id, 1, '/img/a.png', {ORIGIN}, 'a.png' FROM pages
+    UNION ALL SELECT page_id, 1, 'data:image/png;base64,aGk=', '', 'embedded.png' FROM pages
+    UNION ALL SELECT page_id, 2, '/bg/' || page_id % 5 || '.jpg', {ORIGIN}, page_id % 5 || '.jpg' FROM pages)"""
+sql("asset_refs", with_(REFS) + "SELECT page_id, CAST(pass AS BIGINT) AS pass, src, o || src AS url FROM refs")
+sql("anchor_refs", rf"""SELECT page_id, src, {ORIGIN} || src AS url FROM (
+    SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS src FROM pages
+    UNION ALL SELECT page_id, url, '/files/' || page_id % 3 || '.pdf' FROM pages)""")
+sql("asset_manifest", with_(REFS) + "SELECT page_id, o || src AS url, name, 'assets/' || name AS rel_path, 'ok' AS status FROM refs")
+sql("unique_names", """SELECT page_id, pos, CASE WHEN page_id % 2 = 0 THEN ['a.png', 'b.png', 'a-1.png', 'a-1-1.png', 'c', 'c-1'][pos + 1]
+    ELSE ['a.png', 'b.png', 'a-1.png', '', 'c', 'c-1'][pos + 1] END AS name FROM pages, range(6) r(pos) WHERE page_id % 2 = 0 OR pos <> 3""")
+sql("asset_counts", r"SELECT page_id, CAST(6 + len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_assets FROM pages")
+sql("rewrite_assets", """SELECT page_id, '<img src="assets/' || page_id % 7 || '.png"><img data-src="/img/' || page_id % 7 || '.png" src="assets/' || page_id % 7
+    || '-1.png"><img srcset="/img/a.png 1x, /img/b.png 2x" src="assets/a.png"><div style="background-image:url(''assets/' || page_id % 5
+    || '.jpg'')"></div><a href="assets/' || page_id % 3 || '.pdf">file</a><img src="assets/embedded.png">😊' AS tail FROM pages""")
+RENAMES = """renames AS (SELECT page_id, name, new_name FROM pages, (VALUES ('a b.png', 'a_b_1.png'), ('a(b.png', 'a_b_2.png'),
+    ('a_b.png', 'a_b.png'), ('é.pdf', 'asset.pdf'), ('ok.txt', 'ok.txt')) v(name, new_name))"""
+sql("unique_renames", with_(RENAMES) + "SELECT page_id, name, new_name FROM renames")
+sql("rewrite_renamed", "SELECT page_id, '![x](f/a_b_1.png) (a_b_2.png) asset.pdf ok.txt' AS md FROM pages")
+sql("encode_asset_paths", "SELECT page_id, '![x](my%20%5Bf%5D/a%20b.png) my%20%5Bf%5D/%C3%A9.pdf' AS md FROM pages")
+
+# --- placeholders ---------------------------------------------------------------------------
+
+LOADING = r"""
+extra AS (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN '<div class="x nds-shimmer-text"></div>' WHEN 1 THEN '<div aria-busy="true"></div>'
+    WHEN 2 THEN '<p>Carregando agora</p>' ELSE '' END AS e FROM pages),
+loading AS (SELECT page_id, replace(html, '</article>', e || '</article>') AS html FROM extra),
+raw_hits AS (
+    SELECT page_id, 1 AS pass, '.nds-shimmer-text' AS s, 'class' AS t, 'class="x nds-shimmer-text"' AS f, html AS x FROM loading WHERE page_id % 4 = 0
+    UNION ALL SELECT page_id, 2, f, 'attribute', f, html FROM (SELECT *, 'class="x nds-shimmer-text"' AS f FROM loading WHERE page_id % 4 = 0)
+    UNION ALL SELECT page_id, 2, f, 'attribute', f, html FROM (SELECT *, 'aria-busy="true"' AS f FROM loading WHERE page_id % 4 = 1)
+    UNION ALL SELECT page_id, 3, 'Carregando', 'regex', 'Carregando', regexp_replace(regexp_replace(html,
+        '<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g') FROM loading WHERE page_id % 4 = 2),
+hits AS (SELECT *, strpos(x, f) AS p FROM raw_hits)"""
+sql("placeholders_html", with_(LOADING) + r"""SELECT page_id, CAST(pass AS BIGINT) AS pass, s AS selector_or_snippet, t AS match_type,
+    CASE WHEN pass = 3 THEN trim(c) ELSE c END AS context FROM (
+    SELECT *, substr(x, greatest(p - 60, 1), least(p - 1, 60) + length(f) + 60) AS c FROM hits)""")
+sql("placeholders_text", r"""SELECT doc_id, a <> '' OR b <> '' AS has, concat_ws('|', nullif(a, ''), nullif(b, '')) AS matches FROM (
+    SELECT doc_id, regexp_extract(text, '(?i)(^|[^\pL\pN_])(the)([^\pL\pN_]|$)', 2) AS a, regexp_extract(text, '(?i)ing') AS b FROM documents)""")
+sql("placeholders_text_literal", """SELECT doc_id, contains(low, 'the') OR contains(low, 'ing') OR contains(low, 'zzz') AS has,
+    concat_ws('|', CASE WHEN contains(low, 'the') THEN 'The' END, CASE WHEN contains(low, 'ing') THEN 'ING' END, CASE WHEN contains(low, 'zzz') THEN 'zzz' END) AS matches
+    FROM (SELECT doc_id, lower(text) AS low FROM documents)""")
+sql("placeholder_summary", """SELECT page_id, CAST(page_id % 4 = 0 AS BIGINT) AS n_class, CAST(page_id % 4 < 2 AS BIGINT) AS n_attribute,
+    CAST(0 AS BIGINT) AS n_text, CAST(page_id % 4 = 2 AS BIGINT) AS n_regex, page_id % 4 < 3 AS has_placeholders FROM pages""")
+sql("dedup_occurrences", "SELECT user_id AS page_id, min(event_id) AS pos, props AS selector_or_snippet FROM events GROUP BY user_id, props")
+sql("dedup_matches_ci", r"""SELECT doc_id, min(pos) AS pos, arg_min(m, pos) AS match FROM (
+    SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS m FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS l FROM documents))
+    GROUP BY doc_id, lower(m)""")
+sql("first_n_pending", """SELECT page_id, pending, n FROM (
+    SELECT page_id, 'shimmer' AS pending, page_id % 3 AS n FROM pages
+    UNION ALL SELECT page_id, 'unknown', least(page_id % 4, 3 - page_id % 3) FROM pages) WHERE n > 0""")
+sql("first_n_occurrences", """SELECT user_id AS page_id, props AS selector_or_snippet, event_id AS pos FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) <= 2""")
+sql("strip_placeholder_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)ing([^\pL\pN_]|$)', '\1', 'g'),
+    '(?i)tion', '', 'g'), '(?i)the', '', 'g') AS text FROM documents""")
+
+# --- lines ----------------------------------------------------------------------------------
+
+sql("md_lines", r"""SELECT doc_id, unnest(range(len(l))) AS line_no, rtrim(unnest(l)) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+sql("drop_placeholder_lines", with_(BLANKED) + "SELECT doc_id, line_no, rtrim(line) AS line FROM blanked WHERE NOT contains(lower(line), 'tion') AND NOT contains(lower(line), 'der')")
+sql("collapse_blank_runs", with_(BLANKED, collapsed("blanked")) + "SELECT doc_id, md FROM final")
+NORMAL = with_(BLANKED, "kept AS (SELECT doc_id, line_no, rtrim(line) AS line FROM blanked WHERE NOT contains(lower(trim(line)), 'the '))",
+    collapsed("kept"), "originals AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS o FROM blanked GROUP BY doc_id)",
+    # A document whose every line is dropped is the empty text.
+    "sums AS (SELECT doc_id, sha256(o) AS original_sha256, coalesce(md, chr(10)) AS normalized FROM originals LEFT JOIN final USING (doc_id))")
+sql("normalize_summary", NORMAL + """SELECT doc_id, 'success' AS status, original_sha256, sha256(normalized) AS normalized_sha256,
+    CAST(strlen(normalized) AS BIGINT) AS bytes_written, normalized FROM sums""")
+sql("summary_json", NORMAL + """SELECT doc_id, '{"status":"success","original_sha256":"' || original_sha256 || '","normalized_sha256":"' || sha256(normalized)
+    || '","bytes_written":' || strlen(normalized) || ',"encoding":"utf-8"}' AS summary FROM sums""")
+
+# --- names and addresses --------------------------------------------------------------------
+
+sql("sanitize_filename", r"""SELECT doc_id, regexp_replace(regexp_replace('a/b: ' || text || ' ?"<x>|', '[\\/*?:"<>|]', '', 'g'), '[\s\x{00a0}]+', ' ', 'g') AS name FROM documents""")
+sql("output_name", with_(TITLES) + rf"""SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'notion_page'
+    WHEN page_id % 3 = 0 THEN rtrim({PATH}, '/') ELSE substr({safe('title')}, 1, 160) END || '.md' AS name FROM titles""")
+sql("output_folder", """SELECT page_id, '/out/' || CASE WHEN page_id % 3 <> 0 THEN 'A title' ELSE md5(CAST(page_id AS VARCHAR)) END
+    || ' - 20240506-070809' AS folder FROM pages""")
+sql("output_paths", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/abs/x.md' WHEN page_id % 2 = 0 THEN '/out/f/' || CASE page_id % 3 WHEN 1 THEN 'y.md' ELSE 'z.md' END
+    ELSE CASE page_id % 3 WHEN 1 THEN 'sub/y.md' ELSE 'z.md' END END AS path FROM pages""")
+sql("assets_folder", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/abs/a' WHEN 1 THEN 'rel' WHEN 3 THEN 'my.page_assets' END AS folder FROM pages""")
+sql("file_name_from_url", r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'https_'
+    ELSE regexp_extract(rtrim(split_part(url, '?', 1), '/'), '([^/]*)$', 1) END AS name FROM pages""")
+sql("safe_asset_name", r"""SELECT doc_id, CASE WHEN s = '' THEN 'asset' ELSE s END || suf AS name FROM (
+    SELECT doc_id, suf, trim(regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '_') AS s FROM (
+    SELECT doc_id, CASE WHEN full_name LIKE '_%.%' AND regexp_matches(full_name, '^.+\.[^.]+$') THEN regexp_extract(full_name, '^(.+)(\.[^.]+)$', 1) ELSE full_name END AS stem,
+      regexp_extract(full_name, '^(.+)(\.[^.]+)$', 2) AS suf
+    FROM (SELECT doc_id, replace(substr(text, 1, 30), chr(10), ' ') || CASE WHEN doc_id % 2 = 0 THEN '.p g' ELSE '' END AS full_name FROM documents)))""")
+FOLDER = rf"regexp_replace({PATH}, '[^/]*$', '')"
+sql("resolve_url", rf"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN {ORIGIN} || '/abs/x.png' WHEN 1 THEN {ORIGIN} || {FOLDER} || 'rel.png'
+    WHEN 2 THEN {ORIGIN} || regexp_replace({FOLDER}, '[^/]+/$', '') || 'up/y.png'
+    WHEN 3 THEN split_part(url, ':', 1) || '://cdn.example.com/z' WHEN 4 THEN 'https://o.org/q' WHEN 5 THEN {ORIGIN} || {PATH} || '?a=1'
+    WHEN 6 THEN split_part(url, '#', 1) || '#frag' ELSE 'mailto:x@y.z' END AS full_url FROM pages""")
+sql("quote_path", "SELECT doc_id, replace(url_encode('a b/~*(c)+/' || text), '%2F', '/') AS quoted FROM documents")
+sql("asset_rel_path", "SELECT page_id, 'page%20assets/img%20' || page_id AS rel FROM pages")
+sql("data_uri_parts", """SELECT page_id, 'embedded' || CASE WHEN page_id % 7 = 0 THEN '.png' WHEN page_id % 3 = 0 THEN '.png' WHEN page_id % 3 = 1 THEN '.pdf' ELSE '.bin' END AS name,
+    CASE WHEN page_id % 7 <> 0 THEN url END AS content FROM pages""")
+sql("html_unescape", f"SELECT page_id, {unescape('html')} AS text FROM pages")
+sql("chunk_key", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'id:b' || page_id ELSE 'h:' || sha1(html) END AS key FROM pages")
+
+# --- snapshots ------------------------------------------------------------------------------
+
+sql("dedup_chunks", "SELECT user_id AS page_id, min(event_id) AS snap, 'h:' || sha1(props) AS key FROM events GROUP BY user_id, props")
+sql("dedup_chunks_last", """SELECT user_id AS page_id, max(event_id) AS snap, min(event_id) AS first_snap, 'h:' || sha1(props) AS key
+    FROM events GROUP BY user_id, props""")
+sql("concat_chunks", with_(TALK, """
+parts AS (SELECT page_id, '<div class="notion-export">' || chr(10) || string_agg(html, chr(10) ORDER BY line_no) || chr(10) || '</div>' AS h,
+    string_agg(html, '' ORDER BY line_no) AS body FROM talk_html GROUP BY page_id)""")
+    + """SELECT t.conv_id * 100000 + t.turn AS page_id, CASE WHEN p.h IS NOT NULL AND t.turn % 2 = 0 THEN p.h
+    ELSE '<html><body><div class="notion-page-content">' || coalesce(body, '') || '</div></body></html>' END AS html
+    FROM conversations t LEFT JOIN parts p ON p.page_id = t.conv_id * 100000 + t.turn""")
+sql("stable_round", with_(OBS, stable("height", 50, 2, "0")) + "SELECT page_id, coalesce(stop, last) AS stop_attempt, stop IS NOT NULL AS is_stable FROM stops")
+sql("stable_pending", with_(OBS, stable("height * 2 + CAST(clean AS BIGINT)", 14, 1, "-1"))
+    + "SELECT page_id, coalesce(stop, last) AS stop_attempt, stop IS NOT NULL AS is_stable FROM stops")
+PICKED = """picked AS (SELECT page_id, min(CASE WHEN clean THEN attempt END) AS first_clean, max(attempt) AS last FROM obs WHERE attempt <= 2 GROUP BY page_id)"""
+sql("pick_attempt", with_(OBS, PICKED) + """SELECT p.page_id, o.attempt, o.html, first_clean IS NOT NULL AS is_clean
+    FROM picked p JOIN obs o ON o.page_id = p.page_id AND o.attempt = coalesce(first_clean, last)""")
+sql("placeholder_rounds", with_(OBS) + """SELECT page_id, coalesce(min(CASE WHEN height = 0 THEN attempt END), max(attempt) + 1) AS rounds,
+    min(CASE WHEN height = 0 THEN attempt END) IS NOT NULL AS is_clear FROM obs WHERE attempt < 10 GROUP BY page_id""")
+
+# --- streams --------------------------------------------------------------------------------
+
+sql("stream_first_chunks", "SELECT DISTINCT user_id AS page_id, 'h:' || sha1(props) AS key FROM events")
+sql("stream_pending_counts", """SELECT date_trunc('hour', ts) AS window_start, user_id AS page_id, count(*) AS n_unknown,
+    count(*) FILTER (WHERE event_type = 'error') AS n_shimmer, count(*) AS n_snapshots FROM events
+    GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+sql("stream_stable_pages", with_(OBS, stable("height", 10, 2, "0")) + "SELECT page_id, stop AS stop_attempt FROM stops WHERE stop IS NOT NULL")
+sql("stream_complete_pages", with_(OBS, PICKED) + """SELECT p.page_id, o.attempt, o.html FROM picked p
+    JOIN obs o ON o.page_id = p.page_id AND o.attempt = first_clean""")
