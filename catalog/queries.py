@@ -463,8 +463,8 @@ def placeholders_text_literal(spark, sf):
 
 @query
 def placeholder_summary(spark, sf):
-    source = fx.loading_pages(spark, sf)
-    return placeholders.placeholder_summary(source, placeholders.placeholders_html(source))
+    found = placeholders.placeholder_summary(fx.loading_pages(spark, sf))
+    return found.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in found.columns[1:5]], "has_placeholders")
 
 
 def _occurrences(spark, sf):
@@ -722,7 +722,8 @@ def _event_stream(spark, sf):
 @query
 def stream_first_chunks(spark, sf):
     chunk_stream = _event_stream(spark, sf).select(
-        F.col("user_id").alias("page_id"), F.lit(None).cast("string").alias("block_id"), F.col("props").alias("html")
+        F.col("user_id").alias("page_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(None).cast("string").alias("block_id"), F.col("props").alias("html"),
     )
     return _run_stream(spark, streams.stream_first_chunks(chunk_stream, None), "first-chunks").select("page_id", "key")
 

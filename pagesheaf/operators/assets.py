@@ -55,6 +55,9 @@ def _take_free_names(separator: str, ordered_by: list[str]):
         chosen = []
         group = group.sort_values(ordered_by)
         for name in group["name"]:
+            if name is None:
+                chosen.append(None)
+                continue
             dot = name.rfind(".")
             stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
             new, n = name, 0
@@ -71,7 +74,7 @@ def _take_free_names(separator: str, ordered_by: list[str]):
 def unique_names(assets: DataFrame) -> DataFrame:
     """Give every asset of a page its own name: ``stem-1.ext``, ``stem-2.ext`` … on a clash.
 
-    Expects ``page_id, pass, pos, name``; adds the order ``rank`` and replaces ``name``.
+    Expects ``page_id, pass, pos, name``; replaces ``name``. Rows without a name keep none.
     """
     order = Window.partitionBy("page_id").orderBy("pass", "pos")
     ranked = assets.withColumn("rank", F.row_number().over(order))
@@ -79,7 +82,7 @@ def unique_names(assets: DataFrame) -> DataFrame:
         ranked, ["page_id"], "rank", "name",
         lambda name, n: names.numbered_name(name, n, "-"), _take_free_names("-", ["rank"]),
     )
-    return named.withColumn("name", F.col("candidate")).drop("candidate")
+    return named.withColumn("name", F.col("candidate")).drop("candidate", "rank")
 
 
 def asset_manifest(pages: DataFrame, folder: Column | None = None, **options) -> DataFrame:
@@ -88,13 +91,12 @@ def asset_manifest(pages: DataFrame, folder: Column | None = None, **options) ->
     A reference that cannot be saved keeps its row with the status ``failed`` and takes no name.
     """
     refs = asset_refs(pages, **options).withColumn("name", urls.asset_name(F.col("url")))
-    saved = unique_names(refs.where(F.col("name").isNotNull())).drop("rank")
-    failed = refs.where(F.col("name").isNull())
     where = folder if folder is not None else F.lit("assets")
-    return saved.withColumn("status", F.lit("ok")).unionByName(failed.withColumn("status", F.lit("failed"))).select(
+    saved = F.col("name").isNotNull()
+    return unique_names(refs).select(
         "page_id", "pass", "pos", "src", "url", "name",
-        F.when(F.col("status") == "ok", urls.asset_rel_path(where, F.col("name"))).alias("rel_path"),
-        "status",
+        F.when(saved, urls.asset_rel_path(where, F.col("name"))).alias("rel_path"),
+        F.when(saved, "ok").otherwise("failed").alias("status"),
     )
 
 

@@ -91,20 +91,20 @@ def text_pass(html: Column, patterns: list[str], use_regex: bool, ignore_tags: l
     for tag in ignore_tags:
         bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     text = F.regexp_replace(bare, "<[^>]+>", " ")
-    passes = []
-    for phrase in patterns:
-        flags, pattern = ("(?iU)", phrase) if use_regex else ("(?iU)", literal_pattern(phrase)[len("(?iU)"):])
-        rows = F.transform(
-            _matches(text, pattern, flags),
-            lambda m, phrase=phrase: _row(
-                3,
-                m.getField("found") if use_regex else F.lit(phrase),
-                "regex" if use_regex else "text",
-                strip(_context(m)),
-            ),
-        )
-        passes.append(F.when(text.rlike(flags + pattern), rows).otherwise(F.array().cast(_ROW)))
-    return F.concat(*passes)
+    flags = "(?iU)"
+
+    def one(phrase: str) -> Column:
+        pattern = phrase if use_regex else literal_pattern(phrase)[len(flags):]
+
+        def row(m: Column) -> Column:
+            if use_regex:
+                return _row(3, m.getField("found"), "regex", strip(_context(m)))
+            return _row(3, F.lit(phrase), "text", strip(_context(m)))
+
+        rows = F.transform(_matches(text, pattern, flags), row)
+        return F.when(text.rlike(flags + pattern), rows).otherwise(F.array().cast(_ROW))
+
+    return F.concat(*[one(phrase) for phrase in patterns])
 
 
 def placeholder_occurrences(
@@ -163,18 +163,16 @@ def dedup_matches_ci(matches: DataFrame, keys: list[str], match: str = "match",
     return matches.withColumn("nth", F.row_number().over(same)).where(F.col("nth") == 1).drop("nth")
 
 
-def placeholder_summary(pages: DataFrame, placeholders: DataFrame) -> DataFrame:
-    """Occurrences by match type for every page, pages without any included."""
-    kinds = ["class", "attribute", "text", "regex"]
-    counts = placeholders.groupBy("page_id").agg(
-        *[F.count_if(F.col("match_type") == k).alias(f"n_{k}") for k in kinds]
-    )
-    joined = pages.select("page_id").join(counts, "page_id", "left")
-    numbers = [F.coalesce(f"n_{k}", F.lit(0)) for k in kinds]
-    total = numbers[0] + numbers[1] + numbers[2] + numbers[3]
-    return joined.select(
-        "page_id", *[n.alias(f"n_{k}") for n, k in zip(numbers, kinds)], (total > 0).alias("has_placeholders")
-    )
+def placeholder_summary(pages: DataFrame, **options) -> DataFrame:
+    """Occurrences by match type for every page, pages without any included. Needs no exchange."""
+    found = pages.select("page_id", placeholder_occurrences(F.col("html"), **options).alias("found"))
+
+    def count(kind: str) -> Column:
+        hits = F.filter("found", lambda r: r.getField("row").getField("match_type") == kind)
+        return F.size(hits).alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("class", "attribute", "text", "regex")]
+    return found.select("page_id", *counts, (F.size("found") > 0).alias("has_placeholders"))
 
 
 def pending_blocks(tokens: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ def pages_with_subdocuments(
     """Parents with local links, and the sub-documents those point at: (markdown, subdocuments).
 
     A sub-document goes one level deep; its path is relative to the parent's folder. Ids are
-    resolved and stored first, whole documents are joined once, at the end.
+    resolved and stored first, whole documents are joined once, at the end. The documents serve as
+    parents and as children, so they too are stored and not rendered twice.
     """
+    markdown = staged(markdown, "markdown")
     targets = staged(resolved_links(pages, host_regex)[0], "targets")
     children = links.subdocuments(targets, pages, markdown)
     mapping = _local_paths(targets, pages)
@@ -38,5 +40,6 @@ def _local_paths(targets: DataFrame, pages: DataFrame) -> DataFrame:
 
 def pages_with_subpages(pages: DataFrame, markdown: DataFrame) -> DataFrame:
     """Every document with its stored variant pages appended."""
+    markdown = staged(markdown, "markdown")
     targets = staged(links.variant_targets(staged(links.variant_links(pages), "variants"), pages), "variant-targets")
     return links.append_subpages(markdown, targets)

@@ -19,6 +19,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column expression is most of the cost of building a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -13,17 +13,34 @@ from pagesheaf import fixed
 from pagesheaf.operators.chunks import chunk_key
 
 
-def stream_first_chunks(chunk_stream: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+SPREAD = 16
+
+
+def _thin_copies(stream: DataFrame, keys: list[str], delay: str | None, spread: int) -> DataFrame:
+    """Drop most copies of hot keys before they meet in one task.
+
+    Copies of a key are spread over ``spread`` sub-keys and thinned there, so the exchange on the
+    key itself carries at most ``spread`` rows of it.
+    """
+    salted = stream.withColumn("salt", F.pmod(F.xxhash64("ts"), F.lit(spread)))
+    if delay is None:
+        return salted.dropDuplicates([*keys, "salt"]).drop("salt")
+    return salted.dropDuplicatesWithinWatermark([*keys, "salt"]).drop("salt")
+
+
+def stream_first_chunks(chunk_stream: DataFrame, delay: str | None = "1 hour", spread: int = SPREAD) -> DataFrame:
     """First sighting of each chunk of a page.
 
     Within the watermark delay repeats are dropped; ``delay=None`` remembers every key for good.
     """
+    keys = ["page_id", "key"]
     keyed = chunk_stream.where(F.coalesce("html", F.lit("")) != "").withColumn(
         "key", chunk_key(F.col("block_id"), F.col("html"))
     )
     if delay is None:
-        return keyed.dropDuplicates(["page_id", "key"])
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["page_id", "key"])
+        return _thin_copies(keyed, keys, None, spread).dropDuplicates(keys)
+    watermarked = keyed.withWatermark("ts", delay)
+    return _thin_copies(watermarked, keys, delay, spread).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_pending_counts(snapshot_stream: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -40,10 +57,17 @@ def stream_pending_counts(snapshot_stream: DataFrame, window: str = "1 hour", de
     )
 
 
-def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """Rows of one page in this micro-batch by attempt; the stream was cut to the cap before."""
-    parts = [b[columns] for b in batches]
-    return list(pd.concat(parts).sort_values("attempt").itertuples(index=False, name=None)) if parts else []
+def _new_rounds(batches: Iterator[pd.DataFrame], columns: list[str], seen: int) -> list[tuple]:
+    """Rounds of one page after round ``seen``, in order, one row each.
+
+    At most as many rows as there are rounds below the cap are held, however many copies arrive.
+    """
+    rounds: dict[int, tuple] = {}
+    for batch in batches:
+        fresh = batch[batch["attempt"] > seen].drop_duplicates("attempt")
+        for row in fresh[columns].itertuples(index=False, name=None):
+            rounds.setdefault(int(row[0]), row)
+    return [rounds[n] for n in sorted(rounds)]
 
 
 def _expire(state: GroupState, timeout_ms: int) -> None:
@@ -57,6 +81,7 @@ def stream_stable_pages(
     delay: str = "1 hour",
     stall_ms: int = 3_600_000,
     initial: int = 0,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """``page_id, stop_attempt, is_stable``, once per page.
 
@@ -72,7 +97,7 @@ def stream_stable_pages(
                 out.append((key[0], attempt, False))
             state.remove()
         else:
-            for number, height in _rows(batches, ["attempt", "height"]):
+            for number, height in _new_rounds(batches, ["attempt", "height"], attempt):
                 if done:
                     break
                 attempt = int(number)
@@ -86,9 +111,9 @@ def stream_stable_pages(
             _expire(state, stall_ms)
         yield pd.DataFrame(out, columns=["page_id", "stop_attempt", "is_stable"])
 
+    watermarked = snapshot_stream.where(F.col("attempt") < cap).withWatermark("ts", delay)
     return (
-        snapshot_stream.where(F.col("attempt") < cap)
-        .withWatermark("ts", delay)
+        _thin_copies(watermarked, ["page_id", "attempt"], delay, spread)
         .groupBy("page_id")
         .applyInPandasWithState(
             step,
@@ -105,6 +130,7 @@ def stream_complete_pages(
     max_retries: int = fixed.MAX_RETRIES,
     delay: str = "1 hour",
     stall_ms: int = 3_600_000,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """``page_id, attempt, html, is_clean``, once per page.
 
@@ -119,7 +145,7 @@ def stream_complete_pages(
                 out.append((key[0], attempt, html, False))
             state.remove()
         else:
-            for number, clean, text in _rows(batches, ["attempt", "clean", "html"]):
+            for number, clean, text in _new_rounds(batches, ["attempt", "clean", "html"], attempt):
                 if done:
                     break
                 attempt, html = int(number), text
@@ -130,9 +156,9 @@ def stream_complete_pages(
             _expire(state, stall_ms)
         yield pd.DataFrame(out, columns=["page_id", "attempt", "html", "is_clean"])
 
+    watermarked = snapshot_stream.where(F.col("attempt") <= max_retries).withWatermark("ts", delay)
     return (
-        snapshot_stream.where(F.col("attempt") <= max_retries)
-        .withWatermark("ts", delay)
+        _thin_copies(watermarked, ["page_id", "attempt"], delay, spread)
         .groupBy("page_id")
         .applyInPandasWithState(
             step,
