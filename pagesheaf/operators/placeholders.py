@@ -14,25 +14,36 @@ from pyspark.sql import functions as F
 
 from pagesheaf import fixed
 from pagesheaf.functions import markup
-from pagesheaf.functions.text import SPACE, dedup_first, literal_pattern, strip
+from pagesheaf.functions.text import SPACE, dedup_first, let, literal_pattern, strip
 
 _N = fixed.CONTEXT_CHARS
-_BEFORE = rf"(?<=(^[\s\S]{{0,{_N}}}|[\s\S]{{{_N}}}))"
-_AFTER = rf"(?=([\s\S]{{0,{_N}}}))"
+# The fixed-length case comes first: it is tried once, the other only close to the start of the text.
+_BEFORE = rf"(?:(?<=((?s:.{{{_N}}})))|(?<=\A((?s:.{{0,{_N - 1}}}))))"
+_AFTER = rf"(?=((?s:.{{0,{_N}}})))"
 _ROW = "array<struct<pass:int,snippet:string,match_type:string,context:string>>"
 
 
-def _matches(text: Column, pattern: str, flags: str = "") -> Column:
-    """Array of ``struct(before, found, after)`` for every match of the pattern."""
+# Noncharacters, which no text may contain, set matches off for one split.
+_MATCH, _PART = "\ufdd0", "\ufdd1"
+
+
+def _matches(text: Column, pattern: str, flags: str = "", probe: str | None = None) -> Column:
+    """Array of ``struct(before, found, after)`` for every match of the pattern, in one scan.
+
+    ``probe`` is a cheap test, free of groups, for the places where a match may start.
+    """
     groups = re.compile(pattern).groups
-    whole = f"{flags}(?={pattern}){_BEFORE}{pattern}{_AFTER}"
+    skipped = groups if probe is None else 0
+    whole = f"{flags}(?={pattern if probe is None else probe}){_BEFORE}{pattern}{_AFTER}"
+    before = f"${skipped + 1}${skipped + 2}"
+    found = f"{_MATCH}{before}{_PART}$0{_PART}${skipped + groups + 3}{_MATCH}"
+    pieces = F.filter(F.split(F.regexp_replace(text, whole, found), _MATCH), lambda p, i: i % 2 == 1)
 
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(whole), F.lit(i))
+    def fields(piece: Column) -> Column:
+        parts = F.split(piece, _PART)
+        return F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("before", "found", "after"))])
 
-    return F.arrays_zip(
-        group(groups + 1).alias("before"), group(0).alias("found"), group(2 * groups + 2).alias("after")
-    )
+    return F.transform(pieces, fields)
 
 
 def _context(m: Column) -> Column:
@@ -55,7 +66,7 @@ def _when_likely(html: Column, words: list[str], rows: Column) -> Column:
 
 
 def class_pass(html: Column) -> Column:
-    hits = _matches(html, r"""class=["'][^"']+["']""", "(?i)")
+    hits = _matches(html, r"""class=["'][^"']+["']""", "(?i)", "class=")
 
     def rows(m: Column) -> Column:
         value = F.regexp_extract(m.getField("found"), r"""(?s)=["'](.*)["']$""", 1)
@@ -66,7 +77,9 @@ def class_pass(html: Column) -> Column:
 
 
 def attribute_pass(html: Column) -> Column:
-    hits = _matches(html, r"""[a-zA-Z0-9_\-:]+=["'][^"']*["']""")
+    # A match starts where a name starts; without the lookbehind every letter would be tried.
+    name = r"[a-zA-Z0-9_\-:]"
+    hits = _matches(html, rf"""{name}++=["'][^"']*["']""", probe=rf"(?<!{name}){name}++=")
     parts = r"""(?s)^([^=]+)=["'](.*)["']$"""
 
     def wanted(m: Column) -> Column:
@@ -90,10 +103,9 @@ def text_pass(html: Column, patterns: list[str], use_regex: bool, ignore_tags: l
     bare = html
     for tag in ignore_tags:
         bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    text = F.regexp_replace(bare, "<[^>]+>", " ")
     flags = "(?iU)"
 
-    def one(phrase: str) -> Column:
+    def one(text: Column, phrase: str) -> Column:
         pattern = phrase if use_regex else literal_pattern(phrase)[len(flags):]
 
         def row(m: Column) -> Column:
@@ -104,7 +116,8 @@ def text_pass(html: Column, patterns: list[str], use_regex: bool, ignore_tags: l
         rows = F.transform(_matches(text, pattern, flags), row)
         return F.when(text.rlike(flags + pattern), rows).otherwise(F.array().cast(_ROW))
 
-    return F.concat(*[one(phrase) for phrase in patterns])
+    content = F.regexp_replace(bare, "<[^>]+>", " ")
+    return let(content, lambda text: F.concat(*[one(text, phrase) for phrase in patterns]))
 
 
 def placeholder_occurrences(
