@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -83,6 +83,16 @@ def content_root(spark, sf):
     )
 
 
+@query
+def first_by_priority(spark, sf):
+    """The selector list decides, not the order in the page: main wins over the earlier article."""
+    main = F.concat(F.lit("</article><main>m"), F.col("page_id").cast("string"), F.lit("</main>"))
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("</article>"), main)).otherwise(F.col("html"))
+    pages = tokens.strip_noncontent(fx.pages(spark, sf).withColumn("html", html))
+    root = tokens.content_root(tokens.html_tokens(pages, cluster=True))
+    return root.groupBy("page_id").agg(F.min_by("tag", "pos").alias("root"), F.count("*").alias("n_tokens"))
+
+
 @query
 def extract_title(spark, sf):
     return fx.title_pages(spark, sf).select("page_id", markup.extract_title(F.col("html")).alias("title"))
@@ -382,6 +392,24 @@ def asset_refs(spark, sf):
     )
 
 
+@query
+def background_refs(spark, sf):
+    return assets.asset_refs(fx.asset_pages(spark, sf)).where(F.col("pass") == 2).select("page_id", "src", "url")
+
+
+@query
+def union_of_asset_passes(spark, sf):
+    return assets.asset_refs(fx.asset_pages(spark, sf)).groupBy(F.col("pass").cast("bigint").alias("pass")).agg(
+        F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages")
+    )
+
+
+@query
+def asset_manifest_by_url(spark, sf):
+    found = assets.asset_manifest(fx.asset_pages(spark, sf), dedupe_urls=True).where(F.col("pass") < 3)
+    return found.select("page_id", "url", "name", "status")
+
+
 @query
 def anchor_refs(spark, sf):
     return assets.asset_refs(fx.asset_pages(spark, sf)).where(F.col("pass") == 3).select("page_id", "src", "url")
@@ -421,6 +449,14 @@ def unique_renames(spark, sf):
     return assets.unique_renames(files)
 
 
+@query
+def sort_names(spark, sf):
+    order = Window.partitionBy("page_id").orderBy("name")
+    return unique_renames(spark, sf).select(
+        "page_id", "name", F.row_number().over(order).cast("bigint").alias("place")
+    )
+
+
 @query
 def rewrite_renamed(spark, sf):
     renames = unique_renames(spark, sf)
@@ -474,6 +510,12 @@ def _occurrences(spark, sf):
     )
 
 
+@query
+def union_of_placeholder_passes(spark, sf):
+    found = placeholders.placeholders_html(fx.loading_pages(spark, sf))
+    return found.groupBy("match_type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
 @query
 def dedup_occurrences(spark, sf):
     return placeholders.dedup_occurrences(_occurrences(spark, sf)).select("page_id", "pos", "selector_or_snippet")

@@ -97,11 +97,10 @@ def code_lang(attrs: Column) -> Column:
 def remove_elements(html: Column, tags: list[str] = fixed.NONCONTENT_TAGS, replacement: str = "") -> Column:
     """Remove elements with their content; void elements lose their tag."""
     void = [t for t in tags if t in fixed.VOID_TAGS]
-    paired = [t for t in tags if t not in fixed.VOID_TAGS]
-    parts = [rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in paired]
+    parts = [rf"{t}\b[^>]*>.*?</{t}\s*" for t in tags if t not in fixed.VOID_TAGS]
     if void:
-        parts.append(rf"<(?:{'|'.join(void)})\b[^>]*>")
-    return F.regexp_replace(html, "(?is)" + "|".join(parts), replacement) if parts else html
+        parts.append(rf"(?:{'|'.join(void)})\b[^>]*")
+    return F.regexp_replace(html, rf"(?is)<(?:{'|'.join(parts)})>", replacement) if parts else html
 
 
 def strip_tags(html: Column) -> Column:

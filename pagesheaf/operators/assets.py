@@ -85,15 +85,24 @@ def unique_names(assets: DataFrame) -> DataFrame:
     return named.withColumn("name", F.col("candidate")).drop("candidate", "rank")
 
 
-def asset_manifest(pages: DataFrame, folder: Column | None = None, **options) -> DataFrame:
+def asset_manifest(
+    pages: DataFrame, folder: Column | None = None, dedupe_urls: bool = False, **options
+) -> DataFrame:
     """The ``assets`` table: references with unique names, relative paths and a status.
 
     A reference that cannot be saved keeps its row with the status ``failed`` and takes no name.
+    An address referenced twice is saved twice unless ``dedupe_urls`` is set.
     """
     refs = asset_refs(pages, **options).withColumn("name", urls.asset_name(F.col("url")))
     where = folder if folder is not None else F.lit("assets")
     saved = F.col("name").isNotNull()
-    return unique_names(refs).select(
+    if dedupe_urls:
+        repeats = Window.partitionBy("page_id", "url").orderBy("pass", "pos")
+        first = refs.withColumn("name", F.when(F.row_number().over(repeats) == 1, F.col("name")))
+        named = unique_names(first).withColumn("name", F.max("name").over(Window.partitionBy("page_id", "url")))
+    else:
+        named = unique_names(refs)
+    return named.select(
         "page_id", "pass", "pos", "src", "url", "name",
         F.when(saved, urls.asset_rel_path(where, F.col("name"))).alias("rel_path"),
         F.when(saved, "ok").otherwise("failed").alias("status"),

@@ -48,7 +48,7 @@ def block_segments(pages: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     Cutting the page at block-level tags inside the row gives the windows a fraction of the rows a
     full token table has; inline markup is converted in the row and never crosses a sort.
     """
-    html = F.translate(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), _MARKS + _CUT, "")
+    html = F.regexp_replace("html", rf"(?s)<!--.*?-->|[{_MARKS}{_CUT}]", "")
     tags = "|".join(fixed.BLOCK_TAGS)
     cut = F.regexp_replace(html, rf"(?i)</?(?:{tags})(?=[\s/>])[^>]*>", f"{_CUT}$0")
     cut = F.regexp_replace(cut, r"(?i)<hr(?=[\s/>])[^>]*>", f"$0{_CUT}")
@@ -103,29 +103,19 @@ def _tag_depth(tags: list[str], run) -> Column:
 
 
 def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the running element depths, all over one sort order, and the innermost block and list."""
+    """Adds the innermost block and list, the running element depths and what surrounds a block."""
     run = upto_here(keys)
+    opens = F.col("step") == 1
     lists = F.col("tag").isin("ul", "ol")
-    n_images = F.when(F.contains(F.lower("body"), F.lit("<img")), F.regexp_count("body", F.lit(r"(?i)<img\b"))).otherwise(0)
-    counters = {
-        "v_depth": F.sum("v_step").over(run),
-        "l_depth": F.sum("l_step").over(run),
-        "m_depth": F.sum("m_step").over(run),
-        "leaf_no": F.sum((F.col("l_step") == 1).cast("int")).over(run),
-        "img_no": F.sum(n_images).over(run) - n_images,
-        "list_depth": _tag_depth(["ul", "ol"], run),
-        "li_depth": _tag_depth(["li"], run),
-        "quote_depth": _tag_depth(["blockquote"], run),
-        "pre_depth": _tag_depth(["pre"], run),
-        "head_depth": _tag_depth(_HEADINGS, run),
-        "summary_depth": _tag_depth(["summary"], run),
-        "title_depth": _tag_depth([*_HEADINGS[:4], "button"], run),
-        "head_level": F.last(
-            F.when(F.col("tag").isin(*_HEADINGS) & (F.col("step") == 1), F.substring("tag", 2, 1).cast("int")),
-            ignorenulls=True,
-        ).over(run),
-        "pre_attrs": F.last(F.when((F.col("tag") == "pre") & (F.col("step") == 1), F.col("attrs")), ignorenulls=True).over(run),
-    }
+    n_images = F.when(F.contains("body", F.lit("<")), F.regexp_count("body", F.lit(r"(?i)<img\b"))).otherwise(0)
+    nesting = marked.withColumns(
+        {
+            "v_depth": F.sum("v_step").over(run),
+            "list_depth": _tag_depth(["ul", "ol"], run),
+            "title_depth": _tag_depth([*_HEADINGS[:4], "button"], run),
+            "img_no": F.sum(n_images).over(run) - n_images,
+        }
+    )
     block = F.struct(
         F.col("pos").alias("seg"),
         F.col("vkind").alias("kind"),
@@ -137,13 +127,26 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
     )
     # Innermost vocabulary block or list: the latest one opened at the present nesting depth.
     innermost = F.last(F.when(F.col("v_step") == 1, block), ignorenulls=True).over(upto_here(keys, "v_depth"))
-    ordered = F.last(F.when(lists & (F.col("step") == 1), F.col("tag") == "ol"), ignorenulls=True).over(
-        upto_here(keys, "list_depth")
-    )
-    return (
-        marked.withColumns(counters)
-        .withColumns({"vb": innermost, "ordered_list": ordered})
-        .withColumn("vb", F.when(F.col("v_depth") > 0, F.col("vb")))
+    ordered = F.last(F.when(lists & opens, F.col("tag") == "ol"), ignorenulls=True).over(upto_here(keys, "list_depth"))
+    placed = nesting.withColumns({"vb": innermost, "ordered_list": ordered}).withColumn(
+        "vb", F.when(F.col("v_depth") > 0, F.col("vb"))
+    ).drop("vlevel", "vordered", "v_depth")
+    heading = F.when(F.col("tag").isin(*_HEADINGS) & opens, F.substring("tag", 2, 1).cast("int"))
+    return placed.withColumns(
+        {
+            "l_depth": F.sum("l_step").over(run),
+            "m_depth": F.sum("m_step").over(run),
+            "leaf_no": F.sum((F.col("l_step") == 1).cast("int")).over(run),
+            "li_depth": _tag_depth(["li"], run),
+            "quote_depth": _tag_depth(["blockquote"], run),
+            "pre_depth": _tag_depth(["pre"], run),
+            "head_depth": _tag_depth(_HEADINGS, run),
+            "summary_depth": _tag_depth(["summary"], run),
+            "head_level": F.last(heading, ignorenulls=True).over(run),
+            "pre_attrs": F.last(F.when((F.col("tag") == "pre") & opens, F.col("attrs")), ignorenulls=True).over(run),
+            # What surrounds a block is the state just before its own first segment.
+            "outer": F.lag(F.struct(F.col("vb.seg").alias("seg"), F.col("vb.kind").alias("kind"))).over(in_order(keys)),
+        }
     )
 
 
@@ -251,12 +254,12 @@ def page_blocks(
         F.col("vb.seg").alias("vseg"),
         vkind.alias("vkind"),
         F.when(F.col("l_depth") > 0, F.col("leaf_no")).alias("leaf_no"),
+        F.when(F.col("v_step") == 1, F.col("outer")).alias("outer"),
+    ).where(
+        # Segments without text are only needed where they open a block or a leaf.
+        F.col("divider") | F.col("outer").isNotNull() | F.col("leaf_no").isNotNull() | F.col("body").rlike(_CONTENT)
     )
-    by_seg = Window.partitionBy(*keys).orderBy("block_no")
     in_block = Window.partitionBy(*keys, "vseg")
-    # What surrounds a block is the state just before its own first segment.
-    outer = F.lag(F.struct("vseg", "vkind")).over(by_seg)
-    rows = rows.withColumn("outer", F.when(F.col("vseg") == F.col("block_no"), outer))
     rows = rows.withColumns(
         {"outer": F.max("outer").over(in_block), "first_leaf": F.min("leaf_no").over(in_block)}
     )
@@ -268,7 +271,7 @@ def page_blocks(
         | (has_text & (~boxed | F.col("first_leaf").isNull() | F.coalesce(in_leaf, F.lit(False))))
     )
     if leaf_only:
-        nested = F.col("outer.vkind").isin("paragraph", "list_item", "quote", "heading")
+        nested = F.col("outer.kind").isin("paragraph", "list_item", "quote", "heading")
         kept = kept.where(F.col("vseg").isNull() | ~F.coalesce(nested, F.lit(False)))
     marked = F.when(F.col("kind") == "code", _convert(F.col("body"), _code_piece)).otherwise(
         _convert(F.col("body"), _inline_piece)
@@ -281,7 +284,7 @@ def page_blocks(
     return kept.withColumn("text", text).select(
         *keys,
         "block_no",
-        F.when(F.col("vseg").isNotNull(), F.col("outer.vseg")).alias("parent_block"),
+        F.when(F.col("vseg").isNotNull(), F.col("outer.seg")).alias("parent_block"),
         "kind",
         F.when(F.col("kind") == "heading", F.col("level")).alias("level"),
         F.when(F.col("kind") == "list_item", F.coalesce("ordered", F.lit(False))).alias("ordered"),
@@ -293,14 +296,18 @@ def page_blocks(
 def group_list_runs(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Adds ``run_id``, shared by adjacent items of one list, and ``item_no`` within the run."""
     order = Window.partitionBy(*keys).orderBy("block_no")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     this = F.struct("kind", "ordered", "parent_block")
     same = (F.col("kind") == "list_item") & this.eqNullSafe(F.lag(this).over(order))
-    out = blocks.withColumn("new_run", F.when(same, 0).otherwise(1))
-    out = out.withColumn(
-        "run_id", F.sum("new_run").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = blocks.withColumns({"new_run": F.when(same, 0).otherwise(1), "nth": F.row_number().over(order)})
+    out = out.withColumns(
+        {
+            "run_id": F.sum("new_run").over(running),
+            "run_start": F.max(F.when(F.col("new_run") == 1, F.col("nth"))).over(running),
+        }
     )
-    in_run = Window.partitionBy(*keys, "run_id").orderBy("block_no")
-    return out.withColumn("item_no", F.when(F.col("kind") == "list_item", F.row_number().over(in_run))).drop("new_run")
+    item = F.when(F.col("kind") == "list_item", F.col("nth") - F.col("run_start") + 1)
+    return out.withColumn("item_no", item).drop("new_run", "nth", "run_start")
 
 
 def block_stats(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -334,17 +341,13 @@ def render_markdown(blocks: DataFrame, keys: list[str] = KEYS, fence_lang: bool
 
     ``blocks`` carries the columns of ``group_list_runs``.
     """
-    order = Window.partitionBy(*keys).orderBy("block_no")
-    blocks = blocks.where((F.col("kind") != "code") | (F.col("text") != ""))
-    gap = F.when(F.lag("run_id").over(order).isNull(), "").when(
-        F.lag("run_id").over(order) == F.col("run_id"), "\n"
-    ).otherwise("\n\n")
-    pieces = blocks.select(
+    text = blocks.where((F.col("kind") != "code") | (F.col("text") != ""))
+    # The second and later items of a run follow their predecessor closely.
+    gap = F.when(F.col("item_no") > 1, "\n").otherwise("\n\n")
+    pieces = text.select(
         *keys, F.struct("block_no", F.concat(gap, render_block(fence_lang)).alias("md")).alias("piece")
     )
+    parts = F.transform(F.array_sort(F.collect_list("piece")), lambda p: p.getField("md"))
     return pieces.groupBy(*keys).agg(
-        F.concat(
-            F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p.getField("md")), ""),
-            F.lit("\n"),
-        ).alias("md")
+        F.concat(F.regexp_replace(F.array_join(parts, ""), r"\A\n\n", ""), F.lit("\n")).alias("md")
     )
