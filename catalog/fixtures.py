@@ -84,18 +84,20 @@ def doc_url(number: Column) -> Column:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that link to each other; one target is dangling and one link repeats."""
-    source = pages(spark, sf_dir)
-    n = source.agg(F.count("*")).scalar()
+    """Pages that link to each other.
+
+    Every third page links to page 0, so one target is hot; one link of each page goes nowhere, one
+    to the page itself, and one repeats.
+    """
     i = F.col("page_id")
-    targets = [(3 * i + 1) % n, (5 * i + 2) % n, i, n + i, (3 * i + 1) % n]
+    targets = [3 * i + 1, F.when(i % 3 == 0, 0).otherwise(F.floor(i / 2)), i, -1 - i, 3 * i + 1]
     anchors = F.concat(
         *[
             F.concat(F.lit('<a href="'), doc_url(t), F.lit(f'">Doc <b>{pos}</b></a>'))
             for pos, t in enumerate(targets)
         ]
     )
-    return source.select("page_id", doc_url(i).alias("url"), in_article(F.col("html"), anchors).alias("html"))
+    return pages(spark, sf_dir).select("page_id", doc_url(i).alias("url"), in_article(F.col("html"), anchors).alias("html"))
 
 
 def variant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,10 +108,9 @@ final AS (SELECT doc_id, CASE WHEN t LIKE '%' || chr(10) THEN t ELSE t || chr(10
 DOC = "'https://ws.notion.site/Doc-' || md5(CAST({} AS VARCHAR))"
 
 LINKED = r"""
-n AS (SELECT count(*) AS n FROM pages),
-five AS (SELECT page_id, pos, CASE pos WHEN 0 THEN (3 * page_id + 1) % n WHEN 1 THEN (5 * page_id + 2) % n WHEN 2 THEN page_id
-    WHEN 3 THEN n + page_id ELSE (3 * page_id + 1) % n END AS target, n FROM pages, n, range(5) r(pos)),
-linked AS (SELECT page_id, target, n, min(pos) AS pos FROM five WHERE target <> page_id GROUP BY ALL)"""
+five AS (SELECT page_id, pos, CASE pos WHEN 1 THEN CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id // 2 END WHEN 2 THEN page_id
+    WHEN 3 THEN -1 - page_id ELSE 3 * page_id + 1 END AS target FROM pages, range(5) r(pos)),
+linked AS (SELECT page_id, target, min(pos) AS pos FROM five WHERE target <> page_id GROUP BY ALL)"""
 
 OBS = r"""
 obs AS (SELECT user_id AS page_id, event_id, ts, event_type <> 'error' AS clean, CAST(floor(value / 20) AS BIGINT) AS height, props AS html,
@@ -210,7 +209,7 @@ VARIANTS = r"""variants AS (SELECT page_id, pos, 'https://ws.notion.site/V-k' ||
 sql("variant_links", with_(VARIANTS) + "SELECT page_id, pos, href FROM variants")
 sql("subpage_index", with_(VARIANTS) + "SELECT page_id, href, 'subpage_' || pos AS folder FROM variants")
 sql("link_counts", with_(LINKED) + "SELECT page_id, count(*) AS n_links FROM linked GROUP BY page_id")
-sql("unresolved_links", with_(LINKED) + "SELECT page_id, md5(CAST(target AS VARCHAR)) AS target_id FROM linked WHERE target >= n")
+sql("unresolved_links", with_(LINKED) + "SELECT page_id, md5(CAST(target AS VARCHAR)) AS target_id FROM linked WHERE target NOT IN (SELECT page_id FROM pages)")
 SAFE_TITLES = TITLES + f""",
 folders AS (SELECT page_id, substr({safe('title')}, 1, 160) AS f FROM titles)"""
 sql("subdocuments", with_(PAGE_MD, SAFE_TITLES, LINKED) + """SELECT l.page_id AS parent_id, target AS child_id, f || '/' || f || '.md' AS child_path, md AS child_md
@@ -219,9 +218,10 @@ sql("append_subpages", """SELECT p.page_id, 'page ' || p.page_id || chr(10) || C
     chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: https://ws.notion.site/V-k' || (p.page_id // 2) || 'z-7' || chr(10) || chr(10)
     || 'page ' || c.page_id || chr(10) END AS md, CAST(CASE WHEN c.page_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_subpages
     FROM pages p LEFT JOIN pages c ON p.page_id % 2 = 0 AND c.page_id = p.page_id + 1""")
-sql("rewrite_links", with_(SAFE_TITLES, "n AS (SELECT count(*) AS n FROM pages)") + f"""SELECT p.page_id, '[a](' || {DOC.format('p.page_id')} || ') [b](' ||
-    CASE WHEN f.page_id = p.page_id THEN {DOC.format('f.page_id')} ELSE replace(url_encode(f || '/' || f || '.md'), '%2F', '/') END || ')' || chr(10) AS md
-    FROM pages p, n JOIN folders f ON f.page_id = (3 * p.page_id + 1) % n""")
+sql("rewrite_links", with_(SAFE_TITLES) + f"""SELECT p.page_id, '[a](' || {DOC.format('p.page_id')} || ') [b](' ||
+    CASE WHEN p.page_id % 3 = 0 THEN {DOC.format('p.page_id // 2')} ELSE replace(url_encode(f || '/' || f || '.md'), '%2F', '/') END
+    || ') [c](' || {DOC.format('-1 - p.page_id')} || ')' || chr(10) AS md
+    FROM pages p JOIN folders f ON f.page_id = p.page_id // 2""")
 sql("filter_seen", """SELECT user_id AS page_id, min(event_id) AS pos, props AS href FROM events WHERE props <> '{"k": 1}' GROUP BY user_id, props""")
 
 # --- assets ---------------------------------------------------------------------------------

@@ -367,9 +367,11 @@ def subpage_index(spark, sf):
 def rewrite_links(spark, sf):
     source = fx.linked_pages(spark, sf)
     i = F.col("page_id")
-    see = F.concat(F.lit("[a]("), fx.doc_url(i), F.lit(") [b]("))
-    md = source.withColumn("n", F.lit(source.agg(F.count("*")).scalar())).select(
-        "page_id", F.concat(see, fx.doc_url((3 * i + 1) % F.col("n")), F.lit(")\n")).alias("md")
+    md = source.select(
+        "page_id",
+        F.concat(
+            F.lit("[a]("), fx.doc_url(i), F.lit(") [b]("), fx.doc_url(F.floor(i / 2)), F.lit(") [c]("), fx.doc_url(-1 - i), F.lit(")\n")
+        ).alias("md"),
     )
     return corpus.pages_with_subdocuments(source, md)[0]
 
