@@ -27,9 +27,10 @@ NO_SCRIPT = r"regexp_replace(html, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*
 
 
 def unescape(x: str) -> str:
-    return (
-        f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-    )
+    # The pages hold these four references only; cut titles may lack the semicolon.
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
 
 
 def squeeze(x: str) -> str:
