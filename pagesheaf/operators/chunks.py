@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 from pagesheaf.functions import markup
 from pagesheaf.functions.text import blank_to_null, is_placeholder_literal
-from pagesheaf.operators.tokens import KEYS, content_root, html_tokens, in_order, pair_tags, upto_here
+from pagesheaf.operators.tokens import KEYS, content_root, html_tokens, inside_elements, upto_here
 
 
 def selectable_chunks(pages: DataFrame, keys: list[str] = KEYS, nested: bool = False) -> DataFrame:
@@ -20,26 +20,12 @@ def selectable_chunks(pages: DataFrame, keys: list[str] = KEYS, nested: bool = F
     bare = pages.withColumn("html", markup.remove_elements(F.col("html"), ["script", "style"]))
     tokens = html_tokens(bare, keys, cluster=True, keep_raw=True)
     rooted = content_root(tokens, [("div", fixed.PAGE_CONTENT_CLASS, None)], keys)
-    likely = (F.col("tag") == "div") & (F.col("kind") == "open") & F.contains("attrs", F.lit(fixed.SELECTABLE_CLASS))
-    wanted = F.coalesce(
-        F.when(likely, F.array_contains(markup.class_list(F.col("attrs")), fixed.SELECTABLE_CLASS)), F.lit(False)
-    )
-    paired = pair_tags(rooted.withColumn("selectable", wanted), keys)
-    opener = F.lag("selectable").over(in_order([*keys, "tag", "lvl"]))
-    paired = paired.withColumn(
-        "s_step",
-        F.when((F.col("step") == 1) & F.col("selectable"), 1)
-        .when((F.col("step") == -1) & F.coalesce(opener, F.lit(False)), -1)
-        .otherwise(0),
-    )
-    depth = paired.withColumn("depth", F.sum("s_step").over(upto_here(keys)))
-    # A close token still belongs to the element it ends.
-    inside = depth.withColumn("around", F.col("depth") + F.when(F.col("s_step") == -1, 1).otherwise(0)).where(
-        F.col("around") > 0
-    )
+    likely = (F.col("tag") == "div") & F.contains("attrs", F.lit(fixed.SELECTABLE_CLASS))
+    wanted = F.when(likely, F.array_contains(markup.class_list(F.col("attrs")), fixed.SELECTABLE_CLASS))
+    inside = inside_elements(rooted, wanted, keys)
     levels = F.sequence(F.lit(1), F.col("around").cast("int")) if nested else F.array(F.lit(1))
     spread = inside.withColumn("level", F.explode(levels))
-    starts = (F.col("s_step") == 1) & (F.col("depth") == F.col("level"))
+    starts = F.col("starts") & (F.col("around") == F.col("level"))
     numbered = spread.withColumn("nth", F.sum(starts.cast("int")).over(upto_here(keys, "level")))
     part = F.struct("pos", "raw")
     block_id = F.coalesce(

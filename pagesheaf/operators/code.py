@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 from pagesheaf.functions import markup
 from pagesheaf.functions.text import code_text, strip
-from pagesheaf.operators.tokens import KEYS, element_spans, in_order, pair_tags, upto_here
-
-_END_OF_PAGE = 2_147_483_647
+from pagesheaf.operators.tokens import KEYS, in_order, inside_elements, pair_tags, upto_here
 
 
 def _is_code_element() -> Column:
@@ -21,15 +19,26 @@ def _is_code_element() -> Column:
     return F.contains(F.lower("attrs"), F.lit(fixed.CODE_CLASSES[0])) & both
 
 
-def _outermost(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans that lie in no other span of the set."""
-    earlier = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spans.withColumn("end", F.coalesce("end", F.lit(_END_OF_PAGE)))
-        .withColumn("covered", F.max("end").over(earlier))
-        .where(F.col("covered").isNull() | (F.col("start") > F.col("covered")))
-        .drop("covered")
+def _collect_texts(inside: DataFrame, groups: list[str]) -> DataFrame:
+    """``groups, pos, attrs, parts, has_code`` of the tokens of each group, first token first."""
+    text = F.when(F.col("kind") == "text", F.col("text")).when(
+        (F.col("kind") == "open") & (F.col("tag") == "br"), "\n"
     )
+    part = F.when(text.isNotNull(), F.struct("pos", text.alias("text")))
+    return inside.groupBy(*groups).agg(
+        F.min("pos").alias("pos"),
+        F.min_by("attrs", "pos").alias("attrs"),
+        F.transform(F.array_sort(F.collect_list(part)), lambda p: p.getField("text")).alias("parts"),
+        F.max((F.col("kind") == "open") & F.col("tag").isin("pre", "code")).alias("has_code"),
+    )
+
+
+def _marked_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts of the outermost elements that carry both code classes."""
+    inside = inside_elements(tokens, _is_code_element(), keys)
+    first = F.col("starts") & (F.col("around") == 1)
+    numbered = inside.withColumn("nth", F.sum(first.cast("int")).over(upto_here(keys)))
+    return _collect_texts(numbered, [*keys, "nth"]).drop("nth")
 
 
 def _many_span_elements(tokens: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -57,23 +66,14 @@ def _many_span_elements(tokens: DataFrame, keys: list[str], least: int) -> DataF
 
 
 def _text_in_spans(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts and inner tags of disjoint spans: ``keys, pos, attrs, parts, has_code``."""
-    starts = spans.select(*keys, F.col("start").alias("pos"), F.col("end").alias("span_end"), F.col("attrs").alias("span_attrs"))
+    """Texts and inner tags of disjoint spans."""
+    starts = spans.select(*keys, F.col("start").alias("pos"), F.col("end").alias("span_end"))
     joined = tokens.join(starts, [*keys, "pos"], "left")
-    run = upto_here(keys)
-    mark = F.when(F.col("span_end").isNotNull(), F.struct(F.col("pos").alias("start"), "span_end", "span_attrs"))
-    inside = joined.withColumn("span", F.last(mark, ignorenulls=True).over(run)).where(
+    mark = F.when(F.col("span_end").isNotNull(), F.struct(F.col("pos").alias("start"), "span_end"))
+    inside = joined.withColumn("span", F.last(mark, ignorenulls=True).over(upto_here(keys))).where(
         F.col("pos") <= F.col("span.span_end")
     )
-    text = F.when(F.col("kind") == "text", F.col("text")).when(
-        (F.col("kind") == "open") & (F.col("tag") == "br"), "\n"
-    )
-    part = F.when(text.isNotNull(), F.struct("pos", text.alias("text")))
-    return inside.groupBy(*keys, F.col("span.start").alias("pos")).agg(
-        F.first("span.span_attrs").alias("attrs"),
-        F.transform(F.array_sort(F.collect_list(part)), lambda p: p.getField("text")).alias("parts"),
-        F.max((F.col("kind") == "open") & F.col("tag").isin("pre", "code")).alias("has_code"),
-    )
+    return _collect_texts(inside.withColumn("nth", F.col("span.start")), [*keys, "nth"]).drop("nth")
 
 
 def code_blocks(
@@ -84,8 +84,7 @@ def code_blocks(
     ``span_fallback`` also takes, on pages without a code element, the innermost elements with
     many spans.
     """
-    strict = _outermost(element_spans(tokens, _is_code_element(), keys), keys)
-    found = _text_in_spans(tokens, strict, keys).where(~F.coalesce("has_code", F.lit(False)))
+    found = _marked_elements(tokens, keys).where(~F.coalesce("has_code", F.lit(False)))
     if span_fallback:
         loose = _many_span_elements(tokens, keys, least_spans)
         others = tokens.join(found.select(*keys).distinct(), keys, "left_anti")

@@ -159,6 +159,26 @@ def content_root(
     )
 
 
+def inside_elements(tokens: DataFrame, wanted: Column, keys: list[str] = KEYS) -> DataFrame:
+    """Keep the tokens inside elements for which ``wanted`` holds at the open token.
+
+    Adds ``around``, the number of such elements around the token, and ``starts``, true at their
+    open tokens. A close token still belongs to the element it ends. Windows only, no join.
+    """
+    here = F.coalesce((F.col("kind") == "open") & wanted, F.lit(False))
+    paired = pair_tags(tokens.withColumn("starts", here), keys)
+    opener = F.coalesce(F.lag("starts").over(in_order([*keys, "tag", "lvl"])), F.lit(False))
+    step = F.when((F.col("step") == 1) & F.col("starts"), 1).when((F.col("step") == -1) & opener, -1).otherwise(0)
+    stepped = paired.withColumn("step", step)
+    ends = F.when(F.col("step") == -1, 1).otherwise(0)
+    return (
+        stepped.withColumn("around", F.sum("step").over(upto_here(keys)) + ends)
+        .where(F.col("around") > 0)
+        .withColumn("starts", F.col("step") == 1)
+        .drop("step", "lvl")
+    )
+
+
 def element_spans(tokens: DataFrame, wanted: Column, keys: list[str] = KEYS) -> DataFrame:
     """Extent of every element for which ``wanted`` holds at its open token.
 
