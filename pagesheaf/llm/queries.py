@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagesheaf.llm.common import table
 from pagesheaf.llm.simhash import near_groups
+from pagesheaf.llm.token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json", limit=512)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
 }
 
