@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagesheaf.llm.common import table
+from pagesheaf.llm.language import identify_language
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
 
@@ -19,9 +20,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=4, threshold=4)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"), folds=5, held=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
 }
 
 ORACLES: dict[str, str] = {}
