@@ -11,6 +11,7 @@ from pagesheaf.llm.language import identify_language
 from pagesheaf.llm.quality import classify_quality
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
+from pagesheaf.llm.toxicity import classify_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(docs, labels, folds=5, held=0, threshold=0.3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify_toxicity(docs, labels, folds=3, held=1, threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
