@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagesheaf.llm.common import table
 from pagesheaf.llm.language import identify_language
+from pagesheaf.llm.licenses import license_scan
 from pagesheaf.llm.quality import classify_quality
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"), folds=5, held=0)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), threshold=0.9)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return classify_quality(docs, labels, folds=5, held=0, threshold=0.3)
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_licenses": op4_licenses,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
 }
