@@ -1,4 +1,9 @@
-"""Token counts: pieces once per distinct pre-token, joined to per-document pre-token frequencies."""
+"""Token counts: pieces once per distinct pre-token, joined to per-document pre-token frequencies.
+
+The join is made inside the tasks. Joining in Spark moves every (document, pre-token) pair that is not a vocabulary entry,
+about 40 million for 0.5 GB of documents, which is more than the documents themselves; the README has the figures. So each
+worker process keeps a lexicon of the pre-tokens it has met with their numbers of pieces, and no text or pair is moved.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +16,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Pre-tokens of one flush of the first step, and distinct pre-tokens a task of the second step remembers.
-FLUSH_ENTRIES = 400_000
+# Pre-tokens that a worker process remembers, and characters of texts that are counted together.
 REMEMBERED = 1_000_000
-# A pre-token that is in more documents of one flush goes to one of this many partitions by its flush.
-WIDE, SPREAD = 32, 32
-
-_FREQUENCIES = (
-    "piece string, salt int, doc_ids array<bigint>, keys array<int>, ns array<bigint>, bytes array<bigint>, copies array<bigint>"
-)
-_COUNTS = "doc_id bigint, key int, n_tokens bigint, n_bytes bigint, copies bigint"
-
+ROUND_CHARS = 4_000_000
 
 def vocabulary_path(name: str) -> str:
     """Place of a vocabulary file on this machine; an absolute path stays as it is."""
@@ -55,22 +51,25 @@ def _library(name: str):
     return Tokenizer.from_file(path), [a["content"] for a in spec["added_tokens"]]
 
 
-def _piece_counts(name: str, pieces: list[str]) -> list[int]:
-    """Pieces of each pre-token. A pre-token is one word of the model, so it is not split again."""
-    return [len(e) for e in _library(name)[0].encode_batch_fast(pieces, add_special_tokens=False)]
+@functools.lru_cache(maxsize=1)
+def _alphabet() -> dict[int, str]:
+    """Byte-level BPE writes a byte as a character: printable ones of Latin-1 as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=2)
-def _known(name: str) -> dict[str, int]:
-    """Counts of the pre-tokens that are vocabulary entries: the commonest ones, bounded by the vocabulary."""
-    import regex
-    from public_tokenizers import PATTERN
+def _lexicon(name: str) -> dict[str, int]:
+    """Pre-tokens met so far with their numbers of pieces; one for each vocabulary and worker process."""
+    return {}
 
-    tokenizer, special = _library(name)
-    one = regex.compile(PATTERN)
-    texts = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
-    texts = [t for t in dict.fromkeys(texts) if t and "�" not in t and t not in special and one.fullmatch(t)]
-    return dict(zip(texts, _piece_counts(name, texts)))
+
+def _learn(name: str, lexicon: dict[str, int], pretokens: set[str]) -> None:
+    """Count the pieces of new pre-tokens. Each is one word of the model, so it is not split again."""
+    tokenize, alphabet = _library(name)[0].model.tokenize, _alphabet()
+    for p in pretokens:
+        lexicon[p] = len(tokenize(p.encode("utf-8").decode("latin-1").translate(alphabet)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -107,125 +106,44 @@ def _pretokens(name: str):
     return of
 
 
-def _listed(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
-def pretoken_frequencies(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per-document frequencies of pre-tokens, turned over: a row per distinct pre-token and flush of a task, with the
-    documents that hold it. Pre-tokens that are vocabulary entries are summed here; they come as one row without a
-    pre-token per flush. A document is (its id, 32 bits of its text's hash), so ids that occur twice stay apart.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = _pretokens(vocabulary), _known(vocabulary)
-        docs_, keys, sums, sizes = [], [], [], []
-        ids: dict[str, int] = {}
-        at, who, n = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            p, d, m = np.array(at, np.int64), np.array(who, np.int64), np.array(n, np.int64)
-            order = np.argsort(p, kind="stable")
-            p, d, m = p[order], d[order], m[order]
-            ends = np.searchsorted(p, np.arange(len(ids) + 1)).astype(np.int32)
-            total, k = len(docs_), len(d)
-            own = pa.array(docs_, pa.int64())
-            who_all = pa.concat_arrays([own.take(pa.array(d)), own])
-            offsets = np.concatenate((ends, [k + total]))
-            seat = np.array(keys, np.int32)
-            salt = np.where(np.diff(ends) > WIDE, (seat[0] if total else 0) % SPREAD, 0)
-            zero = np.zeros(k, np.int64)
-            return pa.RecordBatch.from_arrays([
-                pa.array([*ids, None], pa.string()),
-                pa.array(np.concatenate((salt, [seat[0] if total else 0])), pa.int32()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), who_all),
-                _listed(np.concatenate((seat[d], seat)), offsets, pa.int32()),
-                _listed(np.concatenate((m, sums)), offsets, pa.int64()),
-                _listed(np.concatenate((zero, sizes)), offsets, pa.int64()),
-                _listed(np.concatenate((zero, np.ones(total, np.int64))), offsets, pa.int64()),
-            ], ["piece", "salt", "doc_ids", "keys", "ns", "bytes", "copies"])
-
-        for b in batches:
-            for doc, seat, value, size in zip(*(c.to_pylist() for c in b.columns)):
-                pretokens, total = cut(value or "")
-                i = len(docs_)
-                for piece, times in Counter(pretokens).items():
-                    count = known.get(piece)
-                    if count is None:
-                        at.append(ids.setdefault(piece, len(ids)))
-                        who.append(i)
-                        n.append(times)
-                    else:
-                        total += count * times
-                docs_.append(doc)
-                keys.append(seat)
-                sums.append(total)
-                sizes.append(size)
-                if len(at) + len(docs_) >= FLUSH_ENTRIES:
-                    yield flush()
-                    docs_, keys, sums, sizes = [], [], [], []
-                    ids, at, who, n = {}, [], [], []
-        if docs_:
-            yield flush()
-
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.hash(whole), F.col(text), F.octet_length(whole).cast("bigint")).toDF(
-        "doc_id", "seat", "text", "size").mapInArrow(run, _FREQUENCIES)
-
-
-def _summed(columns: list[list[pa.Array]]) -> pa.RecordBatch:
-    names = ["doc_id", "key", "n_tokens", "n_bytes", "copies"]
-    table = pa.table({k: pa.chunked_array(c) for k, c in zip(names, columns)})
-    out = table.group_by(["doc_id", "key"]).aggregate([(k, "sum") for k in names[2:]])
-    return out.select(["doc_id", "key", *(f"{k}_sum" for k in names[2:])]).rename_columns(names).combine_chunks().to_batches()[0]
-
-
 def token_counts(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """Rows (key, n_bytes, n_tokens, over_limit), one per row of ``docs``.
 
     ``n_tokens`` is what the library gives for the whole text without added special tokens; special strings inside a
-    text count as one token, as is its default. Null texts count as empty (0, 0). Repeated rows, and rows that share an
-    id, each keep their row; a null id is kept. An empty table gives no rows. Other columns are not read.
-
-    Occurrences of a pre-token meet in one partition, where its pieces are counted once. A pre-token that is common in
-    the documents is spread over ``SPREAD`` partitions and counted once in each. No token ids leave the library.
+    text count as one token, as is its default. Null texts count as empty (0, 0). Repeated rows stay repeated, a null id
+    is kept, an empty table gives no rows, other columns are not read. No token ids leave the library.
     """
-    freq = pretoken_frequencies(docs, vocabulary, text, key)
-    dealt = freq.repartition("piece", "salt")
+    names = [key, "n_tokens"]
+    schema = docs.select(F.col(key), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).cast("bigint").alias("n_bytes")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[str | None, int] = {None: 1}
-        held: list[list[pa.Array]] = [[], [], [], [], []]
-        entries = 0
+        cut, lexicon = _pretokens(vocabulary), _lexicon(vocabulary)
         for b in batches:
-            pieces = b.column("piece").to_pylist()
-            new = list(dict.fromkeys(p for p in pieces if p not in counted))
-            if len(counted) + len(new) > REMEMBERED:
-                counted = {None: 1}
-                new = list(dict.fromkeys(p for p in pieces if p is not None))
-            if new:
-                counted.update(zip(new, _piece_counts(vocabulary, new)))
-            each = np.array([counted[p] for p in pieces], np.int64)
-            lists = [b.column(c) for c in ("doc_ids", "keys", "ns", "bytes", "copies")]
-            sizes = np.diff(lists[0].offsets.to_numpy())
-            flat = [x.flatten() for x in lists]
-            flat[2] = pa.array(flat[2].to_numpy() * np.repeat(each, sizes), pa.int64())
-            for k, x in enumerate(flat):
-                held[k].append(x)
-            entries += len(flat[0])
-            if entries > 1_000_000:
-                yield _summed(held)
-                held, entries = [[], [], [], [], []], 0
-        if entries:
-            yield _summed(held)
-
-    parts = dealt.mapInArrow(run, _COUNTS)
-    rows = parts.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "copies")])
-    # Rows that agree in id and text were added up; each gets its share back.
-    one = rows.select(
-        F.col("doc_id").alias(key), F.expr("n_bytes div copies").alias("n_bytes"), F.expr("n_tokens div copies").alias("n_tokens"),
-        F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"),
-    )
-    return one.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            totals: list[int] = []
+            frequencies: list[tuple[Counter, int]] = []
+            held = 0
+
+            def join() -> None:
+                new = {p for f, _ in frequencies for p in f if p not in lexicon}
+                if len(lexicon) + len(new) > REMEMBERED:
+                    lexicon.clear()
+                    new = {p for f, _ in frequencies for p in f}
+                _learn(vocabulary, lexicon, new)
+                totals.extend(special + sum(lexicon[p] * n for p, n in f.items()) for f, special in frequencies)
+
+            for x in b.column(1):
+                text_ = x.as_py() or ""
+                pretokens, special = cut(text_)
+                frequencies.append((Counter(pretokens), special))
+                held += len(text_)
+                if held > ROUND_CHARS:
+                    join()
+                    frequencies, held = [], 0
+            join()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(totals, pa.int64()), b.column(2)], [*names, "n_bytes"])
+
+    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
+    counted = docs.select(key, text, size.alias("n_bytes")).mapInArrow(run, schema)
+    return counted.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
