@@ -11,10 +11,10 @@ import functools
 import json
 import os
 import re
-import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,19 +72,16 @@ def _learn(name: str, lexicon: dict[str, int], pretokens: set[str]) -> None:
         lexicon[p] = len(tokenize(p.encode("utf-8").decode("latin-1").translate(alphabet)))
 
 
-@functools.lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Characters that this Python's character tables don't know. On newer ones the pattern and the library may
-    disagree about what a letter is, so texts with any of them are cut by the library itself."""
-    spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        new = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if new and start is None:
-            start = c
-        elif not new and start is not None:
-            spans.append((start, c - 1))
-            start = None
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+_BEYOND = re.compile("[^\\x00-\u024f]").findall
+
+
+def _unassigned(text: str) -> bool:
+    """True if this Python's character tables don't know some character of the text.
+
+    On newer characters the pattern and the library may disagree about what a letter is, so the library cuts such texts
+    itself. All characters up to the end of the Latin blocks are assigned.
+    """
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(_BEYOND(text)))
 
 
 def _pretokens(name: str):
@@ -93,7 +90,7 @@ def _pretokens(name: str):
     from public_tokenizers import PATTERN
 
     tokenizer, special = _library(name)
-    words, cut, new = regex.compile(PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str, _unassigned().search
+    words, cut, new = regex.compile(PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str, _unassigned
     marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def of(text: str) -> tuple[list[str], int]:
@@ -126,12 +123,12 @@ def token_counts(
             held = 0
 
             def join() -> None:
-                new = {p for f, _ in frequencies for p in f if p not in lexicon}
+                new = set().union(*(f.keys() - lexicon.keys() for f, _ in frequencies))
                 if len(lexicon) + len(new) > REMEMBERED:
                     lexicon.clear()
-                    new = {p for f, _ in frequencies for p in f}
+                    new = set().union(*(f.keys() for f, _ in frequencies))
                 _learn(vocabulary, lexicon, new)
-                totals.extend(special + sum(lexicon[p] * n for p, n in f.items()) for f, special in frequencies)
+                totals.extend(special + sum(map(mul, map(lexicon.__getitem__, f), f.values())) for f, special in frequencies)
 
             for x in b.column(1):
                 text_ = x.as_py() or ""
