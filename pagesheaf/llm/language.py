@@ -9,11 +9,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesheaf.llm.common import fold_of, smallest_rows
+from pagesheaf.llm.common import drawn_rows, fold_of
 
 # Bounds of the labelled sample: passages per language, characters of one passage.
 PASSAGES = 150
@@ -123,16 +123,16 @@ def reference_texts(docs: DataFrame, folds: int = 5, held: int = 0) -> tuple[tup
     seed = F.xxhash64("text")
     start = F.pmod(seed, F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(0)) + 1).cast("int") + 1
     rows = docs.where((fold_of("doc_id", folds) != held) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.select("lang", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("passage"), seed.alias("h"))
-    picked = smallest_rows(rows, ["lang"], "h", PASSAGES).collect()
+    rows = rows.select("lang", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("passage"), F.xxhash64("doc_id", "text").alias("h"))
+    picked = drawn_rows(rows, "lang", "h", PASSAGES).collect()
     out: dict[str, list[tuple[int, str]]] = {}
     for r in picked:
         out.setdefault(r.lang, []).append((r.h, r.passage))
     return tuple((k, " ".join(p for _, p in sorted(out[k]))) for k in sorted(out))
 
 
-def language_scores(docs: DataFrame, references: tuple[tuple[str, str], ...]) -> DataFrame:
-    """``docs`` (doc_id, text) to rows (doc_id, lang_pred, score).
+def language_of(references: tuple[tuple[str, str], ...], text: Column) -> Column:
+    """The language of a text as a column of (lang_pred, score).
 
     A text is parsed against each language into the longest matches with its labelled text; the language needing the
     fewest phrases, weighted by the logarithm of the length of its labelled text, wins, and the first in order on a tie.
@@ -140,51 +140,49 @@ def language_scores(docs: DataFrame, references: tuple[tuple[str, str], ...]) ->
     Null texts, texts without a letter and tables without any labelled row give ``und`` and 0. Whole texts are parsed,
     in blocks of ``BLOCK`` characters.
     """
-    names = [k for k, _ in references]
-    schema = docs.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    names = np.array([k for k, _ in references], object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(blocks: list[np.ndarray], owners: list[int], parsers: list[np.ndarray], totals: np.ndarray) -> None:
+        order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+        by_size, at = [blocks[i] for i in order], np.array(owners)[order]
+        for k, parser in enumerate(parsers):
+            np.add.at(totals[:, k], at, _phrases(by_size, parser))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         code_of, parsers, weights = _model(references) if references else (None, [], np.zeros(0))
-        for b in batches:
-            n = b.num_rows
+        for texts in parts:
+            n = len(texts)
             totals = np.zeros((n, len(parsers)))
             some = np.zeros(n, bool)
             owners, blocks, held = [], [], 0
-
-            def parse() -> None:
-                order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-                sorted_blocks, at = [blocks[i] for i in order], np.array(owners)[order]
-                for k, parser in enumerate(parsers):
-                    np.add.at(totals[:, k], at, _phrases(sorted_blocks, parser))
-
-            for i, x in enumerate(b.column(1)):
-                text = x.as_py()
-                if not parsers or not text or not _LETTER.search(text):
+            for i, x in enumerate(texts):
+                if not parsers or not x or not _LETTER.search(x):
                     continue
                 some[i] = True
-                codes = _codes(text, code_of)
+                codes = _codes(x, code_of)
                 for j in range(0, len(codes), BLOCK):
                     blocks.append(codes[j:j + BLOCK])
                     owners.append(i)
                 held += len(codes)
                 if held > ROUND_CHARS:
-                    parse()
+                    phrases(blocks, owners, parsers, totals)
                     owners, blocks, held = [], [], 0
             if blocks:
-                parse()
-            costs = totals * weights
+                phrases(blocks, owners, parsers, totals)
             pred, score = np.full(n, "und", object), np.zeros(n)
-            if parsers:
+            if parsers and n:
+                costs = totals * weights
                 best = np.argmin(costs, axis=1)
                 low = costs[np.arange(n), best]
                 costs[np.arange(n), best] = np.inf
                 second = costs.min(axis=1)
                 share = np.ones(n) if len(parsers) == 1 else 1 - low / np.where(second > 0, second, 1)
-                pred[some] = np.array(names, object)[best[some]]
+                pred[some] = names[best[some]]
                 score[some] = np.clip(share[some], 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], schema.names)
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return predict(text)
 
 
 def identify_language(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -193,5 +191,6 @@ def identify_language(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFra
     Learns from the labelled rows outside the held-out fold; language, source and id are no inputs of a prediction.
     Repeated rows stay repeated, null ids are kept (they are in fold 0), other columns are not read.
     """
-    scored = language_scores(docs, reference_texts(docs, folds, held))
-    return scored.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
+    found = language_of(reference_texts(docs, folds, held), F.col("text"))
+    scored = docs.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), found.alias("found"))
+    return scored.select("doc_id", "held_out", "found.lang_pred", "found.score")

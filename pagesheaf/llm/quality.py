@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesheaf.llm.common import fold_of, smallest_rows
+from pagesheaf.llm.common import drawn_rows, fold_of
 
 # Bound of the labelled sample, rows of each label.
 SAMPLE = 1500
@@ -69,10 +70,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, sample
     """
     marks = labels.where(fold & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("_h", F.xxhash64("doc_id"))
-    drawn = smallest_rows(marks, ["label"], "_h", sample).select("doc_id", "label", "_h")
+    drawn = drawn_rows(marks, "label", "_h", sample).select("doc_id", "label", "_h")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     texts = texts.withColumn("_t", F.xxhash64("_h", "text"))
-    return smallest_rows(texts, ["label"], "_t", sample).select("text", "label")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("_t")) <= sample
+    return texts.withColumn("_first", first).where("_first").select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Neighbours | None:
@@ -107,21 +109,21 @@ def _vote(z: np.ndarray, model: Neighbours) -> np.ndarray:
     return (weight * model.labels[near]).sum(1) / weight.sum(1)
 
 
-def score_quality(docs: DataFrame, model: Neighbours | None) -> DataFrame:
-    """Rows (doc_id, score), one per row of ``docs``. Without a model every score is 0.5."""
-    schema = docs.select("doc_id", F.lit(0.0).alias("score")).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def quality_score(spark: SparkSession, model: Neighbours | None, text: Column) -> Column:
+    """The score of a text as a column; 0.5 throughout without a model."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        for b in batches:
-            scores = np.full(b.num_rows, 0.5)
-            for i in range(0, b.num_rows if m else 0, BLOCK):
-                counts = np.stack([_counts(x.as_py()) for x in b.column(1)[i:i + BLOCK]])
+        for texts in parts:
+            scores = np.full(len(texts), 0.5)
+            for i in range(0, len(texts) if m else 0, BLOCK):
+                counts = np.stack([_counts(x) for x in texts[i:i + BLOCK]])
                 scores[i:i + BLOCK] = _vote(_project(_weighted(counts, m.idf), m.projection), m)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(scores, 0, 1))], schema.names)
+            yield pd.Series(np.clip(scores, 0, 1))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return score(text)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -132,6 +134,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: i
     Null texts count as empty and get the score of a text without terms; repeated rows stay repeated; a null id is kept
     (fold 0). Empty tables give no rows, a table without labels the score 0.5 throughout. Other columns are not read.
     """
-    scored = score_quality(docs, fit(docs, labels, folds, held))
+    score = quality_score(docs.sparkSession, fit(docs, labels, folds, held), F.col("text"))
+    scored = docs.select("doc_id", score.alias("score"))
     held_out = (fold_of("doc_id", folds) == held).alias("held_out")
     return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagesheaf.llm.common import table
+from pagesheaf.llm.forest import nearest
 from pagesheaf.llm.language import identify_language
 from pagesheaf.llm.licenses import license_scan
+from pagesheaf.llm.mixing import mixed_order
+from pagesheaf.llm.packing import pack
 from pagesheaf.llm.quality import classify_quality
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
@@ -31,6 +34,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), threshold=0.9)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, visited_share=0.5)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return classify_quality(docs, labels, folds=5, held=0, threshold=0.3)
@@ -41,13 +48,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(docs, labels, folds=3, held=1, threshold=0.7)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
+    return pack(counts, lengths=(512, 1024, 2048, 4096, 8192), separator=1)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_order(table(spark, sf_dir, "documents"), max_passes=2.0, block_tokens=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_licenses": op4_licenses,
+    "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -215,10 +215,10 @@ def keep_one(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame
     once. Rows without an id can't be told apart and are all kept.
     """
     ids = near_groups(docs, shingle, threshold).where("doc_id = component_id")
-    counted = stored(ids.groupBy("doc_id").agg(F.count("*").alias("_copies")), "kept-ids")
-    kept = docs.join(counted, "doc_id", "inner")
-    once = kept.where("_copies = 1").drop("_copies")
-    more = kept.where("_copies > 1").drop("_copies").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null")
-    columns = docs.columns
-    return once.select(columns).unionByName(more.select(columns)).unionByName(unnamed.select(columns))
+    counted = stored(ids.groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-ids")
+    # The row travels as one column, so that no name of its own can clash.
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    kept = rows.join(counted, "doc_id")
+    once = kept.where("copies = 1").select("row")
+    more = kept.where("copies > 1").dropDuplicates(["doc_id"]).select("row")
+    return once.union(more).union(rows.where("doc_id is null").select("row")).select("row.*")
