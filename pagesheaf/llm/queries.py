@@ -13,6 +13,7 @@ from pagesheaf.llm.licenses import license_scan
 from pagesheaf.llm.mixing import mixed_order
 from pagesheaf.llm.packing import pack
 from pagesheaf.llm.quality import classify_quality
+from pagesheaf.llm.search import top_documents
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
 from pagesheaf.llm.toxicity import classify_toxicity
@@ -34,6 +35,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), threshold=0.9)
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(table(spark, sf_dir, "documents"), k=10, query_terms=16)
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, visited_share=0.5)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_licenses": op4_licenses,
+    "op5_search": op5_search,
     "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
