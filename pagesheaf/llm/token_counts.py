@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from operator import mul
 
 import pyarrow as pa
@@ -123,7 +124,7 @@ def token_counts(
             held = 0
 
             def join() -> None:
-                new = set().union(*(f.keys() - lexicon.keys() for f, _ in frequencies))
+                new = set(filterfalse(lexicon.__contains__, chain.from_iterable(f for f, _ in frequencies)))
                 if len(lexicon) + len(new) > REMEMBERED:
                     lexicon.clear()
                     new = set().union(*(f.keys() for f, _ in frequencies))
