@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagesheaf.llm.common import table
 from pagesheaf.llm.forest import nearest
 from pagesheaf.llm.language import identify_language
 from pagesheaf.llm.licenses import license_scan
-from pagesheaf.llm.mixing import mixed_order
+from pagesheaf.llm.mixing import mixed_order, word_count
 from pagesheaf.llm.packing import pack
 from pagesheaf.llm.quality import classify_quality
 from pagesheaf.llm.search import top_documents
@@ -54,8 +55,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json")
-    return pack(counts, lengths=(512, 1024, 2048, 4096, 8192), separator=1)
+    """Lengths are numbers of words here, so that this query is about packing; the pipeline packs by tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), lengths=(512, 1024, 2048, 4096, 8192), separator=1)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
