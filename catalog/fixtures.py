@@ -166,6 +166,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """The first ``limit`` observations of each page."""
-    return number_attempts(events(spark, sf_dir), ["ts", "event_id"], limit)
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations of each page, numbered; what an operator leaves out it cuts itself."""
+    return number_attempts(events(spark, sf_dir), ["ts", "event_id"])
+
+
+def commented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a comment that names a script, an old heading in a comment and one in a script, and a script cut off
+    at the end of the page."""
+    first = '<!-- <script> --><!-- <title>old</title> --><style-guide>s</style-guide><script>var t = "<title>js</title>"</script>'
+    last = '<p>end</p><script>var leak = "<p>leak</p>";'
+    return pages(spark, sf_dir).withColumn("html", F.concat(F.lit(first), F.col("html"), F.lit(last)))

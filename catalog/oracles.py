@@ -139,6 +139,9 @@ sql("quarantine", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'bad' ELSE 'good
 # --- projections ----------------------------------------------------------------------------
 
 sql("strip_noncontent", f"SELECT page_id, {BARE} AS html FROM pages")
+sql("strip_noncontent_comments", f"""SELECT page_id, '<!-- <script> --><!-- <title>old</title> --><style-guide>s</style-guide>'
+    || {BARE} || '<p>end</p>' AS html FROM pages""")
+sql("extract_title_comments", with_(TITLES) + "SELECT page_id, title FROM titles")
 sql("content_root", with_(TOKENS, """bounds AS (SELECT page_id, min(CASE WHEN raw LIKE '<article%' THEN pos END) AS a,
     min(CASE WHEN raw = '</article>' THEN pos END) AS b FROM toks GROUP BY page_id)""")
     + """SELECT page_id, count(*) AS n_tokens, CAST(sum(length(raw)) AS BIGINT) AS n_chars, min(pos) AS start
@@ -327,7 +330,7 @@ sql("safe_asset_name", r"""SELECT doc_id, CASE WHEN s = '' THEN 'asset' ELSE s E
     SELECT doc_id, suf, trim(regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '_') AS s FROM (
     SELECT doc_id, CASE WHEN full_name LIKE '_%.%' AND regexp_matches(full_name, '^.+\.[^.]+$') THEN regexp_extract(full_name, '^(.+)(\.[^.]+)$', 1) ELSE full_name END AS stem,
       regexp_extract(full_name, '^(.+)(\.[^.]+)$', 2) AS suf
-    FROM (SELECT doc_id, replace(substr(text, 1, 30), chr(10), ' ') || CASE WHEN doc_id % 2 = 0 THEN '.p g' ELSE '' END AS full_name FROM documents)))""")
+    FROM (SELECT doc_id, replace(text, chr(10), ' ') || CASE WHEN doc_id % 2 = 0 THEN '.p g' ELSE '' END AS full_name FROM documents)))""")
 FOLDER = rf"regexp_replace({PATH}, '[^/]*$', '')"
 sql("resolve_url", rf"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN {ORIGIN} || '/abs/x.png' WHEN 1 THEN {ORIGIN} || {FOLDER} || 'rel.png'
     WHEN 2 THEN {ORIGIN} || regexp_replace({FOLDER}, '[^/]+/$', '') || 'up/y.png'
@@ -366,6 +369,7 @@ sql("stream_first_chunks", "SELECT DISTINCT user_id AS page_id, 'h:' || sha1(pro
 sql("stream_pending_counts", """SELECT date_trunc('hour', ts) AS window_start, user_id AS page_id, count(*) AS n_unknown,
     count(*) FILTER (WHERE event_type = 'error') AS n_shimmer, count(*) AS n_snapshots FROM events
     GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
-sql("stream_stable_pages", with_(OBS, stable("height", 10, 2, "0")) + "SELECT page_id, stop AS stop_attempt FROM stops WHERE stop IS NOT NULL")
-sql("stream_complete_pages", with_(OBS, PICKED) + """SELECT p.page_id, o.attempt, o.html FROM picked p
-    JOIN obs o ON o.page_id = p.page_id AND o.attempt = first_clean""")
+sql("stream_stable_pages", with_(OBS, stable("height", 10, 2, "0"))
+    + "SELECT page_id, coalesce(stop, last) AS stop_attempt, stop IS NOT NULL AS is_stable FROM stops")
+sql("stream_complete_pages", with_(OBS, PICKED) + """SELECT p.page_id, o.attempt, o.html, first_clean IS NOT NULL AS is_clean
+    FROM picked p JOIN obs o ON o.page_id = p.page_id AND o.attempt = coalesce(first_clean, last)""")

@@ -98,6 +98,16 @@ def extract_title(spark, sf):
     return fx.title_pages(spark, sf).select("page_id", markup.extract_title(F.col("html")).alias("title"))
 
 
+@query
+def strip_noncontent_comments(spark, sf):
+    return tokens.strip_noncontent(fx.commented_pages(spark, sf)).select("page_id", "html")
+
+
+@query
+def extract_title_comments(spark, sf):
+    return fx.commented_pages(spark, sf).select("page_id", markup.extract_title(F.col("html")).alias("title"))
+
+
 @query
 def extract_title_regex(spark, sf):
     return fx.title_pages(spark, sf).select("page_id", markup.extract_title_regex(F.col("html")).alias("title"))
@@ -629,7 +639,7 @@ def file_name_from_url(spark, sf):
 
 @query
 def safe_asset_name(spark, sf):
-    name = F.concat(F.substring("text", 1, 30), F.when(F.col("doc_id") % 2 == 0, ".p g").otherwise(""))
+    name = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, ".p g").otherwise(""))
     return fx.table(spark, sf, "documents").select("doc_id", names.safe_asset_name(F.replace(name, F.lit("\n"), F.lit(" "))).alias("name"))
 
 
@@ -712,14 +722,14 @@ def concat_chunks(spark, sf):
 
 @query
 def stable_round(spark, sf):
-    return snapshots.stable_round(fx.snapshots(spark, sf, 50), ["height"], k=2, cap=50, initial=0).select(
+    return snapshots.stable_round(fx.snapshots(spark, sf), ["height"], k=2, cap=50, initial=0).select(
         "page_id", F.col("stop_attempt").cast("bigint").alias("stop_attempt"), "is_stable"
     )
 
 
 @query
 def stable_pending(spark, sf):
-    seen = fx.snapshots(spark, sf, 14).withColumns({"n_unknown": F.col("height"), "n_shimmer": F.col("clean").cast("int")})
+    seen = fx.snapshots(spark, sf).withColumns({"n_unknown": F.col("height"), "n_shimmer": F.col("clean").cast("int")})
     return snapshots.stable_pending(seen, k=1).select(
         "page_id", F.col("stop_attempt").cast("bigint").alias("stop_attempt"), "is_stable"
     )
@@ -727,35 +737,48 @@ def stable_pending(spark, sf):
 
 @query
 def pick_attempt(spark, sf):
-    return snapshots.pick_attempt(fx.snapshots(spark, sf, 3)).select(
+    return snapshots.pick_attempt(fx.snapshots(spark, sf)).select(
         "page_id", F.col("attempt").cast("bigint").alias("attempt"), "html", "is_clean"
     )
 
 
 @query
 def placeholder_rounds(spark, sf):
-    seen = fx.snapshots(spark, sf, 10).withColumn("n_placeholders", F.col("height"))
+    seen = fx.snapshots(spark, sf).withColumn("n_placeholders", F.col("height"))
     return snapshots.placeholder_rounds(seen).select("page_id", F.col("rounds").cast("bigint").alias("rounds"), "is_clear")
 
 
 # --- streams --------------------------------------------------------------------------------
 
 
-def _run_stream(spark, stream, label, mode="append"):
-    """Drain a stream into files in the shared folder and read them back."""
+def _run_stream(spark, stream, label, mode="append", later=()):
+    """Drain a stream into files in the shared folder and read them back.
+
+    ``later`` are functions that add to the source; the stream goes on after each of them.
+    """
     out, state = shared_folder(spark, label), shared_folder(spark, f"{label}-state")
-    started = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
-    )
-    started.awaitTermination()
+    for add in (lambda: None, *later):
+        add()
+        started = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start()
+        )
+        started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _as_stream(spark, df, label):
+def _observed_stream(spark, df, label):
+    """(stream of ``df``, functions that add a later observation of a page -1, so that all other pages come to an end)."""
     path = shared_folder(spark, label)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+
+    def add(days):
+        last = df.agg(*[F.max(c).alias(c) for c in df.columns]).withColumns(
+            {"page_id": F.lit(-1).cast("bigint"), "attempt": F.lit(0).cast(df.schema["attempt"].dataType),
+             "ts": F.col("ts") + F.expr(f"INTERVAL {days} DAY")})
+        last.select(df.columns).write.mode("append").parquet(path)
+
+    return spark.readStream.schema(df.schema).parquet(path), [lambda: add(1), lambda: add(2)]
 
 
 def _event_stream(spark, sf):
@@ -769,7 +792,7 @@ def stream_first_chunks(spark, sf):
         F.col("user_id").alias("page_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.lit(None).cast("string").alias("block_id"), F.col("props").alias("html"),
     )
-    return _run_stream(spark, streams.stream_first_chunks(chunk_stream, None), "first-chunks").select("page_id", "key")
+    return _run_stream(spark, streams.stream_first_chunks(chunk_stream, "400 days"), "first-chunks").select("page_id", "key")
 
 
 @query
@@ -788,17 +811,15 @@ def stream_pending_counts(spark, sf):
 
 @query
 def stream_stable_pages(spark, sf):
-    seen = fx.snapshots(spark, sf, 50).select("page_id", "attempt", F.col("ts").cast("timestamp").alias("ts"), "height")
-    stream = _as_stream(spark, seen, "heights")
-    return _run_stream(spark, streams.stream_stable_pages(stream, k=2, cap=10), "stable").where(
-        F.col("is_stable")
-    ).select("page_id", "stop_attempt")
+    seen = fx.snapshots(spark, sf).select("page_id", "attempt", F.col("ts").cast("timestamp").alias("ts"), "height")
+    stream, later = _observed_stream(spark, seen, "heights")
+    found = _run_stream(spark, streams.stream_stable_pages(stream, k=2, cap=10), "stable", later=later)
+    return found.where("page_id >= 0").select("page_id", "stop_attempt", "is_stable")
 
 
 @query
 def stream_complete_pages(spark, sf):
-    seen = fx.snapshots(spark, sf, 3).select("page_id", "attempt", F.col("ts").cast("timestamp").alias("ts"), "clean", "html")
-    stream = _as_stream(spark, seen, "attempts")
-    return _run_stream(spark, streams.stream_complete_pages(stream), "complete").where(F.col("is_clean")).select(
-        "page_id", "attempt", "html"
-    )
+    seen = fx.snapshots(spark, sf).select("page_id", "attempt", F.col("ts").cast("timestamp").alias("ts"), "clean", "html")
+    stream, later = _observed_stream(spark, seen, "attempts")
+    found = _run_stream(spark, streams.stream_complete_pages(stream), "complete", later=later)
+    return found.where("page_id >= 0").select("page_id", "attempt", "html", "is_clean")

@@ -9,6 +9,9 @@ from __future__ import annotations
 # Elements removed together with their content before anything else.
 NONCONTENT_TAGS = ["script", "style", "noscript", "link", "meta"]
 
+# Elements whose content is text and not markup.
+RAW_TEXT_TAGS = ["script", "style"]
+
 # Content-root selectors, best first. The fields are tag, exact class and class part;
 # None means "any".
 CONTENT_SELECTORS = [

@@ -94,13 +94,26 @@ def code_lang(attrs: Column) -> Column:
 # --- whole pages ----------------------------------------------------------------------------
 
 
-def remove_elements(html: Column, tags: list[str] = fixed.NONCONTENT_TAGS, replacement: str = "") -> Column:
-    """Remove elements with their content; void elements lose their tag."""
-    void = [t for t in tags if t in fixed.VOID_TAGS]
-    parts = [rf"{t}\b[^>]*>.*?</{t}\s*" for t in tags if t not in fixed.VOID_TAGS]
-    if void:
-        parts.append(rf"(?:{'|'.join(void)})\b[^>]*")
-    return F.regexp_replace(html, rf"(?is)<(?:{'|'.join(parts)})>", replacement) if parts else html
+def remove_elements(
+    html: Column, tags: list[str] = fixed.NONCONTENT_TAGS, replacement: str = "", comments: bool = False
+) -> Column:
+    """Remove elements with their content; void elements lose their tag.
+
+    Comments come first, so a tag named in one starts nothing; they stay unless ``comments`` is set. An element
+    whose content is raw text (script, style) and that is never closed lasts to the end of the page.
+    """
+    if not tags:
+        return html
+    parts = []
+    for t in tags:
+        opened = rf"{t}(?=[\s/>])[^>]*>"
+        if t in fixed.VOID_TAGS:
+            parts.append(opened)
+        else:
+            end = r"\z" if t in fixed.RAW_TEXT_TAGS else r"(?!)"
+            parts.append(rf"{opened}.*?(?:</{t}\s*>|{end})")
+    kept = "" if comments else "$1"
+    return F.regexp_replace(html, rf"(?is)(<!--.*?(?:-->|\z))|<(?:{'|'.join(parts)})", kept + replacement)
 
 
 def strip_tags(html: Column) -> Column:
@@ -122,13 +135,15 @@ def extract_title(html: Column) -> Column:
     og_tag = F.regexp_extract(
         html, r"""(?is)<meta\s(?=[^>]*\bproperty\s*=\s*["']?og:title["'\s/>])([^>]*)>""", 1
     )
-    text = html_unescape(F.regexp_replace(remove_elements(html, ["script", "style"], "\n"), r"(?s)<!--.*?-->|<[^>]+>", "\n"))
+    text = html_unescape(F.regexp_replace(remove_elements(html, ["script", "style"], "\n", comments=True), r"<[^>]+>", "\n"))
     lines = F.filter(
         F.transform(F.split(text, r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"), strip),
         lambda line: line != "",
     )
+    # Titles are looked for where they are elements: not in comments, scripts and styles.
+    shown = remove_elements(html, ["script", "style"], comments=True)
     return F.coalesce(
-        *[_element_text(html, t) for t in ("title", "h1", "h2", "h3")],
+        *[_element_text(shown, t) for t in ("title", "h1", "h2", "h3")],
         blank_to_null(strip(attr(og_tag, "content"))),
         F.get(lines, F.lit(0)),
     )

@@ -85,9 +85,13 @@ def dedup_first(items: Column, key: str, order: str) -> Column:
 
 _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": NBSP, "copy;": "©", "middot;": "·", "#39;": "'"}
-# The whole table as one string literal: every entry is a separator, the name, a divider, the characters.
+# The table as one string for each first letter, so that a look-up reads a small part of it: every entry is a
+# separator, the name, a divider, the characters.
 _ENTRY, _GIVES = "\x1e", "\x1f"
-_NAMED = "".join(f"{_ENTRY}{n}{_GIVES}{c}" for n, c in sorted(html.entities.html5.items())) + _ENTRY
+_NAMED = [
+    "".join(f"{_ENTRY}{n}{_GIVES}{c}" for n, c in sorted(html.entities.html5.items()) if n[0] == chr(code)) + _ENTRY
+    for code in range(ord("A"), ord("z") + 1)
+]
 _LEGACY = "^(" + "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
 
@@ -123,14 +127,14 @@ def _unescape_sql() -> str:
         f"WHEN b = {sql_string(n)} THEN concat({sql_string(c)}, substr(p, {len(n) + 1}))" for n, c in _COMMON.items()
     )
     # A known name is used whole, otherwise the longest name that may lack its semicolon.
-    named = f"""transform(filter(array(b, regexp_extract(b, '{_LEGACY}', 1)), m -> instr(names, concat('{_ENTRY}', m, '{_GIVES}')) > 0),
+    named = f"""get(transform(array(get(tables, ascii(b) - {ord("A")})), names -> transform(filter(array(b, regexp_extract(b, '{_LEGACY}', 1)), m -> instr(names, concat('{_ENTRY}', m, '{_GIVES}')) > 0),
         m -> concat(substring_index(substr(names, instr(names, concat('{_ENTRY}', m, '{_GIVES}')) + length(m) + 2, 8), '{_ENTRY}', 1),
-                    substr(b, length(m) + 1)))"""
+                    substr(b, length(m) + 1)))), 0)"""
     piece = f"""CASE WHEN b = '' THEN concat('&', p) {common}
         WHEN startswith(b, '#') THEN concat(get(transform(array({code}), n -> {character}), 0), substr(p, length(b) + 1))
         ELSE coalesce(concat(get({named}, 0), substr(p, length(b) + 1)), concat('&', p)) END"""
     return f"""t -> CASE WHEN instr(t, '&') = 0 THEN t ELSE get(transform(array(split(t, '&')), ps ->
-        concat(ps[0], array_join(get(transform(array({sql_string(_NAMED)}), names ->
+        concat(ps[0], array_join(get(transform(array(array({', '.join(map(sql_string, _NAMED))})), tables ->
             transform(slice(ps, 2, greatest(size(ps) - 1, 0)), p ->
                 get(transform(array(regexp_extract(p, {sql_string(_REFERENCE)}, 1)), b -> {piece}), 0))), 0), ''))), 0) END"""
 

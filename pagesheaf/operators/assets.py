@@ -30,7 +30,7 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
     )
     style = markup.attr(attrs, "style")
     image = F.when((tag == "img") & ~markup.is_emoji_img(attrs), markup.image_src(attrs))
-    background = F.when(style.rlike("background(-image)?:"), F.regexp_extract(style, _STYLE_URL, 1))
+    background = F.when(~((tag == "img") & markup.is_emoji_img(attrs)) & style.rlike("background(-image)?:"), F.regexp_extract(style, _STYLE_URL, 1))
     anchor = F.when(tag == "a", markup.attr(attrs, "href"))
     refs = F.array(
         *[

@@ -29,7 +29,9 @@ def _collect_texts(inside: DataFrame, groups: list[str]) -> DataFrame:
         F.min("pos").alias("pos"),
         F.min_by("attrs", "pos").alias("attrs"),
         F.transform(F.array_sort(F.collect_list(part)), lambda p: p.getField("text")).alias("parts"),
-        F.max((F.col("kind") == "open") & F.col("tag").isin("pre", "code")).alias("has_code"),
+        # The element's own tag, which comes first, doesn't count.
+        F.coalesce(F.max(F.when((F.col("kind") == "open") & F.col("tag").isin("pre", "code"), F.col("pos"))) > F.min("pos"), F.lit(False))
+        .alias("has_code"),
     )
 
 

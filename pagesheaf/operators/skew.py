@@ -7,17 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are spread. Every other key holds less than 1 / HOT_KEYS of the rows and
-# is joined as it is, so the list is a matter of balance and never of the result.
-HOT_KEYS = 1000
-HOT_ROWS = 10_000
-SLICES = 64
 
+def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
+    """Keys that hold at least one ``parts``-th of all rows, with the slices they need (``key, slices``).
 
-def hot_keys(facts: DataFrame, key: str, rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """The keys with most rows, counted with map-side combining: never more than ``most`` of them."""
+    There are at most ``parts`` of them whatever the table holds, every other key fits into a slice of that size, and
+    the slices of all hot keys together are at most twice ``parts``. Rows are counted with map-side combining.
+    """
+    total = facts.agg(F.count("*")).scalar()
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= rows).orderBy(F.desc("n"), key).limit(most).select(key)
+    return counts.where(F.col("n") * parts >= total).select(key, F.ceil(F.col("n") * parts / total).cast("int").alias("slices"))
 
 
 def skew_safe_join(
@@ -26,25 +25,27 @@ def skew_safe_join(
     key: str,
     spread_by: list[str],
     how: str = "inner",
-    rows: int = HOT_ROWS,
-    slices: int = SLICES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join many ``facts`` to a ``lookup`` that is unique on ``key``.
 
-    Facts of hot keys are spread over ``slices`` by a hash of ``spread_by``, and only the lookup
-    rows of hot keys are repeated once per slice. The broadcast list of hot keys is bounded.
-    ``facts`` is read twice, so it should be a stored or otherwise cheap table of narrow rows.
+    Facts of hot keys are spread over their slices by a hash of ``spread_by``, and only the lookup rows of hot keys are
+    repeated, once per slice. Facts without a key never match and are spread as well. ``parts`` is four times the number of
+    shuffle partitions unless given; the broadcast list of hot keys has at most so many rows. ``facts`` is read three
+    times, so it should be a stored or otherwise cheap table of narrow rows.
     """
-    hot = F.broadcast(hot_keys(facts, key, rows).withColumn("is_hot", F.lit(True)))
-    slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
-    left = facts.join(hot, key, "left").withColumn("slice", F.when(F.col("is_hot"), slice_no).otherwise(0))
+    if parts is None:
+        parts = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(facts, key, parts))
+    spread = F.xxhash64(*spread_by)
+    slice_no = F.when(F.col(key).isNull(), F.pmod(spread, F.lit(parts))).when(
+        F.col("slices").isNotNull(), F.pmod(spread, F.col("slices"))
+    ).otherwise(F.lit(0))
+    left = facts.join(hot, key, "left").withColumn("slice", slice_no.cast("int"))
     right = lookup.join(hot, key, "left").withColumn(
-        "slice",
-        F.explode(
-            F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        "slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
     )
-    return left.drop("is_hot").join(right.drop("is_hot"), [key, "slice"], how).drop("slice")
+    return left.drop("slices").join(right.drop("slices"), [key, "slice"], how).drop("slice")
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

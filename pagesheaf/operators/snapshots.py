@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 
 
-def number_attempts(observations: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """Adds ``attempt`` (from 0) to the first ``limit`` observations of each page.
+def number_attempts(observations: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """Adds ``attempt`` (from 0) to the observations of each page, or only to the first ``limit`` of them.
 
-    The rank filter is also applied before the exchange, so a page with very many observations
-    sends at most ``limit`` rows per input partition.
+    With a limit the rank filter is also applied before the exchange, so a page with very many
+    observations sends at most ``limit`` rows per input partition.
     """
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
-    return (
-        observations.withColumn("nth", nth).where(F.col("nth") <= limit)
-        .withColumn("attempt", F.col("nth") - 1).drop("nth")
-    )
+    numbered = observations.withColumn("nth", nth)
+    if limit is not None:
+        numbered = numbered.where(F.col("nth") <= limit)
+    return numbered.withColumn("attempt", F.col("nth") - 1).drop("nth")
 
 
 def stable_round(
@@ -30,12 +30,12 @@ def stable_round(
     measures: list[str],
     k: int = fixed.HEIGHT_STABLE_ROUNDS,
     cap: int = fixed.HEIGHT_MAX_STEPS,
-    initial: int | None = None,
+    initial: int | None = 0,
 ) -> DataFrame:
     """``page_id, stop_attempt, is_stable``: first round after ``k`` rounds without change.
 
     Rounds without a measure are skipped. Without ``k`` such rounds the last round below the cap
-    stands. ``initial`` is what the first round is compared to.
+    stands. ``initial`` is what the first round is compared to; None lets it always count as a change.
     """
     seen = F.lit(True)
     for m in measures:
@@ -60,7 +60,7 @@ def stable_round(
 
 def stable_pending(snapshots: DataFrame, k: int = fixed.PENDING_STABLE_ROUNDS, cap: int = fixed.PENDING_MAX_ROUNDS) -> DataFrame:
     """Stable round of the pair (unknown, shimmer)."""
-    return stable_round(snapshots, ["n_unknown", "n_shimmer"], k, cap)
+    return stable_round(snapshots, ["n_unknown", "n_shimmer"], k, cap, initial=None)
 
 
 def pick_attempt(snapshots: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:

@@ -43,10 +43,14 @@ def local_session(app: str = "pagesheaf", cores: int | str = "*", partitions: in
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate data, below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none, as in local tests.
+    A machine-local folder is used only where the session names none and runs on one machine, as in tests. On a
+    cluster executors would each write to their own disk, so the folder has to be named there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pagesheaf-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -57,21 +57,41 @@ def stream_pending_counts(snapshot_stream: DataFrame, window: str = "1 hour", de
     )
 
 
-def _new_rounds(batches: Iterator[pd.DataFrame], columns: list[str], seen: int) -> list[tuple]:
-    """Rounds of one page after round ``seen``, in order, one row each.
+class _Rounds:
+    """Rounds of one page that have come but can't be decided on yet, because an earlier one may still come."""
 
-    At most as many rows as there are rounds below the cap are held, however many copies arrive.
-    """
-    rounds: dict[int, tuple] = {}
-    for batch in batches:
-        fresh = batch[batch["attempt"] > seen].drop_duplicates("attempt")
-        for row in fresh[columns].itertuples(index=False, name=None):
-            rounds.setdefault(int(row[0]), row)
-    return [rounds[n] for n in sorted(rounds)]
+    def __init__(self, numbers, times, *values):
+        self.waiting = {n: (t, v) for n, t, *v in zip(numbers, times, *values)}
+
+    def take_in(self, batches: Iterator[pd.DataFrame], columns: list[str], seen: int) -> None:
+        """Add rounds after ``seen``; of copies the first one counts."""
+        for batch in batches:
+            fresh = batch[batch["attempt"] > seen].drop_duplicates("attempt")
+            for n, t, *v in fresh[["attempt", "ms", *columns]].itertuples(index=False, name=None):
+                self.waiting.setdefault(int(n), (int(t), v))
+
+    def ready(self, seen: int, watermark: int) -> Iterator[tuple]:
+        """Rounds in order: the next one, or one after a gap that the watermark has closed."""
+        while self.waiting:
+            n = min(self.waiting)
+            if n != seen + 1 and self.waiting[n][0] >= watermark:
+                return
+            seen = n
+            yield n, *self.waiting.pop(n)[1]
+
+    def until(self) -> int:
+        return min(t for t, _ in self.waiting.values()) + 1
+
+    def columns(self, width: int) -> tuple:
+        order = sorted(self.waiting)
+        times = [self.waiting[n][0] for n in order]
+        return order, times, *[[self.waiting[n][1][i] for n in order] for i in range(width)]
 
 
-def _expire(state: GroupState, timeout_ms: int) -> None:
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+def _next_timeout(state: GroupState, rounds: _Rounds, done: bool, stall_ms: int) -> None:
+    watermark = state.getCurrentWatermarkMs()
+    waits = rounds.waiting and not done
+    state.setTimeoutTimestamp(max(rounds.until(), watermark + 1) if waits else watermark + stall_ms)
 
 
 def stream_stable_pages(
@@ -83,42 +103,48 @@ def stream_stable_pages(
     initial: int = 0,
     spread: int = SPREAD,
 ) -> DataFrame:
-    """``page_id, stop_attempt, is_stable``, once per page.
+    """``page_id, stop_attempt, is_stable``, the batch decision on whatever order of arrival within the watermark.
 
     A page is emitted when its height did not change for ``k`` rounds, when round ``cap - 1`` was
-    seen, or when no snapshot came for ``stall_ms`` of event time.
+    seen, or when no snapshot came for ``stall_ms`` of event time. Rounds that come before an earlier one wait in the
+    state, at most ``cap`` of them, until the gap is filled or the watermark has passed them. A page is emitted once
+    until nothing of it has come for ``stall_ms``; snapshots with later times are a new visit of the page then.
     """
 
     def step(key, batches, state: GroupState):
-        last, unchanged, attempt, done = state.get if state.exists else (initial, 0, -1, False)
-        out = []
-        if state.hasTimedOut:
+        last, unchanged, attempt, done, *kept = state.get if state.exists else (initial, 0, -1, False, [], [], [])
+        rounds, out, moved = _Rounds(*kept), [], False
+        if not state.hasTimedOut and not done:
+            rounds.take_in(batches, ["height"], attempt)
+        for number, height in rounds.ready(attempt, state.getCurrentWatermarkMs()):
+            attempt, moved = number, True
+            if pd.notna(height):
+                unchanged = unchanged + 1 if int(height) == last else 0
+                last = int(height)
+            if unchanged >= k or attempt >= cap - 1:
+                out.append((key[0], attempt, unchanged >= k))
+                done = True
+                break
+        if state.hasTimedOut and not moved:
             if not done:
                 out.append((key[0], attempt, False))
             state.remove()
         else:
-            for number, height in _new_rounds(batches, ["attempt", "height"], attempt):
-                if done:
-                    break
-                attempt = int(number)
-                if pd.notna(height):
-                    unchanged = unchanged + 1 if int(height) == last else 0
-                    last = int(height)
-                if unchanged >= k or attempt >= cap - 1:
-                    out.append((key[0], attempt, unchanged >= k))
-                    done = True
-            state.update((last, unchanged, attempt, done))
-            _expire(state, stall_ms)
+            numbers, times, heights = rounds.columns(1) if not done else ([], [], [])
+            heights = [None if pd.isna(h) else int(h) for h in heights]
+            state.update((last, unchanged, attempt, done, numbers, times, heights))
+            _next_timeout(state, rounds, done, stall_ms)
         yield pd.DataFrame(out, columns=["page_id", "stop_attempt", "is_stable"])
 
     watermarked = snapshot_stream.where(F.col("attempt") < cap).withWatermark("ts", delay)
     return (
         _thin_copies(watermarked, ["page_id", "attempt"], delay, spread)
+        .withColumn("ms", F.unix_millis("ts"))
         .groupBy("page_id")
         .applyInPandasWithState(
             step,
             "page_id long, stop_attempt long, is_stable boolean",
-            "last long, unchanged long, attempt long, done boolean",
+            "last long, unchanged long, attempt long, done boolean, numbers array<long>, times array<long>, heights array<long>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
@@ -132,38 +158,42 @@ def stream_complete_pages(
     stall_ms: int = 3_600_000,
     spread: int = SPREAD,
 ) -> DataFrame:
-    """``page_id, attempt, html, is_clean``, once per page.
+    """``page_id, attempt, html, is_clean``, the batch decision on whatever order of arrival within the watermark.
 
-    The first clean attempt ends a page; so does the last retry, or a stall, with ``is_clean`` false.
+    The first clean attempt ends a page; so does the last retry, or a stall, with ``is_clean`` false. Attempts that come
+    before an earlier one wait as in :func:`stream_stable_pages`, and a page is emitted once as there.
     """
 
     def step(key, batches, state: GroupState):
-        attempt, html, done = state.get if state.exists else (-1, "", False)
-        out = []
-        if state.hasTimedOut:
+        attempt, html, done, *kept = state.get if state.exists else (-1, "", False, [], [], [], [])
+        rounds, out, moved = _Rounds(*kept), [], False
+        if not state.hasTimedOut and not done:
+            rounds.take_in(batches, ["clean", "html"], attempt)
+        for number, clean, text in rounds.ready(attempt, state.getCurrentWatermarkMs()):
+            attempt, html, moved = number, text, True
+            if clean or attempt >= max_retries:
+                out.append((key[0], attempt, html, bool(clean)))
+                done = True
+                break
+        if state.hasTimedOut and not moved:
             if not done:
                 out.append((key[0], attempt, html, False))
             state.remove()
         else:
-            for number, clean, text in _new_rounds(batches, ["attempt", "clean", "html"], attempt):
-                if done:
-                    break
-                attempt, html = int(number), text
-                if clean or attempt >= max_retries:
-                    out.append((key[0], attempt, html, bool(clean)))
-                    done = True
-            state.update((attempt, "" if done else html, done))
-            _expire(state, stall_ms)
+            numbers, times, cleans, texts = rounds.columns(2) if not done else ([], [], [], [])
+            state.update((attempt, "" if done else html, done, numbers, times, [bool(c) for c in cleans], texts))
+            _next_timeout(state, rounds, done, stall_ms)
         yield pd.DataFrame(out, columns=["page_id", "attempt", "html", "is_clean"])
 
     watermarked = snapshot_stream.where(F.col("attempt") <= max_retries).withWatermark("ts", delay)
     return (
         _thin_copies(watermarked, ["page_id", "attempt"], delay, spread)
+        .withColumn("ms", F.unix_millis("ts"))
         .groupBy("page_id")
         .applyInPandasWithState(
             step,
             "page_id long, attempt long, html string, is_clean boolean",
-            "attempt long, html string, done boolean",
+            "attempt long, html string, done boolean, numbers array<long>, times array<long>, cleans array<boolean>, texts array<string>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )

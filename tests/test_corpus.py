@@ -47,9 +47,20 @@ def test_hot_key_join_is_whole(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
     lookup = facts.select("k").distinct().where("k <> 'k1'").withColumn("v", F.concat(F.lit("v"), "k"))
     expected = sorted(map(tuple, facts.join(lookup, "k", "left").select("k", "id", "v").collect()), key=str)
-    spread = skew.skew_safe_join(facts, lookup, "k", ["id"], "left", rows=100, slices=8)
+    spread = skew.skew_safe_join(facts, lookup, "k", ["id"], "left", parts=8)
     assert sorted(map(tuple, spread.select("k", "id", "v").collect()), key=str) == expected
-    assert [r.k for r in skew.hot_keys(facts, "k", 100).collect()] == ["hot"]
+    assert [(r.k, r.slices) for r in skew.hot_keys(facts, "k", 8).collect()] == [("hot", 3)]
+
+
+def test_join_with_many_hot_keys_and_null_keys(spark):
+    facts = spark.range(30_000).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), (F.col("id") % 1500).cast("string"))).alias("k"), "id")
+    lookup = spark.range(1500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    hot = skew.hot_keys(facts, "k", 2000)
+    assert hot.count() == 1350 and hot.agg(F.sum("slices")).first()[0] <= 4000
+    got = skew.skew_safe_join(facts, lookup, "k", ["id"], "left", parts=2000)
+    assert got.count() == 30_000 and got.where("k is null and v is null").count() == 3000
+    assert got.where("concat('k', v) <> k").count() == 0
 
 
 def test_subdocuments(spark):

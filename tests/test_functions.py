@@ -127,3 +127,25 @@ def test_data_uri(value):
 def test_loading_phrase(value):
     assert value(text.is_loading_phrase(X), x=" Loading code ") is True
     assert value(text.is_loading_phrase(X), x="loading") is False
+
+
+def test_comments_scripts_and_unclosed_elements(value):
+    removed = markup.remove_elements(X)
+    assert value(removed, x="<!-- <script> --><p>Hello</p><script>x</script><p>end</p>") == "<!-- <script> --><p>Hello</p><p>end</p>"
+    assert value(removed, x="<p>body</p><script>var leak=1;") == "<p>body</p>"
+    assert value(removed, x="<style-guide>a</style-guide><link-card>b</link-card>") == "<style-guide>a</style-guide><link-card>b</link-card>"
+    assert value(removed, x="<noscript>a<p>b</p>") == "<noscript>a<p>b</p>"
+    title = markup.extract_title(X)
+    assert value(title, x="<!-- <h1>old</h1> --><h1>new</h1>") == "new"
+    assert value(title, x="<script>var s=\"<title>js</title>\"</script><h1>T</h1>") == "T"
+    assert value(title, x="<!-- open <h1>never</h1>") is None
+
+
+def test_every_named_reference(value):
+    import html.entities
+
+    names = sorted(html.entities.html5)
+    text_ = " ".join(f"&{n}" for n in names)
+    import html as h
+
+    assert value(text.html_unescape(X), x=text_) == h.unescape(text_)
