@@ -110,7 +110,10 @@ def test_toxic_words_are_learned_and_counted_once(monkeypatch):
 
 def bm25(rows, k, n_terms):
     words, df, n, total = defaultdict(list), Counter(), 0, 0
+    one = {}
     for i, t in rows:
+        one[i] = min(t or "", one.get(i, t or ""))
+    for i, t in one.items():
         if i is not None:
             terms = [x.decode() for x in search._terms(t)]
             words[i] += terms
