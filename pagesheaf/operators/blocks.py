@@ -29,6 +29,10 @@ _MARKS = "".join((_STRONG, _STRONG_END, _EM, _EM_END, _CODE, _CODE_END, _LINK, _
 _CONTENT = rf"[^ \t-\r\x{{a0}}{_MARKS}]"
 
 _HEADINGS = [f"h{i}" for i in range(1, 7)]
+# Elements that give text its kind, and the elements whose end also ends one of them that was never closed.
+_KINDS = [*_HEADINGS, "blockquote", "pre", "summary"]
+_SURROUNDINGS = [t for t in fixed.BLOCK_TAGS if t not in (*_KINDS, "p", "hr")]
+_INDENT = "    "
 
 
 def _vocabulary(classes: Column, field: int) -> Column:
@@ -86,6 +90,9 @@ def _annotated(segments: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("attrs", F.when((F.col("vkind") == "code") | (F.col("tag") == "pre"), attrs))
     )
     paired = pair_tags(out, keys)
+    # In one (tag, lvl) an opening tag is followed by its closing tag; without one the element is never closed.
+    following = F.coalesce(F.lead("step").over(in_order([*keys, "tag", "lvl"])), F.lit(0))
+    paired = paired.withColumn("unclosed", F.col("tag").isin(*_KINDS) & (F.col("step") == 1) & (following != -1))
     roles = F.struct(F.col("vkind").isNotNull().alias("v"), "leaf", "marker")
     opener = F.lag(roles).over(in_order([*keys, "tag", "lvl"]))
     paired = paired.withColumn("opener", F.when(F.col("step") == -1, opener).when(F.col("step") == 1, roles))
@@ -105,6 +112,19 @@ def _tag_depth(tags: list[str], run) -> Column:
 def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the innermost block and list, the running element depths and what surrounds a block."""
     run = upto_here(keys)
+    # An element that is never closed ends with what surrounds it: it lasts while no more surrounding elements have
+    # ended than had begun after it. It takes no part in the depths.
+    marked = marked.withColumns(
+        {"box_depth": _tag_depth(_SURROUNDINGS, run), "lost_no": F.sum(F.coalesce(F.col("unclosed"), F.lit(False)).cast("int")).over(run)}
+    )
+    lost = F.last(F.when(F.col("unclosed"), F.struct("tag", "box_depth")), ignorenulls=True).over(run)
+    low = F.min("box_depth").over(upto_here(keys, "lost_no"))
+    marked = marked.withColumns({"lost": lost, "low": low}).withColumns(
+        {
+            "lost": F.when(F.col("low") >= F.col("lost.box_depth"), F.col("lost.tag")),
+            "step": F.when(F.coalesce(F.col("unclosed"), F.lit(False)), 0).otherwise(F.col("step")),
+        }
+    ).drop("low", "box_depth", "lost_no", "unclosed")
     opens = F.col("step") == 1
     lists = F.col("tag").isin("ul", "ol")
     n_images = F.when(F.contains("body", F.lit("<")), F.regexp_count("body", F.lit(r"(?i)<img\b"))).otherwise(0)
@@ -127,11 +147,15 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
     )
     # Innermost vocabulary block or list: the latest one opened at the present nesting depth.
     innermost = F.last(F.when(F.col("v_step") == 1, block), ignorenulls=True).over(upto_here(keys, "v_depth"))
-    ordered = F.last(F.when(lists & opens, F.col("tag") == "ol"), ignorenulls=True).over(upto_here(keys, "list_depth"))
-    placed = nesting.withColumns({"vb": innermost, "ordered_list": ordered}).withColumn(
+    this_list = F.last(
+        F.when(lists & opens, F.struct(F.col("pos").alias("seg"), (F.col("tag") == "ol").alias("ordered"))), ignorenulls=True
+    ).over(upto_here(keys, "list_depth"))
+    item = F.last(F.when((F.col("tag") == "li") & opens, F.col("pos")), ignorenulls=True).over(upto_here(keys, "list_depth"))
+    placed = nesting.withColumns({"vb": innermost, "list": this_list, "item_seg": item}).withColumn(
         "vb", F.when(F.col("v_depth") > 0, F.col("vb"))
     ).drop("vlevel", "vordered", "v_depth")
-    heading = F.when(F.col("tag").isin(*_HEADINGS) & opens, F.substring("tag", 2, 1).cast("int"))
+    begins = opens | (F.col("kind") == "open")
+    heading = F.when(F.col("tag").isin(*_HEADINGS) & begins, F.substring("tag", 2, 1).cast("int"))
     return placed.withColumns(
         {
             "l_depth": F.sum("l_step").over(run),
@@ -143,7 +167,7 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
             "head_depth": _tag_depth(_HEADINGS, run),
             "summary_depth": _tag_depth(["summary"], run),
             "head_level": F.last(heading, ignorenulls=True).over(run),
-            "pre_attrs": F.last(F.when((F.col("tag") == "pre") & opens, F.col("attrs")), ignorenulls=True).over(run),
+            "pre_attrs": F.last(F.when((F.col("tag") == "pre") & begins, F.col("attrs")), ignorenulls=True).over(run),
             # What surrounds a block is the state just before its own first segment.
             "outer": F.lag(F.struct(F.col("vb.seg").alias("seg"), F.col("vb.kind").alias("kind"))).over(in_order(keys)),
         }
@@ -217,24 +241,28 @@ def _escape(sign: str) -> str:
 def page_blocks(
     segments: DataFrame, keys: list[str] = KEYS, leaf_only: bool = False, clean_code: bool = True
 ) -> DataFrame:
-    """One row per block: ``keys, block_no, parent_block, kind, level, ordered, lang, text``.
+    """One row per block: ``keys, block_no, parent_block, kind, level, ordered, lang, text, place``.
 
     ``segments`` come from ``block_segments``, usually cut to their content root. ``block_no``
     follows document order. ``leaf_only`` drops what lies outside a block's first editable leaf,
-    nested blocks included (toggles keep their members).
+    nested blocks included (toggles keep their members). ``place`` is (list_seg, item_seg, depth) of an item of a plain
+    list: the segments where its list and its item begin, and how many lists are around that list.
     """
     context = _with_context(_annotated(segments, keys), keys)
     vkind = F.col("vb.kind")
+    in_heading = (F.col("head_depth") > 0) | F.coalesce(F.col("lost").isin(*_HEADINGS), F.lit(False))
+    inside = lambda tag, depth: (F.col(depth) > 0) | F.coalesce(F.col("lost") == tag, F.lit(False))
+    in_item = (F.col("li_depth") > 0) & (F.col("list_depth") > 0)
     in_title = F.col("title_depth") > F.coalesce(F.col("vb.title_depth"), F.lit(0))
     kind = (
         F.when(vkind.isin("heading", "code", "divider"), vkind)
-        .when(F.col("pre_depth") > 0, "code")
-        .when(vkind == "toggle", F.when(in_title, "toggle_summary").when(F.col("head_depth") > 0, "heading"))
+        .when(inside("pre", "pre_depth"), "code")
+        .when(vkind == "toggle", F.when(in_title, "toggle_summary").when(in_heading, "heading"))
         .when(vkind.isin("quote", "list_item"), vkind)
-        .when(F.col("head_depth") > 0, "heading")
-        .when(F.col("summary_depth") > 0, "toggle_summary")
-        .when((F.col("li_depth") > 0) & (F.col("list_depth") > 0), "list_item")
-        .when(F.col("quote_depth") > 0, "quote")
+        .when(in_heading, "heading")
+        .when(inside("summary", "summary_depth"), "toggle_summary")
+        .when(in_item, "list_item")
+        .when(inside("blockquote", "quote_depth"), "quote")
     )
     divider = (F.col("kind") == "open") & ((F.col("tag") == "hr") | ((F.col("v_step") == 1) & (F.col("vkind") == "divider")))
     icon_here = (vkind == "quote") & (F.col("img_no") == F.col("vb.img_no"))
@@ -246,10 +274,13 @@ def page_blocks(
         F.coalesce(divider, F.lit(False)).alias("divider"),
         F.when(F.coalesce(divider, F.lit(False)), "divider").otherwise(F.coalesce(kind, F.lit("paragraph"))).alias("kind"),
         F.when(vkind == "heading", F.col("vb.level")).otherwise(F.col("head_level")).alias("level"),
-        F.when(vkind == "list_item", F.col("vb.ordered")).otherwise(F.col("ordered_list")).alias("ordered"),
+        F.when(vkind == "list_item", F.col("vb.ordered")).otherwise(F.col("list.ordered")).alias("ordered"),
+        # Items of plain lists know their list, their item and how deep they are; others have none of these.
+        F.when((kind == "list_item") & F.coalesce(vkind != "list_item", F.lit(True)), F.struct(
+            F.col("list.seg").alias("list_seg"), "item_seg", (F.col("list_depth") - 1).cast("int").alias("depth"))).alias("place"),
         F.when(F.col("m_depth") > 0, "").when(icon_here, no_icon).otherwise(F.col("body")).alias("body"),
         F.when(vkind == "code", F.col("vb.attrs"))
-        .when(F.col("pre_depth") > 0, F.concat_ws(" ", lang_tag, "pre_attrs"))
+        .when(inside("pre", "pre_depth"), F.concat_ws(" ", lang_tag, "pre_attrs"))
         .alias("code_attrs"),
         F.col("vb.seg").alias("vseg"),
         vkind.alias("vkind"),
@@ -290,11 +321,16 @@ def page_blocks(
         F.when(F.col("kind") == "list_item", F.coalesce("ordered", F.lit(False))).alias("ordered"),
         F.when(F.col("kind") == "code", markup.code_lang(F.coalesce("code_attrs", F.lit("")))).alias("lang"),
         "text",
+        "place",
     )
 
 
 def group_list_runs(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Adds ``run_id``, shared by adjacent items of one list, and ``item_no`` within the run."""
+    """Adds ``run_id``, shared by adjacent items of one list, ``item_no`` within the list, ``continues`` and ``depth``.
+
+    Items of a plain list are numbered by their list, also round a list nested in one of them. ``continues`` holds for
+    the second and later blocks of one item.
+    """
     order = Window.partitionBy(*keys).orderBy("block_no")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     this = F.struct("kind", "ordered", "parent_block")
@@ -306,8 +342,17 @@ def group_list_runs(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             "run_start": F.max(F.when(F.col("new_run") == 1, F.col("nth"))).over(running),
         }
     )
-    item = F.when(F.col("kind") == "list_item", F.col("nth") - F.col("run_start") + 1)
-    return out.withColumn("item_no", item).drop("new_run", "nth", "run_start")
+    in_list = Window.partitionBy(*keys, F.col("place.list_seg")).orderBy("place.item_seg")
+    in_run = F.when(F.col("kind") == "list_item", F.col("nth") - F.col("run_start") + 1)
+    first = F.row_number().over(Window.partitionBy(*keys, F.col("place.item_seg")).orderBy("block_no")) == 1
+    placed = F.col("place").isNotNull()
+    return out.withColumns(
+        {
+            "item_no": F.when(placed, F.dense_rank().over(in_list)).otherwise(in_run),
+            "continues": placed & ~first,
+            "depth": F.coalesce("place.depth", F.lit(0)),
+        }
+    ).drop("new_run", "nth", "run_start", "place")
 
 
 def block_stats(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -320,13 +365,18 @@ def block_stats(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def render_block(fence_lang: bool = False) -> Column:
     """Markdown of one block row."""
     text = F.col("text")
+    indent = F.repeat(F.lit(_INDENT), F.col("depth"))
+    inner = F.concat(indent, F.lit(_INDENT))
     fence = F.concat(F.lit("```"), F.coalesce("lang", F.lit(""))) if fence_lang else F.lit("```")
     return (
         F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), text))
         .when(
             F.col("kind") == "list_item",
             F.concat(
-                F.when(F.col("ordered"), F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise("* "), text
+                F.when(F.col("continues"), inner)
+                .when(F.col("ordered"), F.concat(indent, F.col("item_no").cast("string"), F.lit(". ")))
+                .otherwise(F.concat(indent, F.lit("* "))),
+                F.when((F.col("depth") > 0) | F.col("continues"), F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), inner))).otherwise(text),
             ),
         )
         .when(F.col("kind") == "quote", F.concat(F.lit("> "), F.regexp_replace(text, "\n", "\n> ")))
@@ -342,8 +392,9 @@ def render_markdown(blocks: DataFrame, keys: list[str] = KEYS, fence_lang: bool
     ``blocks`` carries the columns of ``group_list_runs``.
     """
     text = blocks.where((F.col("kind") != "code") | (F.col("text") != ""))
-    # The second and later items of a run follow their predecessor closely.
-    gap = F.when(F.col("item_no") > 1, "\n").otherwise("\n\n")
+    # The second and later items of a list follow their predecessor closely, and so does a list in an item.
+    close = ((F.col("item_no") > 1) | (F.col("depth") > 0)) & ~F.col("continues")
+    gap = F.when(close, "\n").otherwise("\n\n")
     pieces = text.select(
         *keys, F.struct("block_no", F.concat(gap, render_block(fence_lang)).alias("md")).alias("piece")
     )

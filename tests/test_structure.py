@@ -121,3 +121,22 @@ def test_one_exchange_serves_the_whole_plan(spark):
     assert len(re.findall(r"\bExchange\b", plan)) == 1
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
     assert "Python" not in plan
+
+
+def test_lists_nest_and_items_hold_paragraphs(page):
+    assert md(page, "<ol><li><p>a</p><p>b</p></li><li>c</li></ol>") == "1. a\n\n    b\n2. c\n"
+    assert md(page, "<ol><li>a<ol><li>b</li><li>d</li></ol></li><li>c</li></ol>") == "1. a\n    1. b\n    2. d\n2. c\n"
+    assert md(page, "<ul><li>a<ul><li>b<ul><li>x</li></ul></li></ul></li></ul><p>end</p>") == "* a\n    * b\n        * x\n\nend\n"
+    assert md(page, "<ul><li>a<li>b</ul><ol><li>c</ol>") == "* a\n* b\n\n1. c\n"
+
+
+def test_elements_without_a_close_tag_end_with_their_surroundings(page):
+    assert md(page, "<div><h2>T</div><p>text</p><p>more</p>") == "## T\n\ntext\n\nmore\n"
+    assert md(page, "<div><blockquote>q</div><p>text</p>") == "> q\n\ntext\n"
+    assert md(page, "<div><blockquote>q<p>r</p></div><p>t</p><blockquote>z</blockquote>u") == "> q\n\n> r\n\nt\n\n> z\n\nu\n"
+    assert md(page, "<section><div><h3>T</div><p>text</section><h1>H</h1>x") == "### T\n\ntext\n\n# H\n\nx\n"
+
+
+def test_own_tag_of_a_code_element_does_not_count(page):
+    html = '<pre class="line-numbers notion-code-block"><span>x = 1</span></pre>'
+    assert [r.text for r in code.code_blocks(tokens.html_tokens(page(html))).collect()] == ["x = 1"]
