@@ -237,10 +237,12 @@ refs AS (SELECT page_id, 1 AS pass, '/img/' || page_id % 7 || '.png' AS src, {OR
     UNION ALL SELECT page_id, 1, '/img/a.png', {ORIGIN}, 'a.png' FROM pages
     UNION ALL SELECT page_id, 1, 'data:image/png;base64,aGk=', '', 'embedded.png' FROM pages
     UNION ALL SELECT page_id, 2, '/bg/' || page_id % 5 || '.jpg', {ORIGIN}, page_id % 5 || '.jpg' FROM pages)"""
-sql("asset_refs", with_(REFS) + "SELECT page_id, CAST(pass AS BIGINT) AS pass, src, o || src AS url FROM refs")
-sql("anchor_refs", rf"""SELECT page_id, src, {ORIGIN} || src AS url FROM (
+ANCHORS = rf"""SELECT page_id, src, {ORIGIN} || src AS url FROM (
     SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS src FROM pages
-    UNION ALL SELECT page_id, url, '/files/' || page_id % 3 || '.pdf' FROM pages)""")
+    UNION ALL SELECT page_id, url, '/files/' || page_id % 3 || '.pdf' FROM pages)"""
+sql("asset_refs", with_(REFS) + f"""SELECT page_id, CAST(pass AS BIGINT) AS pass, src, o || src AS url FROM refs
+    UNION ALL SELECT page_id, CAST(3 AS BIGINT), src, url FROM ({ANCHORS})""")
+sql("anchor_refs", ANCHORS)
 sql("background_refs", with_(REFS) + "SELECT page_id, src, o || src AS url FROM refs WHERE pass = 2")
 sql("union_of_asset_passes", """SELECT CAST(1 AS BIGINT) AS pass, 4 * count(*) AS n, count(*) AS n_pages FROM pages
     UNION ALL SELECT 2, count(*), count(*) FROM pages
