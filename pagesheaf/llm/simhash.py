@@ -153,14 +153,16 @@ def near_links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     # The tables of patterns depend on the threshold alone: 32 x (156 + 16) rows for 4 bits.
     table = F.broadcast(spark.createDataFrame(rows, "side int, syn int, err bigint"))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), _half(F.col("fp"), s).alias("part")) for s in (0, 1)]))
-    parts = fps.select("fp", sides.alias("x")).select("fp", "x.*").withColumn("syn", syndrome(F.col("part")))
+    n = fps.count()
+    tasks = max(1, -(-n * len(rows) // 32 // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Every fingerprint becomes some 172 rows, so what one task reads must be few fingerprints and not one file split.
+    parts = fps.select("fp").repartition(tasks, "fp").select("fp", sides.alias("x")).select("fp", "x.*")
+    parts = parts.withColumn("syn", syndrome(F.col("part")))
     place = (F.col("side").cast("bigint") * (1 << HALF)).bitwiseOR(F.col("part").bitwiseXOR(F.col("err")))
     copies = parts.join(table, ["side", "syn"]).select("fp", place.alias("anchor"), F.bit_count("err").alias("d"))
     home = parts.join(table.where(F.bit_count("err") <= RADIUS), ["side", "syn"]).select(place.alias("anchor"))
     wide = home.groupBy("anchor").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("cells > 1")
     wide = stored(wide, "wide-anchors")
-    n = fps.count()
-    tasks = max(1, -(-n * len(rows) // 32 // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = copies.join(wide, "anchor", "left")
     # A seat is an anchor, a slice of its homes, a slice of its replicas and a role, in one number.
     mine = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("bigint")
