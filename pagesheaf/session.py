@@ -40,6 +40,20 @@ def local_session(app: str = "pagesheaf", cores: int | str = "*", partitions: in
     return session
 
 
+# Folders made by this process; nothing else is ever removed.
+_MADE: list[str] = []
+
+
+def remove_shared_folders(spark: SparkSession) -> int:
+    """Delete the intermediate folders this process has made, once no table that reads them is needed; returns how many."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate data, below the cluster's shared checkpoint folder.
 
@@ -52,7 +66,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pagesheaf-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -200,3 +200,31 @@ def test_rank_filters_run_before_the_exchange(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("page_id"), F.col("id").alias("ts"))
     plan = snapshots.number_attempts(df, ["ts"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_shared_folders(spark, monkeypatch):
+    import os
+
+    from pagesheaf import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    kept = session.staged(spark.range(3).toDF("n"), "mine")
+    path = session._MADE[0]
+    assert kept.count() == 3 and os.path.isdir(path)
+    assert session.remove_shared_folders(spark) == 1 and not os.path.exists(path)
+
+    class Cluster:
+        conf = {}
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Cluster, "x")
+    Cluster.conf = {"spark.checkpoint.dir": "file:/shared/"}
+    assert session.shared_folder(Cluster, "x").startswith("file:/shared/x-")
+
+
+def test_emoji_image_with_a_background_is_no_asset(page):
+    html = '<img class="notion-emoji" alt="x" src="/e.png" style="background:url(/b.png)"><img src="/i.png">'
+    assert [r.src for r in assets.asset_refs(page(html)).collect()] == ["/i.png"]
