@@ -144,8 +144,7 @@ sql("strip_noncontent_comments", f"""SELECT page_id, '<!-- <script> --><!-- <tit
 sql("extract_title_comments", with_(TITLES) + "SELECT page_id, title FROM titles")
 sql("content_root", with_(TOKENS, """bounds AS (SELECT page_id, min(CASE WHEN raw LIKE '<article%' THEN pos END) AS a,
     min(CASE WHEN raw = '</article>' THEN pos END) AS b FROM toks GROUP BY page_id)""")
-    + """SELECT page_id, count(*) AS n_tokens, CAST(sum(length(raw)) AS BIGINT) AS n_chars, min(pos) AS start
-    FROM toks JOIN bounds USING (page_id) WHERE pos BETWEEN a AND b GROUP BY page_id""")
+    + "SELECT page_id, pos, raw FROM toks JOIN bounds USING (page_id) WHERE pos BETWEEN a AND b")
 sql("first_by_priority", with_(TOKENS, """bounds AS (SELECT page_id, min(CASE WHEN raw LIKE '<article%' THEN pos END) AS a,
     min(CASE WHEN raw = '</article>' THEN pos END) AS b FROM toks GROUP BY page_id)""")
     + """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'main' ELSE 'article' END AS root,
@@ -184,7 +183,7 @@ sql("element_spans", with_(TOKENS) + """SELECT page_id, name AS tag, pos AS firs
     WHERE name IN ('article', 'nav', 'li')) WHERE kind = 'open'""")
 sql("page_blocks", with_(TALK) + "SELECT page_id, block_no, kind, level, ordered, text FROM talk_blocks")
 sql("page_blocks_html", with_(PIECES) + "SELECT page_id, block_no, kind, CASE WHEN kind = 'heading' THEN CAST(1 AS BIGINT) END AS level, text FROM page_blocks")
-sql("leaf_text", with_(TALK) + "SELECT page_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM talk_blocks GROUP BY page_id")
+sql("leaf_text", with_(TALK) + "SELECT page_id, block_no, text FROM talk_blocks")
 sql("group_list_runs", with_(TALK) + "SELECT page_id, block_no, CAST(run_id AS BIGINT) AS run_id, item_no FROM talk_items WHERE kind = 'list_item'")
 sql("block_stats", with_(TALK) + "SELECT page_id, kind, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM talk_blocks GROUP BY page_id, kind")
 sql("render_markdown", with_(TALK, r"""

@@ -78,9 +78,7 @@ def content_root(spark, sf):
     kept = tokens.content_root(
         tokens.html_tokens(tokens.strip_noncontent(fx.pages(spark, sf)), cluster=True, keep_raw=True)
     )
-    return kept.groupBy("page_id").agg(
-        F.count("*").alias("n_tokens"), F.sum(F.length("raw")).alias("n_chars"), F.min("pos").cast("bigint").alias("start")
-    )
+    return kept.select("page_id", F.col("pos").cast("bigint").alias("pos"), "raw")
 
 
 @query
@@ -259,9 +257,7 @@ def page_blocks_html(spark, sf):
 @query
 def leaf_text(spark, sf):
     segments = tokens.content_root(blocks.block_segments(fx.block_pages(spark, sf)), keep_close=False)
-    return blocks.page_blocks(segments, leaf_only=True).groupBy("page_id").agg(
-        F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars")
-    )
+    return blocks.page_blocks(segments, leaf_only=True).select("page_id", F.col("block_no").cast("bigint").alias("block_no"), "text")
 
 
 @query

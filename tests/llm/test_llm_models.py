@@ -41,8 +41,8 @@ def test_cross_parsing_takes_longest_matches(monkeypatch, block):
         codes = language._codes(text, code_of)
         blocks = [codes[i:i + block] for i in range(0, len(codes), block)]
         for (_, reference), parser in zip(references, parsers):
-            known = "".join(chr(256 + c) for c in language._codes(reference, code_of))
-            want = [phrases("".join(chr(256 + c) for c in b), known) for b in blocks]
+            known = "".join(chr(256 + int(c)) for c in language._codes(reference, code_of))
+            want = [phrases("".join(chr(256 + int(c)) for c in b), known) for b in blocks]
             order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
             got = language._phrases([blocks[i] for i in order], parser)
             assert [want[i] for i in order] == got.tolist()
