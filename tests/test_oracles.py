@@ -4,6 +4,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +16,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
@@ -22,6 +25,6 @@ def test_flagship(spark):
     assert df.columns == ["page_id", "md"] and df.count() == 50
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
