@@ -220,7 +220,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame
     counted = stored(ids.groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-ids")
     # The row travels as one column, so that no name of its own can clash.
     rows = docs.select(F.struct("*").alias("row"), "doc_id")
-    kept = rows.join(counted, "doc_id")
+    # The kept ids grow with the table, so they are joined by a shuffle at every size and never broadcast.
+    kept = rows.join(counted.hint("merge"), "doc_id")
     once = kept.where("copies = 1").select("row")
     more = kept.where("copies > 1").dropDuplicates(["doc_id"]).select("row")
     return once.union(more).union(rows.where("doc_id is null").select("row")).select("row.*")
