@@ -2,9 +2,15 @@
 
 import sys
 
+import numpy as np
+import pytest
+
 sys.path.insert(0, __file__.rpartition("/")[0])
 
-from pagesheaf.llm import queries  # noqa: E402
+from fixtures import documents, empty  # noqa: E402
+
+import corpus_pipeline as pipeline  # noqa: E402
+from pagesheaf.llm import queries, similar  # noqa: E402
 
 
 def test_packing_query_packs_tokens(spark, tmp_path):
@@ -20,3 +26,56 @@ def test_packing_query_packs_tokens(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in rows} == want
     assert sum(r.doc_id == 1 for r in rows) > 1
     assert sum(r.piece_tokens for r in rows) == sum(want.values()) + len(want)
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def kept_by_force(rows):
+    """Smallest ids of the components of all pairs of a five-word Jaccard index of 0.8 or more."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            s, t = sets[i], sets[j]
+            if s == t or (min(len(s), len(t)) >= 0.8 * max(len(s), len(t)) and len(s & t) >= 0.8 * len(s | t)):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root(i)] = min(k, least.get(root(i), k))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("star, late", [(16, 8), (3, 2)])
+def test_near_copy_stage_reaches_five_word_similarity(spark, monkeypatch, star, late):
+    """Near copies with edited words, also around one text, beside a passage that many texts share."""
+    monkeypatch.setattr(similar, "STAR", star)
+    monkeypatch.setattr(similar, "LATE", late)
+    rng, rows = np.random.default_rng(11), []
+    passage = [f"common{i}" for i in range(20)]
+    for c in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 40 + 15 * c)]
+        for _ in range(10):
+            words = list(base)
+            for at in rng.choice(len(words), rng.integers(0, 5), replace=False):
+                words[at] = f"e{rng.integers(0, 9999)}"
+            rows.append((len(rows), " ".join(words + passage * int(c % 2))))
+    rows += [(500, ""), (501, None), (502, "two words"), (503, "Two  words"), (504, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = kept_by_force(rows)
+    assert sorted(r.doc_id for r in pipeline.near_copies(spark, docs, "").collect()) == want and len(want) < 100
+
+
+def test_near_copy_stage_keeps_different_texts_of_one_id(spark):
+    """Rows of one id are told apart, repeated rows are one, rows without an id stay."""
+    rows = [(1, "a b c d e f g"), (2, "one two three four five six"), (2, "six other words are of this text"), (2, "six other words are of this text"), (3, "a b c d e f g"), (None, "q"), (None, "q")]
+    kept = pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[2], rows[5], rows[6]], key=repr)
+    assert pipeline.near_copies(spark, empty(spark), "").count() == 0 and pipeline.near_copies(spark, documents(spark), "").columns == documents(spark).columns
