@@ -36,7 +36,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_documents(table(spark, sf_dir, "documents"), k=10, query_terms=16)
+    return top_documents(table(spark, sf_dir, "documents"), k=10, query_terms=None, by_frequency=True)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

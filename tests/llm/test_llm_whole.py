@@ -1,6 +1,8 @@
 """Queries and stages do their whole job: cases that a cheaper stand-in gets wrong."""
 
+import math
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ sys.path.insert(0, __file__.rpartition("/")[0])
 from fixtures import documents, empty  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
-from pagesheaf.llm import queries, similar  # noqa: E402
+from pagesheaf.llm import queries, search, similar  # noqa: E402
 
 
 def test_packing_query_packs_tokens(spark, tmp_path):
@@ -79,3 +81,33 @@ def test_near_copy_stage_keeps_different_texts_of_one_id(spark):
     kept = pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[2], rows[5], rows[6]], key=repr)
     assert pipeline.near_copies(spark, empty(spark), "").count() == 0 and pipeline.near_copies(spark, documents(spark), "").columns == documents(spark).columns
+
+
+def test_search_query_is_the_whole_text(spark, monkeypatch, tmp_path):
+    """Query 20 has 60 rare words and a long passage of middling ones; documents with its passage beat one rare word."""
+    monkeypatch.setattr(search, "SHARD_DOCS", 40)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = {i: " ".join(f"m{x}" for x in rng.integers(0, 80, 60)) for i in range(1, 90) if i != 20}
+    for i in range(41, 56):
+        texts[i] += " " + passage
+    for i in range(60):
+        texts[1 + i % 19] += f" rare{i}"
+    texts[20] = passage + " p1 p1 p1 " + " ".join(f"rare{i}" for i in range(60))
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 7)) for r in queries.op5_search(spark, str(tmp_path)).collect())
+    tf = {i: Counter(t.split()) for i, t in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    n, mean, want = len(tf), sum(c.total() for c in tf.values()) / len(tf), []
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    for q in (i for i in tf if i % 20 == 0):
+        scores = {}
+        for d in tf:
+            norm = search.K1 * (1 - search.B + search.B * tf[d].total() / mean)
+            hit = [t for t in tf[q] if tf[d][t]]
+            if hit and d != q:
+                scores[d] = sum(tf[q][t] * idf[t] * tf[d][t] * (search.K1 + 1) / (tf[d][t] + norm) for t in hit)
+        ranked = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+        want += [(q, r, d, round(s, 7)) for r, (d, s) in enumerate(ranked, 1)]
+    assert got == sorted(want) and {d for q, _, d, _ in got if q == 20} <= set(range(41, 56))
