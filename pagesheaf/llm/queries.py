@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesheaf.llm.bpe import encoding_digests
 from pagesheaf.llm.common import table
 from pagesheaf.llm.forest import nearest
 from pagesheaf.llm.language import identify_language
 from pagesheaf.llm.licenses import license_scan
 from pagesheaf.llm.mixing import mixed_order
+from pagesheaf.llm.oracles import ORACLES
 from pagesheaf.llm.packing import pack
 from pagesheaf.llm.quality import classify_quality
 from pagesheaf.llm.search import top_documents
 from pagesheaf.llm.simhash import near_groups
 from pagesheaf.llm.token_counts import token_counts
 from pagesheaf.llm.toxicity import classify_toxicity
+from pagesheaf.llm.trie import conversation_trie
+from pagesheaf.llm.whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_order(table(spark, sf_dir, "documents"), max_passes=2.0, block_tokens=1_000_000)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_trie": op12_trie,
+    "op13_bpe": op13_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
