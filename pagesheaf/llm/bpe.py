@@ -14,6 +14,7 @@ worker process remembers the ids of the pre-tokens it has met, up to ``REMEMBERE
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
@@ -31,7 +32,7 @@ from pagesheaf.llm.token_counts import vocabulary_path
 
 # Characters of pre-tokens a worker process remembers, and characters of texts that are encoded together.
 REMEMBERED = 16_000_000
-ROUND_CHARS = 4_000_000
+ROUND_CHARS = 2_000_000
 
 
 class Model(NamedTuple):
@@ -92,7 +93,7 @@ def _recent(character: str) -> bool:
 
 
 def _pretokens(name: str, spec: dict) -> Callable[[str], list[str]]:
-    """A function from a text without special strings to its pre-tokens, written in byte characters.
+    """A function from a text without special strings to its pre-tokens.
 
     Lower-casing vocabularies that keep the matches of one pattern are cut here; whatever else a file asks for, and texts
     with recent characters, the library normalises and cuts itself.
@@ -104,9 +105,11 @@ def _pretokens(name: str, spec: dict) -> Callable[[str], list[str]]:
     library = Tokenizer.from_file(vocabulary_path(name))
     normal, cut = library.normalizer, library.pre_tokenizer
 
+    to_bytes = str.maketrans({c: chr(b) for b, c in _byte_characters().items()})
+
     def by_library(text: str) -> list[str]:
         text = normal.normalize_str(text) if normal else text
-        return [w for w, _ in cut.pre_tokenize_str(text)]
+        return [w.translate(to_bytes).encode("latin-1").decode("utf-8") for w, _ in cut.pre_tokenize_str(text)]
 
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
     split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -126,25 +129,24 @@ def _pretokens(name: str, spec: dict) -> Callable[[str], list[str]]:
     # The same for ASCII texts, in which the classes of the pattern are short lists.
     plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r")
     ascii_words = words if r"\p" in plain else re.compile(plain).findall
-    beyond, controls = re.compile("[^\\x00-\u024f]").findall, re.compile(r"[\x00-\x08\x0e-\x1f\x7f]").search
-    to_bytes = str.maketrans({chr(b): c for b, c in _byte_characters().items() if chr(b) != c})
+    beyond = re.compile("[^\\x00-\u024f]").findall
 
     def of(text: str) -> list[str]:
         if text.isascii():
-            # Matches hold no white space; without other control characters they stand for themselves.
-            found = ascii_words(text.lower())
-            return [w.translate(to_bytes) for w in found] if controls(text) else found
+            return ascii_words(text.lower())
         if any(map(_recent, set(beyond(text)))):
             return by_library(text)
         # The library lower-cases character by character, so a sigma at the end of a word is no special case.
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(to_bytes) for w in words(text)]
+        return words(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
     return of
 
 
 def merged(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words behind each other, number of ids of each) by a pair occurrence index over all of them."""
+    """(ids of all words behind each other, number of ids of each) by a pair occurrence index over all of them.
+
+    The words are written in byte characters.
+    """
     first, last, ranks, parts, width = model.first, model.last, model.ranks, model.parts, model.width
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
@@ -223,7 +225,9 @@ class _Lexicon(dict):
         self.ids, self.sizes, self.characters = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     def learn(self, model: Model) -> None:
-        words = [w if isinstance(w, str) else "" for w in self.new]
+        to_characters = {b: c for b, c in _byte_characters().items() if chr(b) != c}
+        words = ["" if isinstance(w, tuple) else w if w.isascii() and w.isprintable()
+                 else w.encode("utf-8").decode("latin-1").translate(to_characters) for w in self.new]
         ids, sizes = merged(words, model)
         for i in [i for i, w in enumerate(self.new) if isinstance(w, tuple)]:
             ids = np.insert(ids, sizes[:i].sum(), model.special[self.new[i][0]])
@@ -266,6 +270,27 @@ def _encode(texts: list[str], name: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.diff(cuts)
 
 
+def _rounds(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, ids behind each other, number of ids of each) of batches of (key, text), some texts at a time."""
+    for b in batches:
+        i = 0
+        while i < b.num_rows:
+            texts, held, j = [], 0, i
+            while j < b.num_rows and held < ROUND_CHARS:
+                texts.append(b.column(1)[j].as_py() or "")
+                held, j = held + len(texts[-1]), j + 1
+            yield b.column(0)[i:j], *_encode(texts, name)
+            i = j
+
+
+def _joined(strings: list[str], ids: np.ndarray, counts: np.ndarray) -> Iterator[str]:
+    """The strings of each list of ids, joined by blanks."""
+    string, end = strings.__getitem__, 0
+    for n in counts.tolist():
+        yield " ".join(map(string, ids[end:end + n].tolist()))
+        end += n
+
+
 def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, ids), one per row of ``docs``: the ids of the whole text as the library for the file gives them.
 
@@ -277,15 +302,9 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
     schema = docs.select(F.col(key), F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lengths = np.cumsum([len(x) for x in (t.as_py() or "" for t in b.column(1))], dtype=np.int64)
-            rounds = lengths // ROUND_CHARS
-            edges = [0, *(np.nonzero(np.diff(rounds))[0] + 1).tolist(), b.num_rows]
-            for i, j in zip(edges, edges[1:]):
-                if i < j:
-                    ids, counts = _encode([t.as_py() or "" for t in b.column(1)[i:j]], vocabulary)
-                    cuts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(cuts, pa.array(ids))], [key, "ids"])
+        for keys, ids, counts in _rounds(batches, vocabulary):
+            cuts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(cuts, pa.array(ids))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -303,20 +322,32 @@ def decode(encoded: DataFrame, vocabulary: str = "word_bpe_49k.json", ids: str =
     place = others.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        string = _model(vocabulary).strings.__getitem__
+        strings = _model(vocabulary).strings
         for b in batches:
             column = b.column(place)
             for i in range(0, b.num_rows, 256):
                 part = column[i:i + 256]
-                texts = [None if x.as_py() is None else " ".join(map(string, x.values.to_numpy().tolist())) for x in part]
+                texts = [None if x.as_py() is None else next(_joined(strings, x.values.to_numpy(), np.array([len(x)]))) for x in part]
                 yield pa.RecordBatch.from_arrays([*b.slice(i, 256).columns, pa.array(texts, pa.string())], [*others, text])
 
     return rows.mapInArrow(run, schema)
 
 
-def encoding_digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded and decoded again, as digests."""
-    both = decode(encode(docs, vocabulary), vocabulary)
-    number = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(number, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+def encoding_digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows (key, n_tokens, ids_sha256, decoded_sha256): texts encoded as by ``encode`` and decoded again as by ``decode``.
+
+    Only the digests leave the task: SHA-256 of the decimal ids joined by one space, and of the decoded text. Null texts
+    count as empty; repeated rows, null keys, empty tables and other columns are treated as by ``encode``.
+    """
+    texts = [F.lit("").alias(c) for c in ("ids_sha256", "decoded_sha256")]
+    schema = docs.select(key, F.lit(0).cast("bigint").alias("n_tokens"), *texts).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = _model(vocabulary).strings
+        decimal = list(map(str, range(len(strings))))
+        for keys, ids, counts in _rounds(batches, vocabulary):
+            digests = [pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in _joined(table, ids, counts)], pa.string())
+                       for table in (decimal, strings)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), *digests], schema.names)
+
+    return docs.select(key, text).mapInArrow(run, schema)
