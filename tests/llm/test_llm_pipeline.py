@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 from fixtures import documents, empty  # noqa: E402
-from test_llm_counts import fingerprint, groups  # noqa: E402
+from test_llm_whole import kept_by_force  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
 from pagesheaf.llm import language, quality  # noqa: E402
@@ -38,8 +38,9 @@ def test_stage_decisions(spark, steps):
     want = {r.doc_id for r in steps[0].collect() if found[r.doc_id].lang_pred != "und"
             and not (r.lang and r.lang != found[r.doc_id].lang_pred and found[r.doc_id].score >= 0.1)}
     assert {r.doc_id for r in steps[1].collect()} == want
-    one = {c for _, _, c in groups([(r.doc_id, fingerprint(r.text)) for r in steps[1].collect()], 4)}
-    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(one)
+    # Five-word similarity of 0.8 or more, by comparing all pairs.
+    one = set(kept_by_force([(r.doc_id, r.text) for r in steps[1].collect()]))
+    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(one) and len(one) < len(want)
     times = Counter(r.doc_id for r in steps[3].collect())
     assert set(times) == one and max(times.values()) <= 2
     packed = steps[4].toPandas()

@@ -55,11 +55,13 @@ def kept_by_force(rows):
     return sorted(least.values())
 
 
-@pytest.mark.parametrize("star, late", [(16, 8), (3, 2)])
-def test_near_copy_stage_reaches_five_word_similarity(spark, monkeypatch, star, late):
+@pytest.mark.parametrize("star, late, cell", [(16, 8, 4096), (3, 2, 4096), (3, 2, 5), (16, 2, 3)])
+def test_near_copy_stage_reaches_five_word_similarity(spark, monkeypatch, star, late, cell):
     """Near copies with edited words, also around one text, beside a passage that many texts share."""
     monkeypatch.setattr(similar, "STAR", star)
     monkeypatch.setattr(similar, "LATE", late)
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "HUB", 4)
     rng, rows = np.random.default_rng(11), []
     passage = [f"common{i}" for i in range(20)]
     for c in range(12):
