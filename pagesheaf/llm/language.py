@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,10 @@ BLOCK = 1024
 # Characters of one round of lanes.
 ROUND_CHARS = 4_000_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def _has_letter(text: str) -> bool:
+    """Letters are what the table of codes takes for letters; digits, fractions and numerals of any script are none."""
+    return any(map(str.isalpha, text))
 
 
 def _automaton(text: np.ndarray, letters: int) -> np.ndarray:
@@ -157,7 +159,7 @@ def language_of(references: tuple[tuple[str, str], ...], text: Column) -> Column
             some = np.zeros(n, bool)
             owners, blocks, held = [], [], 0
             for i, x in enumerate(texts):
-                if not parsers or not x or not _LETTER.search(x):
+                if not parsers or not x or not _has_letter(x):
                     continue
                 some[i] = True
                 codes = _codes(x, code_of)

@@ -58,6 +58,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify_language(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    rows = [(0, "² ½", None), (5, "Ⅷ ①", None), (6, "12 %", None), (7, "ª", None), (8, "Ⅷ a", None)]
+    learned = [(i, "plain words of one language stand here", "en") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows + learned, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify_language(docs).collect()}
+    assert [found[i] for i in (0, 5, 6)] == [("und", 0.0)] * 3 and found[7][0] == found[8][0] == "en"
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.identify_language(docs).join(docs, "doc_id").where("held_out").collect()
