@@ -5,7 +5,7 @@ Every rule is row-local or a plain filter, uses whole tables and grows with them
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesheaf.operators.snapshots import number_attempts
@@ -177,3 +177,50 @@ def commented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = '<!-- <script> --><!-- <title>old</title> --><style-guide>s</style-guide><script>var t = "<title>js</title>"</script>'
     last = '<p>end</p><script>var leak = "<p>leak</p>";'
     return pages(spark, sf_dir).withColumn("html", F.concat(F.lit(first), F.col("html"), F.lit(last)))
+
+
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page with a table for each order, a row for each of its lines.
+
+    The first column is one cell that spans all rows. By ``l_orderkey % 3`` the page has a head of ``th`` with a cell over
+    two columns, a head section, or no head and no close tags of cells and rows; the last column holds a nested table
+    in every fifth page.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    key, case = F.col("l_orderkey"), F.col("l_orderkey") % 3
+    head = F.when(case == 0, '<tr><th colspan="2">line</th><th>part</th></tr>').when(
+        case == 1, "<thead><tr><td>order</td><td>line</td><td>part</td></tr></thead>").otherwise("")
+    end = F.when(case == 2, "").otherwise("</td>")
+    part = F.col("l_partkey").cast("string")
+    inner = F.when(key % 5 == 0, F.concat(F.lit("<table><tr><td>p</td><td>"), part, F.lit("</td></tr></table>"))).otherwise(part)
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    of_order = lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", number.alias("i"),
+                            F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    row = F.concat(
+        F.lit("<tr>"),
+        F.when(F.col("i") == 1, F.concat(F.lit('<td rowspan="'), F.col("n").cast("string"), F.lit('">'), key.cast("string"), end)).otherwise(""),
+        F.lit("<td><b>"), F.col("l_linenumber").cast("string"), F.lit("</b> | "), "l_returnflag", end,
+        F.lit("<td>"), inner, end, F.when(case == 2, "").otherwise("</tr>"))
+    rows = of_order.withColumn("row", row).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("rows"))
+    html = F.concat(F.lit("<html><body><main><p>before</p><table>"), head,
+                    F.array_join(F.transform("rows", lambda r: r.getField("row")), ""), F.lit("</table><p>after</p></main></body></html>"))
+    return rows.select(key.alias("page_id"), F.concat(F.lit("https://ws.notion.site/O-"), key.cast("string")).alias("url"), html.alias("html"))
+
+
+def role_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that end with a link whose quoted title holds angle brackets, a linked card and a block with an inline leaf.
+
+    On pages with an even ``page_id`` the content root is a ``span``.
+    """
+    i = F.col("page_id").cast("string")
+    extra = F.concat(
+        F.lit('<p><a title="a > b <p>c" href="/q/'), i, F.lit('">q '), i, F.lit('</a></p><a href="/c/'), i, F.lit('"><p>card '), i,
+        F.lit('</p></a><div class="notion-text-block"><span data-content-editable-leaf="true">leaf <span>'), i, F.lit("</span></span>outside</div>"))
+    html = in_article(F.col("html"), extra)
+    span = F.replace(F.replace(html, F.lit("<article>"), F.lit('<span class="x notion-collection-view-y">')), F.lit("</article>"), F.lit("</span>"))
+    return pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 2 == 0, span).otherwise(html))
+
+
+def quoted(pages: DataFrame, tag: str) -> DataFrame:
+    """The same pages with a quoted angle bracket in every tag of one name."""
+    return pages.withColumn("html", F.replace("html", F.lit(f"<{tag} "), F.lit(f'<{tag} title="x > y" alt=\'p<i>q\' ')))

@@ -374,3 +374,25 @@ sql("stream_stable_pages", with_(OBS, stable("height", 10, 2, "0"))
     + "SELECT page_id, coalesce(stop, last) AS stop_attempt, stop IS NOT NULL AS is_stable FROM stops")
 sql("stream_complete_pages", with_(OBS, PICKED) + """SELECT p.page_id, o.attempt, o.html, first_clean IS NOT NULL AS is_clean
     FROM picked p JOIN obs o ON o.page_id = p.page_id AND o.attempt = coalesce(first_clean, last)""")
+
+# --- tables and roles -----------------------------------------------------------------------
+
+ORDER_LINES = r"""
+order_lines AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i,
+    '**' || l_linenumber || '** \| ' || l_returnflag || ' | ' || CASE WHEN l_orderkey % 5 = 0 THEN 'p ' ELSE '' END || l_partkey || ' |' AS cells
+    FROM lineitem),
+table_lines AS (
+    SELECT page_id, 1 AS row_no, CASE WHEN page_id % 3 = 0 THEN '| line |  | part |' ELSE '| order | line | part |' END
+        || chr(10) || '| --- | --- | --- |' AS text FROM order_lines WHERE i = 1 AND page_id % 3 <> 2
+    UNION ALL
+    SELECT page_id, CASE WHEN page_id % 3 = 2 THEN i ELSE i + 1 END,
+        CASE WHEN i = 1 AND page_id % 3 = 2 THEN '|  |  |  |' || chr(10) || '| --- | --- | --- |' || chr(10) ELSE '' END
+        || '| ' || CASE WHEN i = 1 THEN page_id::VARCHAR ELSE '' END || ' | ' || cells FROM order_lines)"""
+
+sql("table_rows", with_(ORDER_LINES) + "SELECT page_id, row_no::BIGINT AS row_no, text FROM table_lines")
+sql("table_markdown", with_(ORDER_LINES) + """SELECT page_id, 'before' || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY row_no)
+    || chr(10) || chr(10) || 'after' || chr(10) AS md FROM table_lines GROUP BY page_id""")
+sql("role_markdown", with_(PAGE_MD) + """SELECT page_id, md || chr(10) || '[q ' || page_id || '](/q/' || page_id || ')' || chr(10) || chr(10)
+    || '[card ' || page_id || '](/c/' || page_id || ')' || chr(10) || chr(10) || 'leaf ' || page_id || chr(10) AS md FROM page_md""")
+ORACLES["page_links_quoted"] = ORACLES["page_links"]
+ORACLES["asset_refs_quoted"] = ORACLES["asset_refs"]

@@ -283,6 +283,22 @@ def pages_to_markdown(spark, sf):
     return plans.pages_to_markdown(fx.pages(spark, sf))
 
 
+@query
+def table_markdown(spark, sf):
+    return plans.pages_to_markdown(fx.table_pages(spark, sf))
+
+
+@query
+def table_rows(spark, sf):
+    rows = plans.pages_to_blocks(fx.table_pages(spark, sf)).where("kind = 'table_row'")
+    return rows.select("page_id", F.col("level").cast("bigint").alias("row_no"), "text")
+
+
+@query
+def role_markdown(spark, sf):
+    return plans.pages_to_markdown(fx.role_pages(spark, sf))
+
+
 @query
 def markdown_documents(spark, sf):
     return plans.markdown_documents(fx.pages(spark, sf), "/out", F.lit(TS).cast("timestamp"))
@@ -329,6 +345,12 @@ def page_links(spark, sf):
     return links.page_links(fx.linked_pages(spark, sf)).select("page_id", "href", "url", "text", "target_id")
 
 
+@query
+def page_links_quoted(spark, sf):
+    """Links whose tags hold a quoted angle bracket."""
+    return links.page_links(fx.quoted(fx.linked_pages(spark, sf), "a")).select("page_id", "href", "url", "text", "target_id")
+
+
 @query
 def variant_links(spark, sf):
     return links.variant_links(fx.variant_pages(spark, sf)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href")
@@ -398,6 +420,13 @@ def asset_refs(spark, sf):
     return assets.asset_refs(fx.asset_pages(spark, sf)).select("page_id", F.col("pass").cast("bigint").alias("pass"), "src", "url")
 
 
+@query
+def asset_refs_quoted(spark, sf):
+    """References whose tags hold a quoted angle bracket."""
+    refs = assets.asset_refs(fx.quoted(fx.quoted(fx.asset_pages(spark, sf), "img"), "a"))
+    return refs.select("page_id", F.col("pass").cast("bigint").alias("pass"), "src", "url")
+
+
 @query
 def background_refs(spark, sf):
     return assets.asset_refs(fx.asset_pages(spark, sf)).where(F.col("pass") == 2).select("page_id", "src", "url")

@@ -93,6 +93,33 @@ def code_lang(attrs: Column) -> Column:
 
 # --- whole pages ----------------------------------------------------------------------------
 
+# The inside of a tag up to its end; a quoted value is consumed whole. Nothing is tried twice.
+_INSIDE = r"""(?>[^>"'=]+|=\s*(?:"[^"]*"|'[^']*')|["'=])*+"""
+# Comments and raw text as they are, tags, and what stands between them.
+_PARTS = (
+    rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(fixed.RAW_TEXT_TAGS)})(?=[\s/>]){_INSIDE}>.*?(?:</\1\s*>|\z)"
+    rf"|<[A-Za-z/!?]{_INSIDE}>|[^<]+|<"
+)
+_ANGLE_IN_VALUE = r"""=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])"""
+
+
+def plain_tags(html: Column) -> Column:
+    """The page with angle brackets in quoted attribute values written as character references.
+
+    Afterwards the first ``>`` ends a tag and every ``<`` in a tag begins it, which all patterns of this library rely
+    on. Pages without such a value, nearly all, stay as they are after one look. A quote that never ends is no quote.
+    """
+    tag = r"(?is)^<(?!!--)[A-Za-z/!?].*>$"
+    raw = rf"(?i)^<(?:{'|'.join(fixed.RAW_TEXT_TAGS)})[\s/>]"
+
+    def one(part: Column) -> Column:
+        inner = F.substr(part, F.lit(2), F.length(part) - 2)
+        written = F.replace(F.replace(inner, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when(part.rlike(tag) & ~part.rlike(raw), F.concat(F.lit("<"), written, F.lit(">"))).otherwise(part)
+
+    parts = F.regexp_extract_all(html, F.lit(_PARTS), F.lit(0))
+    return F.when(html.rlike(_ANGLE_IN_VALUE), F.array_join(F.transform(parts, one), "")).otherwise(html)
+
 
 def remove_elements(
     html: Column, tags: list[str] = fixed.NONCONTENT_TAGS, replacement: str = "", comments: bool = False
@@ -132,6 +159,7 @@ def _element_text(html: Column, tag: str) -> Column:
 
 def extract_title(html: Column) -> Column:
     """First hit of title, first h1, h2, h3, og:title, first line of text."""
+    html = plain_tags(html)
     og_tag = F.regexp_extract(
         html, r"""(?is)<meta\s(?=[^>]*\bproperty\s*=\s*["']?og:title["'\s/>])([^>]*)>""", 1
     )

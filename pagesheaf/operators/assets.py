@@ -15,7 +15,7 @@ _STYLE_URL = r"""url\(["']?([^"')\s]+)["']?\)"""
 
 def _content_tokens(pages: DataFrame, keys: list[str], **options) -> DataFrame:
     """Tokens of pages without script and style bodies."""
-    bare = pages.withColumn("html", markup.remove_elements(F.col("html"), ["script", "style"]))
+    bare = pages.withColumn("html", markup.remove_elements(markup.plain_tags(F.col("html")), ["script", "style"]))
     return html_tokens(bare, keys, **options)
 
 

@@ -4,7 +4,11 @@ A page is cut into segments at its block-level tags. Three running contexts give
 type: the innermost vocabulary block, the open semantic elements and the open list. Each context
 is a window on the page key over the one exchange that distributed the stored pages.
 
-A leaf or list marker is recognised on block-level tags; on an inline tag the block itself counts.
+A root, leaf or list marker on an inline tag cuts the page as a block-level tag does. An element that wraps blocks in a
+link gives each of them the link.
+
+A table outside every other one becomes a grid: its rows, the cells of a row, and the columns that earlier rows span. One
+block of kind ``table_row`` stands for a row; tables in cells are flattened to the text of their cell.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 from pagesheaf.functions import markup
 from pagesheaf.functions.text import code_text, collapse_space, html_unescape, let, strip
-from pagesheaf.operators.tokens import KEYS, TOKEN, in_order, pair_tags, upto_here
+from pagesheaf.operators.tokens import KEYS, TOKEN, before_here, in_order, pair_tags, upto_here
 
 # Control characters stand for inline marks until the text of a segment is whole.
 _STRONG, _STRONG_END, _EM, _EM_END, _CODE, _CODE_END, _LINK, _LINK_MID, _LINK_END, _BREAK, _EQUALS = (
     "\x01", "\x02", "\x03", "\x04", "\x05", "\x06", "\x07", "\x08", "\x0e", "\x0f", "\x10",
 )
-_CUT = "\x11"
+_CUT, _ROLE = "\x11", "\x12"
 _MARKS = "".join((_STRONG, _STRONG_END, _EM, _EM_END, _CODE, _CODE_END, _LINK, _LINK_MID, _LINK_END, _BREAK, _EQUALS))
 
 _CONTENT = rf"[^ \t-\r\x{{a0}}{_MARKS}]"
@@ -46,20 +50,57 @@ def _vocabulary(classes: Column, field: int) -> Column:
     return F.when(both, F.lit("code" if field == 1 else None)).otherwise(out)
 
 
+# Classes and attributes that give an element of any name a role, at the start of a tag's text.
+_ANY_NAME = [part or word for tag, word, part in fixed.CONTENT_SELECTORS if tag is None]
+_ROLE_TAG = (
+    rf"""(?is)^<[a-z][^\s/>]*\s(?:[^>]*[\s"'])?(?:class\s*=\s*(?:"[^"]*|'[^']*|)(?:{'|'.join([*_ANY_NAME, fixed.LIST_MARKER_CLASS])})"""
+    rf"""|{fixed.LEAF_ATTRIBUTE}(?=[\s=/>]))"""
+)
+
+
+def _cut_roles(html: Column) -> Column:
+    """Marks the tags of inline elements that have a role, open and close.
+
+    The elements of their names are walked through in order with a stack of roles, so that a close tag is marked if its
+    own open tag was. Only pages that name a role look for such tags at all, and only those that have one are walked.
+    """
+    inline = rf"(?i)<(?!(?:{'|'.join([*fixed.BLOCK_TAGS, *fixed.VOID_TAGS])})[\s/>])[a-z][^>]*>"
+    named = html.rlike("|".join([*_ANY_NAME, fixed.LIST_MARKER_CLASS, fixed.LEAF_ATTRIBUTE]))
+    found = F.filter(F.regexp_extract_all(html, F.lit(inline), F.lit(0)), lambda t: t.rlike(_ROLE_TAG))
+    of_page = F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_extract(t, r"^<([^\s/>]*)", 1))))
+
+    def walk(names: Column) -> Column:
+        starts = F.concat(F.lit(r"(?i)(?=</?(?:"), F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|"), F.lit(r")[\s/>])"))
+
+        def step(state: Column, piece: Column) -> Column:
+            stack = state.getField("stack")
+            closes, opens = F.startswith(piece, F.lit("</")), piece.rlike(r"^<[A-Za-z][^>]*[^/>]?>") & ~piece.rlike(r"^<[^>]*/>")
+            role = F.when(closes, F.right(stack, F.lit(1)) == "1").otherwise(piece.rlike(_ROLE_TAG))
+            after = F.when(closes, F.left(stack, F.length(stack) - 1)).when(opens, F.concat(stack, F.when(role, "1").otherwise("0"))).otherwise(stack)
+            marked = F.when(role, F.concat(F.lit(_CUT + _ROLE), piece)).otherwise(piece)
+            return F.struct(F.concat(state.getField("out"), F.array(marked)).alias("out"), after.alias("stack"))
+
+        none = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("stack"))
+        return F.array_join(F.aggregate(F.split(html, starts), none, step, lambda state: state.getField("out")), "")
+
+    return F.when(named, let(of_page, lambda names: F.when(F.size(names) > 0, walk(names)).otherwise(html))).otherwise(html)
+
+
 def block_segments(pages: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per block-level tag with the inline content up to the next one.
+    """One row per block-level tag, or inline tag with a role, with the inline content up to the next one.
 
     Cutting the page at block-level tags inside the row gives the windows a fraction of the rows a
     full token table has; inline markup is converted in the row and never crosses a sort.
     """
-    html = F.regexp_replace("html", rf"(?s)<!--.*?-->|[{_MARKS}{_CUT}]", "")
+    html = F.regexp_replace(markup.plain_tags(F.col("html")), rf"(?s)<!--.*?-->|[{_MARKS}{_CUT}{_ROLE}]", "")
     tags = "|".join(fixed.BLOCK_TAGS)
-    cut = F.regexp_replace(html, rf"(?i)</?(?:{tags})(?=[\s/>])[^>]*>", f"{_CUT}$0")
+    cut = F.regexp_replace(_cut_roles(html), rf"(?i)</?(?:{tags})(?=[\s/>])[^>]*>", f"{_CUT}$0")
     cut = F.regexp_replace(cut, r"(?i)<hr(?=[\s/>])[^>]*>", f"$0{_CUT}")
     pieces = (
         pages.repartition(*[F.col(k) for k in keys])
         .select(*keys, F.posexplode(F.split(cut, _CUT)).alias("pos", "piece"))
-        .withColumn("head", F.regexp_extract("piece", rf"(?i)^</?(?:{tags})(?=[\s/>])[^>]*>", 0))
+        .withColumn("head", F.regexp_extract("piece", rf"(?i)^(?:{_ROLE}</?[a-z]|</?(?:{tags})(?=[\s/>]))[^>]*>", 0))
+        .withColumns({"piece": F.translate("piece", _ROLE, ""), "head": F.translate("head", _ROLE, "")})
     )
     head = F.col("head")
     return pieces.select(
@@ -87,7 +128,7 @@ def _annotated(segments: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("vordered", F.when(F.col("vkind").isNotNull(), _vocabulary(F.col("classes"), 3)).cast("boolean"))
         .withColumn("leaf", has_attrs & markup.has_attr(attrs, fixed.LEAF_ATTRIBUTE))
         .withColumn("marker", markup.has_word(F.col("classes"), fixed.LIST_MARKER_CLASS))
-        .withColumn("attrs", F.when((F.col("vkind") == "code") | (F.col("tag") == "pre"), attrs))
+        .withColumn("attrs", F.when((F.col("vkind") == "code") | F.col("tag").isin("pre", "td", "th"), attrs))
     )
     paired = pair_tags(out, keys)
     # In one (tag, lvl) an opening tag is followed by its closing tag; without one the element is never closed.
@@ -132,6 +173,9 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
         {
             "v_depth": F.sum("v_step").over(run),
             "list_depth": _tag_depth(["ul", "ol"], run),
+            "table_depth": _tag_depth(["table"], run),
+            "thead_depth": _tag_depth(["thead"], run),
+            "link": F.last(_last_anchor(F.col("body")), ignorenulls=True).over(before_here(keys)),
             "title_depth": _tag_depth([*_HEADINGS[:4], "button"], run),
             "img_no": F.sum(n_images).over(run) - n_images,
         }
@@ -151,6 +195,15 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
         F.when(lists & opens, F.struct(F.col("pos").alias("seg"), (F.col("tag") == "ol").alias("ordered"))), ignorenulls=True
     ).over(upto_here(keys, "list_depth"))
     item = F.last(F.when((F.col("tag") == "li") & opens, F.col("pos")), ignorenulls=True).over(upto_here(keys, "list_depth"))
+    # Tables, rows and cells of the outermost table; a row or cell lasts to the next one.
+    outermost = (F.col("kind") == "open") & (F.col("table_depth") == 1)
+    table_seg = F.last(F.when(outermost & (F.col("tag") == "table"), F.col("pos")), ignorenulls=True).over(run)
+    row_seg = F.last(F.when(outermost & (F.col("tag") == "tr"), F.col("pos")), ignorenulls=True).over(run)
+    cell = F.struct(F.col("pos").alias("seg"), "tag", F.coalesce("attrs", F.lit("")).alias("attrs"), (F.col("thead_depth") > 0).alias("in_head"))
+    cell = F.last(F.when(outermost & F.col("tag").isin("td", "th"), cell), ignorenulls=True).over(run)
+    nesting = nesting.withColumns({"table_seg": table_seg, "row_seg": row_seg, "cell": cell}).withColumn(
+        "cell", F.when((F.col("table_depth") > 0) & (F.col("cell.seg") > F.col("table_seg")), F.col("cell"))
+    ).withColumn("row_seg", F.when(F.col("row_seg") > F.col("table_seg"), F.col("row_seg")).otherwise(F.col("table_seg"))).drop("table_depth", "thead_depth")
     placed = nesting.withColumns({"vb": innermost, "list": this_list, "item_seg": item}).withColumn(
         "vb", F.when(F.col("v_depth") > 0, F.col("vb"))
     ).drop("vlevel", "vordered", "v_depth")
@@ -174,6 +227,13 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _last_anchor(body: Column) -> Column:
+    """The last anchor tag of a segment: its open tag, '' if it closes or has no address, NULL if there is none."""
+    last = F.regexp_extract(body, r"(?is)^.*(<a(?=[\s/>])[^>]*>|</a(?=[\s>])[^>]*>)", 1)
+    return F.when(F.contains(F.lower(body), F.lit("<a")) | F.contains(F.lower(body), F.lit("</a")), F.when(
+        last.rlike(r"(?i)^<a\s[^>]*href"), last).when(last != "", ""))
+
+
 def _inline_piece(token: Column) -> Column:
     """Text contributed by one inline token, marks as control characters."""
     tag = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
@@ -225,6 +285,9 @@ def inline_markdown(raw: Column) -> Column:
         out = F.regexp_replace(out, rf"{start}({space}*)(?:{end}|\z)", "$1")
         out = F.regexp_replace(out, pair, rf"$1{_escape(sign)}$2{_escape(sign)}$3")
         out = F.regexp_replace(out, f"[{start}{end}]", "")
+    # A link around nothing is dropped, one without an address is its text.
+    out = F.regexp_replace(out, rf"{_LINK}[^{_LINK_MID}]*{_LINK_MID}{space}*(?:{_LINK_END}|\z)", "")
+    out = F.regexp_replace(out, rf"{_LINK}{_LINK_MID}([^{_LINK}{_LINK_END}]*)(?:{_LINK_END}|\z)", "$1")
     out = F.regexp_replace(
         out, rf"{_LINK}([^{_LINK_MID}]*){_LINK_MID}([^{_LINK}{_LINK_END}]*)(?:{_LINK_END}|\z)", "[$2]($1)"
     )
@@ -278,7 +341,8 @@ def page_blocks(
         # Items of plain lists know their list, their item and how deep they are; others have none of these.
         F.when((kind == "list_item") & F.coalesce(vkind != "list_item", F.lit(True)), F.struct(
             F.col("list.seg").alias("list_seg"), "item_seg", (F.col("list_depth") - 1).cast("int").alias("depth"))).alias("place"),
-        F.when(F.col("m_depth") > 0, "").when(icon_here, no_icon).otherwise(F.col("body")).alias("body"),
+        F.concat(F.coalesce("link", F.lit("")), F.when(F.col("m_depth") > 0, "").when(icon_here, no_icon).otherwise(F.col("body"))).alias("body"),
+        "table_seg", "row_seg", "cell",
         F.when(vkind == "code", F.col("vb.attrs"))
         .when(inside("pre", "pre_depth"), F.concat_ws(" ", lang_tag, "pre_attrs"))
         .alias("code_attrs"),
@@ -289,6 +353,7 @@ def page_blocks(
     ).where(
         # Segments without text are only needed where they open a block or a leaf.
         F.col("divider") | F.col("outer").isNotNull() | F.col("leaf_no").isNotNull() | F.col("body").rlike(_CONTENT)
+        | (F.col("cell.seg") == F.col("block_no"))
     )
     in_block = Window.partitionBy(*keys, "vseg")
     rows = rows.withColumns(
@@ -299,6 +364,7 @@ def page_blocks(
     has_text = (F.col("kind") != "divider") & F.col("body").rlike(_CONTENT)
     kept = rows.where(
         F.col("divider")
+        | F.coalesce(F.col("cell.seg") == F.col("block_no"), F.lit(False))
         | (has_text & (~boxed | F.col("first_leaf").isNull() | F.coalesce(in_leaf, F.lit(False))))
     )
     if leaf_only:
@@ -311,18 +377,110 @@ def page_blocks(
     bare = F.translate("marked", _EQUALS, "")
     clean = code_text(bare, F.contains("marked", F.lit(_EQUALS))) if clean_code else bare
     code = F.when(F.col("vkind") == "code", clean).otherwise(bare)
-    text = F.when(F.col("kind") == "code", code).otherwise(inline_markdown(F.col("marked")))
-    return kept.withColumn("text", text).select(
+    in_cell = F.col("cell").isNotNull()
+    text = F.when((F.col("kind") == "code") & ~in_cell, code).otherwise(inline_markdown(F.col("marked")))
+    # Tags alone make no block, and a link around nothing is none.
+    written = kept.withColumn("text", text).where(F.col("divider") | in_cell | (F.col("kind") == "code") | (F.col("text") != ""))
+    found = written.select(
         *keys,
-        "block_no",
-        F.when(F.col("vseg").isNotNull(), F.col("outer.seg")).alias("parent_block"),
-        "kind",
-        F.when(F.col("kind") == "heading", F.col("level")).alias("level"),
-        F.when(F.col("kind") == "list_item", F.coalesce("ordered", F.lit(False))).alias("ordered"),
-        F.when(F.col("kind") == "code", markup.code_lang(F.coalesce("code_attrs", F.lit("")))).alias("lang"),
-        "text",
-        "place",
+        F.when(in_cell, F.col("table_seg")).otherwise(F.col("block_no")).alias("unit"),
+        F.when(in_cell, F.struct("row_seg", F.col("cell.seg").alias("cell_seg"), "block_no", "cell", "text")).alias("part"),
+        F.struct(
+            "block_no",
+            F.when(F.col("vseg").isNotNull(), F.col("outer.seg")).alias("parent_block"),
+            F.when(in_cell, "table_row").otherwise(F.col("kind")).alias("kind"),
+            F.when(F.col("kind") == "heading", F.col("level")).alias("level"),
+            F.when(F.col("kind") == "list_item", F.coalesce("ordered", F.lit(False))).alias("ordered"),
+            F.when(F.col("kind") == "code", markup.code_lang(F.coalesce("code_attrs", F.lit("")))).alias("lang"),
+            "text",
+            "place",
+        ).alias("block"),
     )
+    # A table is one group, every other block a group of its own; both are parts of one page.
+    units = found.groupBy(*keys, "unit").agg(F.collect_list("part").alias("parts"), F.min_by("block", "block.block_no").alias("block"))
+    return units.select(*keys, F.inline(F.when(F.size("parts") == 0, F.array("block")).otherwise(_table_rows(F.col("parts"), F.col("block")))))
+
+
+def _spans(attrs: Column, name: str, most: int) -> Column:
+    """A span as a number of at least 1; what is no number is 1, and 0 (up to the end of the table) the most there can be."""
+    number = F.regexp_extract(markup.attr(attrs, name, decode=False), r"^\s*(\d{1,5})\s*$", 1).try_cast("int")
+    return F.least(F.when(number == 0, most).otherwise(F.coalesce(number, F.lit(1))), F.lit(most))
+
+
+def table_grid(cells: Column) -> Column:
+    """Rows ``struct(seg, head, line)`` of the cells ``struct(row_seg, tag, attrs, in_head, text)`` of one table, in order.
+
+    A cell takes the first column that no cell of an earlier row spans. Its text stands in the first of its rows and
+    columns, the others are empty. A row is a head if all its cells are ``th`` or stand in the head section.
+    """
+    blank = F.array().cast("array<string>")
+
+    def row(seg: Column) -> Column:
+        own = F.filter(cells, lambda c: c.getField("row_seg") == seg)
+        return F.struct(seg.alias("seg"), F.forall(own, lambda c: (c.getField("tag") == "th") | c.getField("in_head")).alias("head"), own.alias("own"))
+
+    def place(state: Column, item: Column) -> Column:
+        """``left`` says for how many more rows a column is taken."""
+        left = state.getField("left")
+        taken = lambda i: F.coalesce(F.get(left, i), F.lit(0)) > 0
+
+        def put(line: Column, cell: Column) -> Column:
+            width = F.size(line.getField("texts"))
+            free = F.get(F.filter(F.sequence(width, F.greatest(width, F.size(left))), lambda i: ~taken(i)), F.lit(0))
+            gap = free - width
+            wide, tall = _spans(cell.getField("attrs"), "colspan", 1000), _spans(cell.getField("attrs"), "rowspan", 65534)
+            return F.struct(
+                F.concat(line.getField("texts"), F.array_repeat(F.lit(""), gap), F.array(cell.getField("text")), F.array_repeat(F.lit(""), wide - 1)).alias("texts"),
+                F.concat(line.getField("tall"), F.array_repeat(F.lit(0), gap), F.array_repeat(tall, wide)).alias("tall"))
+
+        line = F.aggregate(item.getField("own"), F.struct(blank.alias("texts"), F.array().cast("array<int>").alias("tall")), put)
+
+        def finish(line: Column) -> Column:
+            more = F.greatest(F.size(left) - F.size(line.getField("texts")), F.lit(0))
+            columns = F.sequence(F.lit(0), F.greatest(F.size(left), F.size(line.getField("tall"))) - 1)
+            rest = F.transform(columns, lambda i: F.greatest(F.coalesce(F.get(left, i), F.lit(0)), F.coalesce(F.get(line.getField("tall"), i), F.lit(0))) - 1)
+            made = F.struct(item.getField("seg").alias("seg"), item.getField("head").alias("head"), F.concat(line.getField("texts"), F.array_repeat(F.lit(""), more)).alias("line"))
+            return F.struct(F.concat(state.getField("rows"), F.array(made)).alias("rows"), rest.alias("left"))
+
+        return let(line, finish)
+
+    none = F.struct(F.array().cast("array<struct<seg:int,head:boolean,line:array<string>>>").alias("rows"), F.array().cast("array<int>").alias("left"))
+    segs = F.array_distinct(F.transform(cells, lambda c: c.getField("row_seg")))
+    return F.aggregate(F.transform(segs, row), none, place, lambda state: state.getField("rows"))
+
+
+def _table_rows(parts: Column, block: Column) -> Column:
+    """One ``table_row`` block for each row of a table; the first one holds the head and the rule below it.
+
+    Texts of one cell are joined by blanks. A table without a head row gets an empty one, all rows have as many cells
+    as the widest, and a bar in a text is escaped.
+    """
+    ordered = F.array_sort(F.transform(parts, lambda p: F.struct(p.getField("cell_seg").alias("cell_seg"), p.getField("block_no").alias("block_no"), p.alias("p"))))
+    firsts = F.filter(ordered, lambda x: x.getField("cell_seg") == x.getField("block_no"))
+
+    def whole(x: Column) -> Column:
+        texts = F.filter(F.transform(F.filter(ordered, lambda y: y.getField("cell_seg") == x.getField("cell_seg")), lambda y: y.getField("p").getField("text")), lambda t: t != "")
+        text = F.regexp_replace(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "), r"(?<!\\)\|", r"\\|")
+        cell = x.getField("p").getField("cell")
+        return F.struct(x.getField("p").getField("row_seg").alias("row_seg"), cell.getField("tag").alias("tag"), cell.getField("attrs").alias("attrs"),
+                        cell.getField("in_head").alias("in_head"), text.alias("text"))
+
+    def written(rows: Column) -> Column:
+        wide = F.array_max(F.transform(rows, lambda r: F.size(r.getField("line"))))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), wide))
+
+        def line(r: Column, i: Column) -> Column:
+            texts = F.concat(r.getField("line"), F.array_repeat(F.lit(""), wide - F.size(r.getField("line"))))
+            bars = F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
+            first = F.when(r.getField("head"), F.concat(bars, F.lit("\n"), rule)).otherwise(F.concat(F.lit("|"), F.repeat(F.lit("  |"), wide), F.lit("\n"), rule, F.lit("\n"), bars))
+            return F.struct(
+                r.getField("seg").alias("block_no"), block.getField("parent_block").alias("parent_block"), F.lit("table_row").alias("kind"),
+                (i + 1).alias("level"), F.lit(None).cast("boolean").alias("ordered"), F.lit(None).cast("string").alias("lang"),
+                F.when(i == 0, first).otherwise(bars).alias("text"), block.getField("place").alias("place"))
+
+        return F.transform(rows, line)
+
+    return let(table_grid(F.transform(firsts, whole)), written)
 
 
 def group_list_runs(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -394,7 +552,7 @@ def render_markdown(blocks: DataFrame, keys: list[str] = KEYS, fence_lang: bool
     text = blocks.where((F.col("kind") != "code") | (F.col("text") != ""))
     # The second and later items of a list follow their predecessor closely, and so does a list in an item.
     close = ((F.col("item_no") > 1) | (F.col("depth") > 0)) & ~F.col("continues")
-    gap = F.when(close, "\n").otherwise("\n\n")
+    gap = F.when(close | ((F.col("kind") == "table_row") & (F.col("level") > 1)), "\n").otherwise("\n\n")
     pieces = text.select(
         *keys, F.struct("block_no", F.concat(gap, render_block(fence_lang)).alias("md")).alias("piece")
     )

@@ -16,7 +16,7 @@ def _anchors(html: Column) -> Column:
 
     Each anchor ends at its close tag or at the next anchor.
     """
-    clean = markup.remove_elements(html, ["script", "style"], comments=True)
+    clean = markup.remove_elements(markup.plain_tags(html), ["script", "style"], comments=True)
     pieces = F.split(clean, r"(?i)<a(?=[\s>/])")
     rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(

@@ -26,17 +26,20 @@ KEYS = ["page_id"]
 
 def strip_noncontent(pages: DataFrame, tags: list[str] = fixed.NONCONTENT_TAGS) -> DataFrame:
     """Remove scripts, styles and similar elements, content included."""
-    return pages.withColumn("html", markup.remove_elements(F.col("html"), tags))
+    return pages.withColumn("html", markup.remove_elements(markup.plain_tags(F.col("html")), tags))
 
 
 def html_tokens(
     pages: DataFrame, keys: list[str] = KEYS, cluster: bool = False, keep_raw: bool = False
 ) -> DataFrame:
-    """One row per token: ``keys, pos, kind, tag, attrs, text`` (and ``raw`` on request)."""
+    """One row per token: ``keys, pos, kind, tag, attrs, text`` (and ``raw`` on request).
+
+    A tag ends at the first ``>`` outside a quoted value; angle brackets in values come as character references.
+    """
     source = pages.repartition(*[F.col(k) for k in keys]) if cluster else pages
     raw = F.col("raw")
     exploded = source.select(
-        *keys, F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("pos", "raw")
+        *keys, F.posexplode(F.regexp_extract_all(markup.plain_tags(F.col("html")), F.lit(TOKEN), F.lit(0))).alias("pos", "raw")
     )
     kind = (
         F.when(F.startswith(raw, F.lit("</")), "close")
