@@ -100,7 +100,8 @@ _PARTS = (
     rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(fixed.RAW_TEXT_TAGS)})(?=[\s/>]){_INSIDE}>.*?(?:</\1\s*>|\z)"
     rf"|<[A-Za-z/!?]{_INSIDE}>|[^<]+|<"
 )
-_ANGLE_IN_VALUE = r"""=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])"""
+# A tag whose first values are free of angle brackets and one is not.
+_ANGLE_IN_VALUE = r"""<[A-Za-z](?>[^<>"'=]+|=\s*(?:"[^"<>]*"|'[^'<>]*')|=(?!\s*["'])|(?<!=)["'])*+=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])"""
 
 
 def plain_tags(html: Column) -> Column:

@@ -94,7 +94,7 @@ def block_segments(pages: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """
     html = F.regexp_replace(markup.plain_tags(F.col("html")), rf"(?s)<!--.*?-->|[{_MARKS}{_CUT}{_ROLE}]", "")
     tags = "|".join(fixed.BLOCK_TAGS)
-    cut = F.regexp_replace(_cut_roles(html), rf"(?i)</?(?:{tags})(?=[\s/>])[^>]*>", f"{_CUT}$0")
+    cut = F.regexp_replace(let(html, _cut_roles), rf"(?i)</?(?:{tags})(?=[\s/>])[^>]*>", f"{_CUT}$0")
     cut = F.regexp_replace(cut, r"(?i)<hr(?=[\s/>])[^>]*>", f"$0{_CUT}")
     pieces = (
         pages.repartition(*[F.col(k) for k in keys])
@@ -199,7 +199,8 @@ def _with_context(marked: DataFrame, keys: list[str]) -> DataFrame:
     outermost = (F.col("kind") == "open") & (F.col("table_depth") == 1)
     table_seg = F.last(F.when(outermost & (F.col("tag") == "table"), F.col("pos")), ignorenulls=True).over(run)
     row_seg = F.last(F.when(outermost & (F.col("tag") == "tr"), F.col("pos")), ignorenulls=True).over(run)
-    cell = F.struct(F.col("pos").alias("seg"), "tag", F.coalesce("attrs", F.lit("")).alias("attrs"), (F.col("thead_depth") > 0).alias("in_head"))
+    spans = [_span(F.coalesce("attrs", F.lit("")), f"{n}span", most).alias(a) for n, a, most in (("col", "wide", 1000), ("row", "tall", 65534))]
+    cell = F.struct(F.col("pos").alias("seg"), ((F.col("tag") == "th") | (F.col("thead_depth") > 0)).alias("head"), *spans)
     cell = F.last(F.when(outermost & F.col("tag").isin("td", "th"), cell), ignorenulls=True).over(run)
     nesting = nesting.withColumns({"table_seg": table_seg, "row_seg": row_seg, "cell": cell}).withColumn(
         "cell", F.when((F.col("table_depth") > 0) & (F.col("cell.seg") > F.col("table_seg")), F.col("cell"))
@@ -383,8 +384,6 @@ def page_blocks(
     written = kept.withColumn("text", text).where(F.col("divider") | in_cell | (F.col("kind") == "code") | (F.col("text") != ""))
     found = written.select(
         *keys,
-        F.when(in_cell, F.col("table_seg")).otherwise(F.col("block_no")).alias("unit"),
-        F.when(in_cell, F.struct("row_seg", F.col("cell.seg").alias("cell_seg"), "block_no", "cell", "text")).alias("part"),
         F.struct(
             "block_no",
             F.when(F.col("vseg").isNotNull(), F.col("outer.seg")).alias("parent_block"),
@@ -395,20 +394,37 @@ def page_blocks(
             "text",
             "place",
         ).alias("block"),
+        F.when(in_cell, F.struct("table_seg", "row_seg", F.col("cell.seg").alias("cell_seg"), "block_no", "cell", "text")).alias("part"),
     )
-    # A table is one group, every other block a group of its own; both are parts of one page.
-    units = found.groupBy(*keys, "unit").agg(F.collect_list("part").alias("parts"), F.min_by("block", "block.block_no").alias("block"))
-    return units.select(*keys, F.inline(F.when(F.size("parts") == 0, F.array("block")).otherwise(_table_rows(F.col("parts"), F.col("block")))))
+    # The blocks of a page meet in its row, as they do again when it is rendered.
+    of_page = found.groupBy(*keys).agg(F.collect_list(F.struct("block", "part")).alias("all"))
+    return of_page.select(*keys, F.inline(_with_tables(F.col("all"))))
 
 
-def _spans(attrs: Column, name: str, most: int) -> Column:
+def _with_tables(found: Column) -> Column:
+    """The blocks of a page, in any order, those of the cells of a table replaced by blocks of its rows."""
+    part = lambda x: x.getField("part")
+    block = lambda x: x.getField("block")
+    plain = F.transform(F.filter(found, lambda x: part(x).isNull()), block)
+
+    def of_cells(cells: Column) -> Column:
+        own = lambda seg: F.filter(cells, lambda x: part(x).getField("table_seg") == seg)
+        rows = lambda own: _table_rows(F.transform(own, part), block(F.get(own, F.lit(0))))
+        tables = F.array_distinct(F.transform(cells, lambda x: part(x).getField("table_seg")))
+        return F.flatten(F.transform(tables, lambda seg: let(own(seg), rows)))
+
+    whole = F.concat(plain, let(F.filter(found, lambda x: part(x).isNotNull()), of_cells))
+    return F.when(F.exists(found, lambda x: part(x).isNotNull()), whole).otherwise(F.transform(found, block))
+
+
+def _span(attrs: Column, name: str, most: int) -> Column:
     """A span as a number of at least 1; what is no number is 1, and 0 (up to the end of the table) the most there can be."""
-    number = F.regexp_extract(markup.attr(attrs, name, decode=False), r"^\s*(\d{1,5})\s*$", 1).try_cast("int")
-    return F.least(F.when(number == 0, most).otherwise(F.coalesce(number, F.lit(1))), F.lit(most))
+    digits = F.regexp_extract(attrs, rf"""(?i)(?:^|[\s"']){name}\s*=\s*["']?\s*(\d{{1,5}})\s*(?:["'\s]|$)""", 1)
+    return let(digits, lambda d: F.when(d == "", 1).when(d.cast("int") == 0, most).otherwise(F.least(d.cast("int"), F.lit(most))))
 
 
 def table_grid(cells: Column) -> Column:
-    """Rows ``struct(seg, head, line)`` of the cells ``struct(row_seg, tag, attrs, in_head, text)`` of one table, in order.
+    """Rows ``struct(seg, head, line)`` of the cells ``struct(row_seg, head, wide, tall, text)`` of one table, in order.
 
     A cell takes the first column that no cell of an earlier row spans. Its text stands in the first of its rows and
     columns, the others are empty. A row is a head if all its cells are ``th`` or stand in the head section.
@@ -417,7 +433,7 @@ def table_grid(cells: Column) -> Column:
 
     def row(seg: Column) -> Column:
         own = F.filter(cells, lambda c: c.getField("row_seg") == seg)
-        return F.struct(seg.alias("seg"), F.forall(own, lambda c: (c.getField("tag") == "th") | c.getField("in_head")).alias("head"), own.alias("own"))
+        return F.struct(seg.alias("seg"), F.forall(own, lambda c: c.getField("head")).alias("head"), own.alias("own"))
 
     def place(state: Column, item: Column) -> Column:
         """``left`` says for how many more rows a column is taken."""
@@ -428,7 +444,7 @@ def table_grid(cells: Column) -> Column:
             width = F.size(line.getField("texts"))
             free = F.get(F.filter(F.sequence(width, F.greatest(width, F.size(left))), lambda i: ~taken(i)), F.lit(0))
             gap = free - width
-            wide, tall = _spans(cell.getField("attrs"), "colspan", 1000), _spans(cell.getField("attrs"), "rowspan", 65534)
+            wide, tall = cell.getField("wide"), cell.getField("tall")
             return F.struct(
                 F.concat(line.getField("texts"), F.array_repeat(F.lit(""), gap), F.array(cell.getField("text")), F.array_repeat(F.lit(""), wide - 1)).alias("texts"),
                 F.concat(line.getField("tall"), F.array_repeat(F.lit(0), gap), F.array_repeat(tall, wide)).alias("tall"))
@@ -456,14 +472,16 @@ def _table_rows(parts: Column, block: Column) -> Column:
     as the widest, and a bar in a text is escaped.
     """
     ordered = F.array_sort(F.transform(parts, lambda p: F.struct(p.getField("cell_seg").alias("cell_seg"), p.getField("block_no").alias("block_no"), p.alias("p"))))
-    firsts = F.filter(ordered, lambda x: x.getField("cell_seg") == x.getField("block_no"))
 
-    def whole(x: Column) -> Column:
-        texts = F.filter(F.transform(F.filter(ordered, lambda y: y.getField("cell_seg") == x.getField("cell_seg")), lambda y: y.getField("p").getField("text")), lambda t: t != "")
-        text = F.regexp_replace(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "), r"(?<!\\)\|", r"\\|")
-        cell = x.getField("p").getField("cell")
-        return F.struct(x.getField("p").getField("row_seg").alias("row_seg"), cell.getField("tag").alias("tag"), cell.getField("attrs").alias("attrs"),
-                        cell.getField("in_head").alias("in_head"), text.alias("text"))
+    def cells(ordered: Column) -> Column:
+        def whole(x: Column) -> Column:
+            same = F.filter(ordered, lambda y: y.getField("cell_seg") == x.getField("cell_seg"))
+            texts = F.filter(F.transform(same, lambda y: y.getField("p").getField("text")), lambda t: t != "")
+            text = F.regexp_replace(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "), r"(?<!\\)\|", r"\\|")
+            cell = x.getField("p").getField("cell")
+            return F.struct(x.getField("p").getField("row_seg").alias("row_seg"), *[cell.getField(c).alias(c) for c in ("head", "wide", "tall")], text.alias("text"))
+
+        return F.transform(F.filter(ordered, lambda x: x.getField("cell_seg") == x.getField("block_no")), whole)
 
     def written(rows: Column) -> Column:
         wide = F.array_max(F.transform(rows, lambda r: F.size(r.getField("line"))))
@@ -480,7 +498,7 @@ def _table_rows(parts: Column, block: Column) -> Column:
 
         return F.transform(rows, line)
 
-    return let(table_grid(F.transform(firsts, whole)), written)
+    return let(let(let(ordered, cells), table_grid), written)
 
 
 def group_list_runs(blocks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
