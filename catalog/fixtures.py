@@ -147,6 +147,32 @@ def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("html", in_article(F.col("html"), extra))
 
 
+CODE_CLASS = 'class="line-numbers notion-code-block"'
+
+
+def nested_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code elements around others: the outer one with a ``pre``, without one, a ``pre`` itself, or never closed."""
+    i = F.col("page_id").cast("string")
+    inner = F.concat(F.lit(f"<div {CODE_CLASS}><span>in"), i, F.lit("</span><span>=</span>1</div>"))
+    extra = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(f"<div {CODE_CLASS}><pre>p</pre>"), inner, F.lit("<i>"), inner, F.lit("</i></div>")))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit(f"<div {CODE_CLASS}>out;"), inner, F.lit("</div>")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit(f"<pre {CODE_CLASS}><span>root"), i, F.lit("</span></pre>")))
+        .otherwise(F.concat(F.lit(f"<section><div {CODE_CLASS}>open"), i, F.lit("</section><code>c</code>")))
+    )
+    return pages(spark, sf_dir).withColumn("html", in_article(F.col("html"), extra))
+
+
+def many_span_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose code is only known by its many spans; every third one holds a marked element as well."""
+    i = F.col("page_id")
+    spans = F.concat(
+        F.lit('<section class="lang-sql"><span>select</span><span> n'), i.cast("string"), F.lit("</span><br><span>=</span><span> 1</span></section>")
+    )
+    marked = F.when(i % 3 == 0, F.lit(f"<div {CODE_CLASS}>marked</div>")).otherwise("")
+    return pages(spark, sf_dir).withColumn("html", in_article(F.col("html"), F.concat(spans, marked)))
+
+
 def title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose title sits in the title, in h1, in h2 or nowhere, by ``page_id % 4``."""
     case = F.col("page_id") % 4

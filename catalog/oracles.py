@@ -181,6 +181,12 @@ sql("token_context", with_(TOKENS) + """SELECT page_id, pos,
 sql("element_spans", with_(TOKENS) + """SELECT page_id, name AS tag, pos AS first_pos, next_pos AS last_pos FROM (
     SELECT page_id, name, kind, pos, lead(pos) OVER (PARTITION BY page_id, name ORDER BY pos) AS next_pos FROM kinds
     WHERE name IN ('article', 'nav', 'li')) WHERE kind = 'open'""")
+sql("element_ends", with_(TOKENS, """
+marks AS (SELECT page_id, name, kind, pos, min(pos) FILTER (WHERE kind = 'close' AND name = 'article') OVER (PARTITION BY page_id) AS art_end,
+    lead(kind) OVER (PARTITION BY page_id, name ORDER BY pos) AS next_kind, lead(pos) OVER (PARTITION BY page_id, name ORDER BY pos) AS next_pos
+    FROM kinds WHERE name IN ('b', 'p', 'body', 'html', 'article'))""") + """SELECT page_id, name AS tag, pos AS first_pos,
+    CASE WHEN next_kind = 'close' THEN next_pos WHEN name IN ('b', 'p') THEN art_end END AS last_pos
+    FROM marks WHERE kind = 'open' AND name <> 'article'""")
 sql("page_blocks", with_(TALK) + "SELECT page_id, block_no, kind, level, ordered, text FROM talk_blocks")
 sql("page_blocks_html", with_(PIECES) + "SELECT page_id, block_no, kind, CASE WHEN kind = 'heading' THEN CAST(1 AS BIGINT) END AS level, text FROM page_blocks")
 sql("leaf_text", with_(TALK) + "SELECT page_id, block_no, text FROM talk_blocks")
@@ -198,6 +204,11 @@ sql("markdown_documents", with_(PAGE_MD, TITLES) + f"""SELECT page_id, title,
     md, sha256(md) AS sha256, CAST(strlen(md) AS BIGINT) AS n_bytes, 'ok' AS status FROM page_md JOIN titles USING (page_id)""")
 sql("selectable_chunks", with_(TALK) + "SELECT page_id, block_id, html FROM talk_html")
 sql("code_blocks", "SELECT page_id, 'py' AS lang, 'var' || page_id || ' = f(<' || page_id || ')' || chr(10) || 'end' AS text FROM pages")
+sql("code_blocks_nested", """SELECT page_id, NULL AS lang, CASE page_id % 4 WHEN 1 THEN 'out;in' || page_id || ' = 1'
+    WHEN 2 THEN 'root' || page_id WHEN 3 THEN 'open' || page_id ELSE 'in' || page_id || ' = 1' END AS text
+    FROM pages, range(2) r(nth) WHERE nth = 0 OR page_id % 4 = 0""")
+sql("code_blocks_by_spans", """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 'sql' END AS lang,
+    CASE WHEN page_id % 3 = 0 THEN 'marked' ELSE 'select n' || page_id || ' = 1' END AS text FROM pages""")
 sql("code_blocks_regex", "SELECT page_id, 'py' AS lang, 'var' || page_id || ' = f(&lt;' || page_id || ')' || chr(10) || 'end' AS text FROM pages")
 sql("code_lang", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'js' WHEN 1 THEN 'Go' WHEN 2 THEN 'sql' END AS lang FROM pages")
 sql("code_text", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 2 = 0 THEN
@@ -246,15 +257,50 @@ sql("background_refs", with_(REFS) + "SELECT page_id, src, o || src AS url FROM
 sql("union_of_asset_passes", """SELECT CAST(1 AS BIGINT) AS pass, 4 * count(*) AS n, count(*) AS n_pages FROM pages
     UNION ALL SELECT 2, count(*), count(*) FROM pages
     UNION ALL SELECT 3, CAST(sum(1 + len(regexp_extract_all(html, '<a href='))) AS BIGINT), count(*) FROM pages""")
-sql("asset_manifest_by_url", with_(REFS) + """SELECT page_id, o || src AS url, CASE WHEN name LIKE '%-1.png' THEN page_id % 7 || '.png' ELSE name END AS name,
-    'ok' AS status FROM refs""")
-sql("asset_manifest", with_(REFS) + "SELECT page_id, o || src AS url, name, 'assets/' || name AS rel_path, 'ok' AS status FROM refs")
+ALL_REFS = rf"""RECURSIVE all_refs AS (
+    SELECT page_id, 1 AS pass, 0 AS ord, '/img/' || page_id % 7 || '.png' AS src, {ORIGIN} AS o FROM pages
+    UNION ALL SELECT page_id, 1, 1, '/img/' || page_id % 7 || '.png', {ORIGIN} FROM pages
+    UNION ALL SELECT page_id, 1, 2, '/img/a.png', {ORIGIN} FROM pages
+    UNION ALL SELECT page_id, 1, 3, 'data:image/png;base64,aGk=', '' FROM pages
+    UNION ALL SELECT page_id, 2, 0, '/bg/' || page_id % 5 || '.jpg', {ORIGIN} FROM pages
+    UNION ALL SELECT page_id, 3, unnest(range(len(l))), unnest(l), o FROM (SELECT page_id, {ORIGIN} AS o,
+        list_append(regexp_extract_all(html, '<a href="([^"]*)"', 1), '/files/' || page_id % 3 || '.pdf') AS l FROM pages)),
+plain AS (SELECT page_id, pass, ord, o || src AS url, CASE WHEN src LIKE 'data:%' THEN 'embedded.png'
+    ELSE regexp_replace(regexp_extract(rtrim(split_part(src, '?', 1), '/'), '([^/]*)$', 1), '[\\:*"<>|]', '_', 'g') END AS name FROM all_refs)"""
+
+
+def first_free(rows: str, separator: str) -> str:
+    """Names of ``rows`` (``page_id, name`` in order of ``place``), each the first free one after those before it."""
+    stem, suffix = "regexp_extract(l[i + 1], '^(.+)(\\.[^.]+)$', 1)", "regexp_extract(l[i + 1], '^(.+)(\\.[^.]+)$', 2)"
+    numbered = f"""CASE WHEN n = 0 THEN l[i + 1] WHEN {suffix} = '' THEN l[i + 1] || '{separator}' || n ELSE {stem} || '{separator}' || n || {suffix} END"""
+    return f"""
+walk AS (SELECT page_id, list(name ORDER BY place) AS l, 0 AS i, []::VARCHAR[] AS taken FROM {rows} GROUP BY page_id
+    UNION ALL SELECT page_id, l, i + 1, list_append(taken, list_filter(list_transform(range(0, i + 1), lambda n: {numbered}),
+        lambda c: NOT list_contains(taken, c))[1]) FROM walk WHERE i < len(l)),
+named AS (SELECT page_id, unnest(range(len(l))) + 1 AS place, unnest(l) AS wanted, unnest(taken) AS name FROM walk WHERE i = len(l))"""
+
+
+PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pass, ord) AS place FROM plain)"
+NAMED = with_(ALL_REFS, PLACED, first_free("placed", "-"))
+QUOTED = "replace(url_encode({}), '%2F', '/')"
+sql("asset_manifest_by_url", with_(ALL_REFS, "firsts AS (SELECT page_id, url, name, row_number() OVER (PARTITION BY page_id ORDER BY pass, ord) AS place FROM"
+    " (SELECT * FROM plain QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pass, ord) = 1))", first_free("firsts", "-"))
+    + """SELECT p.page_id, CAST(p.pass AS BIGINT) AS pass, p.url, n.name, 'ok' AS status FROM plain p JOIN firsts f USING (page_id, url)
+    JOIN named n ON n.page_id = f.page_id AND n.place = f.place""")
+sql("asset_manifest", NAMED + f"""SELECT p.page_id, CAST(pass AS BIGINT) AS pass, url, n.name, 'assets/' || {QUOTED.format('n.name')} AS rel_path, 'ok' AS status
+    FROM placed p JOIN named n ON n.page_id = p.page_id AND n.place = p.place""")
 sql("unique_names", """SELECT page_id, pos, CASE WHEN page_id % 2 = 0 THEN ['a.png', 'b.png', 'a-1.png', 'a-1-1.png', 'c', 'c-1'][pos + 1]
     ELSE ['a.png', 'b.png', 'a-1.png', '', 'c', 'c-1'][pos + 1] END AS name FROM pages, range(6) r(pos) WHERE page_id % 2 = 0 OR pos <> 3""")
 sql("asset_counts", r"SELECT page_id, CAST(6 + len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_assets FROM pages")
-sql("rewrite_assets", """SELECT page_id, '<img src="assets/' || page_id % 7 || '.png"><img data-src="/img/' || page_id % 7 || '.png" src="assets/' || page_id % 7
-    || '-1.png"><img srcset="/img/a.png 1x, /img/b.png 2x" src="assets/a.png"><div style="background-image:url(''assets/' || page_id % 5
-    || '.jpg'')"></div><a href="assets/' || page_id % 3 || '.pdf">file</a><img src="assets/embedded.png">😊' AS tail FROM pages""")
+# The page cut at its links, each followed by the rest of the page up to the next one.
+sql("rewrite_assets", with_(ALL_REFS, PLACED, first_free("placed", "-"), f"""
+paths AS (SELECT page_id, ord, 'assets/' || {QUOTED.format('n.name')} AS path FROM placed p JOIN named n USING (page_id, place) WHERE pass = 3),
+cut AS (SELECT page_id, string_split(replace({NO_SCRIPT}, '</article>', '<img src="assets/' || page_id % 7 || '.png"><img data-src="/img/' || page_id % 7
+    || '.png" src="assets/' || page_id % 7 || '-1.png"><img srcset="/img/a.png 1x, /img/b.png 2x" src="assets/a.png"><div style="background-image:url(''assets/'
+    || page_id % 5 || '.jpg'')"></div><a href="/files/' || page_id % 3 || '.pdf">file</a><img src="assets/embedded.png">😊</article>'), '<a href="') AS l FROM pages),
+bits AS (SELECT page_id, unnest(range(len(l))) - 1 AS ord, unnest(l) AS bit FROM cut)""")
+    + """SELECT b.page_id, string_agg(CASE WHEN b.ord < 0 THEN bit ELSE '<a href="' || path || substr(bit, strpos(bit, '"')) END, '' ORDER BY b.ord) AS html
+    FROM bits b LEFT JOIN paths p ON p.page_id = b.page_id AND p.ord = b.ord GROUP BY b.page_id""")
 RENAMES = """renames AS (SELECT page_id, name, new_name FROM pages, (VALUES ('a b.png', 'a_b_1.png'), ('a(b.png', 'a_b_2.png'),
     ('a_b.png', 'a_b.png'), ('é.pdf', 'asset.pdf'), ('ok.txt', 'ok.txt')) v(name, new_name))"""
 sql("unique_renames", with_(RENAMES) + "SELECT page_id, name, new_name FROM renames")
@@ -292,9 +338,14 @@ sql("dedup_occurrences", "SELECT user_id AS page_id, min(event_id) AS pos, props
 sql("dedup_matches_ci", r"""SELECT doc_id, min(pos) AS pos, arg_min(m, pos) AS match FROM (
     SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS m FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS l FROM documents))
     GROUP BY doc_id, lower(m)""")
-sql("first_n_pending", """SELECT page_id, pending, n FROM (
-    SELECT page_id, 'shimmer' AS pending, page_id % 3 AS n FROM pages
-    UNION ALL SELECT page_id, 'unknown', least(page_id % 4, 3 - page_id % 3) FROM pages) WHERE n > 0""")
+# The blocks follow the article's last text; unknown ones stand first, shimmering ones rank first.
+sql("first_n_pending", with_(TOKENS, """
+ends AS (SELECT page_id, min(pos) AS last FROM (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (SELECT page_id,
+    regexp_extract_all(html, '(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>|[^<]+|<') AS l FROM pages)) WHERE raw = '</article>' GROUP BY page_id)""") + """
+SELECT page_id, pending, pos, row_number() OVER (PARTITION BY page_id ORDER BY pending, pos) AS nth FROM (
+    SELECT page_id, 'unknown' AS pending, last + 2 * i AS pos FROM ends, range(3) r(i) WHERE i < page_id % 4
+    UNION ALL SELECT page_id, 'shimmer', last + 2 * (page_id % 4) + 2 * i FROM ends, range(2) r(i) WHERE i < page_id % 3)
+    QUALIFY nth <= 3""")
 sql("first_n_occurrences", """SELECT user_id AS page_id, props AS selector_or_snippet, event_id AS pos FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) <= 2""")
 sql("strip_placeholder_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)ing([^\pL\pN_]|$)', '\1', 'g'),

@@ -227,6 +227,15 @@ def token_context(spark, sf):
     )
 
 
+@query
+def element_ends(spark, sf):
+    """Elements that the pages never close end with the article, or with the page."""
+    all_tokens = tokens.html_tokens(tokens.strip_noncontent(fx.pages(spark, sf)), cluster=True)
+    return tokens.element_spans(all_tokens, F.col("tag").isin("b", "p", "body", "html")).select(
+        "page_id", "tag", F.col("start").cast("bigint").alias("first_pos"), F.col("end").cast("bigint").alias("last_pos")
+    )
+
+
 @query
 def element_spans(spark, sf):
     all_tokens = tokens.html_tokens(tokens.strip_noncontent(fx.pages(spark, sf)), cluster=True)
@@ -315,6 +324,20 @@ def code_blocks(spark, sf):
     return code.code_blocks(page_tokens).select("page_id", "lang", "text")
 
 
+@query
+def code_blocks_nested(spark, sf):
+    """Code elements inside others, without an end, or preformatted themselves."""
+    page_tokens = tokens.html_tokens(tokens.strip_noncontent(fx.nested_code_pages(spark, sf)), cluster=True)
+    return code.code_blocks(page_tokens).select("page_id", "lang", "text")
+
+
+@query
+def code_blocks_by_spans(spark, sf):
+    """Pages without a marked code element fall back on elements of many spans."""
+    page_tokens = tokens.html_tokens(tokens.strip_noncontent(fx.many_span_pages(spark, sf)), cluster=True)
+    return code.code_blocks(page_tokens, span_fallback=True).select("page_id", "lang", "text")
+
+
 @query
 def code_blocks_regex(spark, sf):
     return code.code_blocks_regex(fx.code_pages(spark, sf)).select("page_id", "lang", "text")
@@ -441,8 +464,8 @@ def union_of_asset_passes(spark, sf):
 
 @query
 def asset_manifest_by_url(spark, sf):
-    found = assets.asset_manifest(fx.asset_pages(spark, sf), dedupe_urls=True).where(F.col("pass") < 3)
-    return found.select("page_id", "url", "name", "status")
+    found = assets.asset_manifest(fx.asset_pages(spark, sf), dedupe_urls=True)
+    return found.select("page_id", F.col("pass").cast("bigint").alias("pass"), "url", "name", "status")
 
 
 @query
@@ -452,8 +475,8 @@ def anchor_refs(spark, sf):
 
 @query
 def asset_manifest(spark, sf):
-    found = assets.asset_manifest(fx.asset_pages(spark, sf)).where(F.col("pass") < 3)
-    return found.select("page_id", "url", "name", "rel_path", "status")
+    found = assets.asset_manifest(fx.asset_pages(spark, sf))
+    return found.select("page_id", F.col("pass").cast("bigint").alias("pass"), "url", "name", "rel_path", "status")
 
 
 @query
@@ -472,8 +495,7 @@ def asset_counts(spark, sf):
 @query
 def rewrite_assets(spark, sf):
     source = fx.asset_pages(spark, sf)
-    rewritten = assets.rewrite_assets(source, assets.asset_manifest(source))
-    return rewritten.select("page_id", F.regexp_extract("html", "(?s)(<img .*)</article>", 1).alias("tail"))
+    return assets.rewrite_assets(source, assets.asset_manifest(source)).select("page_id", "html")
 
 
 @query
@@ -565,7 +587,9 @@ def dedup_matches_ci(spark, sf):
 @query
 def first_n_pending(spark, sf):
     pending = placeholders.pending_blocks(tokens.html_tokens(fx.pending_pages(spark, sf)))
-    return placeholders.first_n_pending(pending, 3).groupBy("page_id", "pending").agg(F.count("*").alias("n"))
+    return placeholders.first_n_pending(pending, 3).select(
+        "page_id", "pending", F.col("pos").cast("bigint").alias("pos"), F.col("nth").cast("bigint").alias("nth")
+    )
 
 
 @query

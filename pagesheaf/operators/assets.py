@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesheaf import fixed
 from pagesheaf.functions import markup, names, urls
-from pagesheaf.operators.skew import numbered_within
-from pagesheaf.operators.tokens import html_tokens
+from pagesheaf.operators.tokens import TAG_ATTRS, TOKEN, html_tokens
 
 _STYLE_URL = r"""url\(["']?([^"')\s]+)["']?\)"""
 
 
-def _content_tokens(pages: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Tokens of pages without script and style bodies."""
-    bare = pages.withColumn("html", markup.remove_elements(markup.plain_tags(F.col("html")), ["script", "style"]))
-    return html_tokens(bare, keys, **options)
+def content_markup(html: Column) -> Column:
+    """The page without script and style bodies, its tags as tokens show them."""
+    return markup.plain_tags(markup.remove_elements(markup.plain_tags(html), ["script", "style"]))
 
 
 def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> DataFrame:
@@ -25,7 +23,8 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
     Emoji images are no assets. One scan of the tokens serves the three passes.
     """
     attrs, tag = F.col("attrs"), F.col("tag")
-    tokens = _content_tokens(pages.withColumn("base", F.col("url")), ["page_id", "base"]).where(
+    bare = pages.select("page_id", F.col("url").alias("base"), content_markup(F.col("html")).alias("html"))
+    tokens = html_tokens(bare, ["page_id", "base"]).where(
         (F.col("kind") == "open") & (tag.isin("img", "a") | F.contains(attrs, F.lit("background")))
     )
     style = markup.attr(attrs, "style")
@@ -47,42 +46,51 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
     return resolved.where((F.col("pass") < 3) | urls.is_fetchable_href(F.col("src"), F.col("url"), host_regex))
 
 
-def _take_free_names(separator: str, ordered_by: list[str]):
-    """Names one page's assets in order, each taking the first free number."""
+def free_names(wanted: Column, separator: str) -> Column:
+    """Own names for an array of names, in its order: the name if it is free, else the first free number after its stem.
+
+    Names without a value stay so. A fold inside the row with the names taken so far as state; its work grows with the
+    square of the array, which is bounded by one page's files.
+    """
+
+    def choose(taken: Column, name: Column) -> Column:
+        def numbered(n: Column) -> Column:
+            return names.numbered_name(name, n, separator)
+
+        def free(candidate: Column) -> Column:
+            return ~F.coalesce(F.array_contains(taken, candidate), F.lit(False))
+
+        # Each earlier use of the same name has taken a number of its own, so no smaller one is free.
+        least = F.size(F.filter(F.slice(wanted, F.lit(1), F.size(taken)), lambda other: other == name))
+        candidates = F.transform(F.sequence(least, least + F.size(taken)), numbered)
+        first = F.element_at(F.array_except(candidates, taken), 1)
+        return F.when(name.isNull(), F.lit(None)).when(free(name), name).when(free(numbered(least)), numbered(least)).otherwise(first)
+
+    nothing = F.array().cast("array<string>")
+    return F.aggregate(wanted, nothing, lambda taken, name: F.array_append(taken, choose(taken, name)))
 
-    def settle(group):
-        taken: set[str] = set()
-        chosen = []
-        group = group.sort_values(ordered_by)
-        for name in group["name"]:
-            if name is None:
-                chosen.append(None)
-                continue
-            dot = name.rfind(".")
-            stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
-            new, n = name, 0
-            while new in taken:
-                n += 1
-                new = f"{stem}{separator}{n}{suffix}"
-            taken.add(new)
-            chosen.append(new)
-        return group.assign(candidate=chosen)
 
-    return settle
+def _by_page(assets: DataFrame) -> DataFrame:
+    """``page_id, refs``: the assets of a page as one array in order of pass and position."""
+    others = [c for c in assets.columns if c not in ("page_id", "pass", "pos")]
+    return assets.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pass", "pos", *others))).alias("refs"))
+
+
+def _named(by_page: DataFrame, chosen: Column) -> DataFrame:
+    """One row per reference, with the name at its place in ``chosen``."""
+    pairs = by_page.withColumn("chosen", chosen).select("page_id", F.posexplode("refs").alias("place", "ref"), "chosen")
+    fields = [f.name for f in by_page.schema["refs"].dataType.elementType.fields if f.name != "name"]
+    return pairs.select("page_id", *[f"ref.{c}" for c in fields], F.get("chosen", F.col("place")).alias("name"))
 
 
 def unique_names(assets: DataFrame) -> DataFrame:
     """Give every asset of a page its own name: ``stem-1.ext``, ``stem-2.ext`` … on a clash.
 
     Expects ``page_id, pass, pos, name``; replaces ``name``. Rows without a name keep none.
+    One exchange, of these narrow rows; the names are chosen inside the page's row.
     """
-    order = Window.partitionBy("page_id").orderBy("pass", "pos")
-    ranked = assets.withColumn("rank", F.row_number().over(order))
-    named = numbered_within(
-        ranked, ["page_id"], "rank", "name",
-        lambda name, n: names.numbered_name(name, n, "-"), _take_free_names("-", ["rank"]),
-    )
-    return named.withColumn("name", F.col("candidate")).drop("candidate", "rank")
+    found = _named(_by_page(assets), free_names(F.transform("refs", lambda r: r.getField("name")), "-"))
+    return found.select(*assets.columns)
 
 
 def asset_manifest(
@@ -97,9 +105,12 @@ def asset_manifest(
     where = folder if folder is not None else F.lit("assets")
     saved = F.col("name").isNotNull()
     if dedupe_urls:
-        repeats = Window.partitionBy("page_id", "url").orderBy("pass", "pos")
-        first = refs.withColumn("name", F.when(F.row_number().over(repeats) == 1, F.col("name")))
-        named = unique_names(first).withColumn("name", F.max("name").over(Window.partitionBy("page_id", "url")))
+        by_page = _by_page(refs).withColumn("urls", F.transform("refs", lambda r: r.getField("url")))
+        firsts = F.transform("urls", lambda url: F.array_position("urls", url).cast("int") - 1)
+        by_page = by_page.withColumn("firsts", firsts)
+        once = F.transform("refs", lambda r, i: F.when(F.get("firsts", i) == i, r.getField("name")))
+        chosen = by_page.withColumn("once", free_names(once, "-"))
+        named = _named(chosen, F.transform("firsts", lambda i: F.get("once", i)))
     else:
         named = unique_names(refs)
     return named.select(
@@ -114,35 +125,43 @@ def asset_counts(assets: DataFrame) -> DataFrame:
     return assets.groupBy("page_id").agg(F.count_if(F.col("status") == "ok").alias("n_assets"))
 
 
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_MAY_REFER = r"(?is)^<(img|a)[\s/>]|^<[a-z].*background"
+
+
+def _saved_tag(raw: Column, image: Column, background: Column, anchor: Column) -> Column:
+    """A tag with its references replaced by saved paths; NULL for a path keeps that reference."""
+
+    def put(text: Column, pattern: str, written: str, path: Column) -> Column:
+        return F.when(path.isNull(), text).otherwise(F.replace(F.regexp_replace(text, pattern, written), F.lit("\u0001"), path))
+
+    attrs = F.trim(F.regexp_extract(raw, TAG_ATTRS, 1))
+    with_src = put(raw, rf"(?is)(\ssrc\s*=\s*){_VALUE}", "$1\"\u0001\"", image)
+    out = F.when(attrs.rlike(r"(?i)(^|\s)src\s*="), with_src).otherwise(put(raw, r"\s*(/?)>$", " src=\"\u0001\"$1>", image))
+    out = put(put(out, _STYLE_URL, "url('\u0001')", background), rf"(?is)(\shref\s*=\s*){_VALUE}", "$1\"\u0001\"", anchor)
+    return F.when(raw.rlike(r"(?i)^<img[\s/>]") & markup.is_emoji_img(attrs), markup.emoji_text(attrs)).otherwise(out)
+
+
 def rewrite_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     """Pages whose asset references point at the saved files: ``page_id, url, html``.
 
-    Positions are those of ``asset_refs``: scripts and styles are gone. Emoji images become their
-    text. Tokens stay where their page was hashed; only the narrow asset
-    rows and the page itself are exchanged, both on the page key.
+    Positions are those of ``asset_refs``: scripts and styles are gone. Emoji images become their text. A page is cut,
+    rewritten and put together inside its row; it is joined to one narrow row with the paths of its assets.
     """
-    spots = assets.where(F.col("rel_path").isNotNull()).groupBy("page_id", "pos").agg(
-        *[F.max(F.when(F.col("pass") == n, F.col("rel_path"))).alias(f"rel_{n}") for n in (1, 2, 3)]
-    )
-    tokens = _content_tokens(pages, ["page_id"], keep_raw=True, cluster=True)
-    joined = tokens.join(spots, ["page_id", "pos"], "left")
-    attrs, raw = F.col("attrs"), F.col("raw")
-    is_img = (F.col("kind") == "open") & (F.col("tag") == "img")
-    src = F.when(
-        attrs.rlike(r"(?i)(^|\s)src\s*="),
-        F.regexp_replace(raw, r"""(?is)(\ssrc\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""", "$1\"\u0001\""),
-    ).otherwise(F.regexp_replace(raw, r"\s*(/?)>$", " src=\"\u0001\"$1>"))
-    out = F.when(
-        is_img & markup.is_emoji_img(attrs), markup.emoji_text(attrs)
-    ).when(F.col("rel_1").isNotNull(), F.replace(src, F.lit("\u0001"), F.col("rel_1"))).otherwise(raw)
-    style = F.regexp_replace(out, _STYLE_URL, "url('\u0001')")
-    out = F.when(F.col("rel_2").isNotNull(), F.replace(style, F.lit("\u0001"), F.col("rel_2"))).otherwise(out)
-    href = F.regexp_replace(out, r"""(?is)(\shref\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""", "$1\"\u0001\"")
-    out = F.when(F.col("rel_3").isNotNull(), F.replace(href, F.lit("\u0001"), F.col("rel_3"))).otherwise(out)
-    rebuilt = joined.select("page_id", F.struct("pos", out.alias("piece")).alias("part")).groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p.getField("piece")), "").alias("html")
-    )
-    return pages.select("page_id", "url").join(rebuilt, "page_id")
+    saved = F.col("rel_path").isNotNull()
+
+    def paths(number: int) -> Column:
+        entry = F.when(saved & (F.col("pass") == number), F.struct(F.col("pos").cast("int"), "rel_path"))
+        return F.map_from_entries(F.collect_set(entry)).alias(f"paths_{number}")
+
+    spots = assets.groupBy("page_id").agg(*[paths(n) for n in (1, 2, 3)])
+
+    def piece(raw: Column, pos: Column) -> Column:
+        found = [F.try_element_at(f"paths_{n}", pos) for n in (1, 2, 3)]
+        return F.when(raw.rlike(_MAY_REFER), _saved_tag(raw, *found)).otherwise(raw)
+
+    cut = pages.select("page_id", "url", F.regexp_extract_all(content_markup(F.col("html")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    return cut.join(spots, "page_id", "left").select("page_id", "url", F.array_join(F.transform("tokens", piece), "").alias("html"))
 
 
 # --- renaming saved files -------------------------------------------------------------------
@@ -153,15 +172,16 @@ def unique_renames(assets: DataFrame) -> DataFrame:
 
     A name that is safe already keeps its own.
     """
-    files = assets.where(F.col("name").isNotNull()).select("page_id", F.col("name").alias("old_name")).distinct()
-    safe = files.withColumn("name", names.safe_asset_name(F.col("old_name")))
-    order = Window.partitionBy("page_id").orderBy((F.col("name") != F.col("old_name")).cast("int"), "old_name")
-    ranked = safe.withColumn("rank", F.row_number().over(order))
-    settled = numbered_within(
-        ranked, ["page_id"], "rank", "name",
-        lambda name, n: names.numbered_name(name, n, "_"), _take_free_names("_", ["rank"]),
-    )
-    return settled.select("page_id", F.col("old_name").alias("name"), F.col("candidate").alias("new_name"))
+    files = assets.groupBy("page_id").agg(F.collect_set("name").alias("files"))
+
+    def entry(name: Column) -> Column:
+        safe = names.safe_asset_name(name)
+        return F.struct((safe != name).alias("changes"), name.alias("name"), safe.alias("safe"))
+
+    ordered = files.withColumn("files", F.array_sort(F.transform("files", entry)))
+    chosen = ordered.withColumn("chosen", free_names(F.transform("files", lambda f: f.getField("safe")), "_"))
+    pairs = chosen.select("page_id", F.posexplode("files").alias("place", "file"), "chosen")
+    return pairs.select("page_id", "file.name", F.get("chosen", F.col("place")).alias("new_name"))
 
 
 def rewrite_renamed(markdown: DataFrame, renames: DataFrame) -> DataFrame:

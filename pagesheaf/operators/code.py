@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 from pagesheaf.functions import markup
 from pagesheaf.functions.text import code_text, strip
-from pagesheaf.operators.tokens import KEYS, in_order, inside_elements, pair_tags, upto_here
+from pagesheaf.operators.tokens import KEYS, in_order, inside_elements, pair_tags, upto_here, whole_group
 
 
 def _is_code_element() -> Column:
@@ -20,7 +20,7 @@ def _is_code_element() -> Column:
 
 
 def _collect_texts(inside: DataFrame, groups: list[str]) -> DataFrame:
-    """``groups, pos, attrs, parts, has_code`` of the tokens of each group, first token first."""
+    """``groups, pos, attrs, parts`` of the tokens of each group, first token first."""
     text = F.when(F.col("kind") == "text", F.col("text")).when(
         (F.col("kind") == "open") & (F.col("tag") == "br"), "\n"
     )
@@ -29,15 +29,19 @@ def _collect_texts(inside: DataFrame, groups: list[str]) -> DataFrame:
         F.min("pos").alias("pos"),
         F.min_by("attrs", "pos").alias("attrs"),
         F.transform(F.array_sort(F.collect_list(part)), lambda p: p.getField("text")).alias("parts"),
-        # The element's own tag, which comes first, doesn't count.
-        F.coalesce(F.max(F.when((F.col("kind") == "open") & F.col("tag").isin("pre", "code"), F.col("pos"))) > F.min("pos"), F.lit(False))
-        .alias("has_code"),
     )
 
 
 def _marked_elements(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts of the outermost elements that carry both code classes."""
-    inside = inside_elements(tokens, _is_code_element(), keys)
+    """Texts of the elements that carry both code classes and hold nothing preformatted.
+
+    The content decides first; of nested elements that pass, the outermost counts. The element's own tag isn't its content.
+    """
+    code = (F.col("kind") == "open") & F.col("tag").isin("pre", "code")
+    counted = tokens.withColumn("codes", F.sum(code.cast("int")).over(upto_here(keys)))
+    counted = counted.withColumn("all_codes", F.max("codes").over(whole_group(keys)))
+    bare = F.coalesce(F.col("end.codes"), F.col("all_codes")) == F.col("codes")
+    inside = inside_elements(counted, _is_code_element() & bare, keys, ("codes",))
     first = F.col("starts") & (F.col("around") == 1)
     numbered = inside.withColumn("nth", F.sum(first.cast("int")).over(upto_here(keys)))
     return _collect_texts(numbered, [*keys, "nth"]).drop("nth")
@@ -83,10 +87,10 @@ def code_blocks(
 ) -> DataFrame:
     """``keys, pos, lang, text`` of code elements that hold no preformatted element themselves.
 
-    ``span_fallback`` also takes, on pages without a code element, the innermost elements with
+    An element inside one that holds such an element is a candidate of its own. ``span_fallback`` also takes, on pages without a code element, the innermost elements with
     many spans.
     """
-    found = _marked_elements(tokens, keys).where(~F.coalesce("has_code", F.lit(False)))
+    found = _marked_elements(tokens, keys)
     if span_fallback:
         loose = _many_span_elements(tokens, keys, least_spans)
         others = tokens.join(found.select(*keys).distinct(), keys, "left_anti")

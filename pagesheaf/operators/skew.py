@@ -1,9 +1,7 @@
-"""Joins and numbering that survive one key holding a large share of all rows."""
+"""Joins that survive one key holding a large share of all rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,25 +51,3 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     others = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.min(F.struct(*order, *[c for c in others if c not in order])).alias("best"))
     return best.select(key, *[F.col(f"best.{c}").alias(c) for c in others])
-
-
-def numbered_within(
-    df: DataFrame, keys: list[str], order: str, name: str, rename: Callable, sequential: Callable
-) -> DataFrame:
-    """Resolve name clashes inside a group by numbering.
-
-    ``rename(name, n)`` names the n-th repeat. Where a numbered name meets a natural one the whole
-    group is settled by ``sequential`` (pandas, one page at a time); all other groups are numbered
-    by a window.
-    """
-    from pyspark.sql import Window
-
-    repeats = Window.partitionBy(*keys, name).orderBy(order)
-    ranked = df.withColumn("candidate", rename(F.col(name), F.row_number().over(repeats) - 1))
-    ranked = ranked.withColumn(
-        "clash", F.count("candidate").over(Window.partitionBy(*keys, "candidate")) > 1
-    ).withColumn("clash", F.max("clash").over(Window.partitionBy(*keys)))
-    settled = ranked.where(~F.col("clash")).drop("clash")
-    schema = settled.schema
-    rest = ranked.where(F.col("clash")).drop("clash").groupBy(*keys).applyInPandas(sequential, schema)
-    return settled.unionByName(rest)

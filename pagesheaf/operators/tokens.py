@@ -19,7 +19,7 @@ from pagesheaf.functions.text import html_unescape
 # Comment, tag or declaration, text, and a lone angle bracket.
 TOKEN = r"(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>|[^<]+|<"
 _TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
-_TAG_ATTRS = r"(?s)^<[A-Za-z][^\s/>]*(.*?)/?>$"
+TAG_ATTRS = r"(?s)^<[A-Za-z][^\s/>]*(.*?)/?>$"
 
 KEYS = ["page_id"]
 
@@ -52,7 +52,7 @@ def html_tokens(
         "pos",
         "kind",
         F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract(raw, _TAG_NAME, 1))).alias("tag"),
-        F.when(F.col("kind") == "open", F.trim(F.regexp_extract(raw, _TAG_ATTRS, 1))).alias("attrs"),
+        F.when(F.col("kind") == "open", F.trim(F.regexp_extract(raw, TAG_ATTRS, 1))).alias("attrs"),
         F.when(F.col("kind") == "text", html_unescape(raw))
         .when(F.col("kind") == "comment", raw)
         .alias("text"),
@@ -162,42 +162,59 @@ def content_root(
     )
 
 
-def inside_elements(tokens: DataFrame, wanted: Column, keys: list[str] = KEYS) -> DataFrame:
+def paired_ends(tokens: DataFrame, keys: list[str] = KEYS, *counts: str) -> DataFrame:
+    """Adds ``step`` and ``lvl`` of ``pair_tags``, ``inner`` and ``end``.
+
+    ``end`` is, at the open token of an element, the ``pos`` (and ``counts``) of the close token it ends with: its own, or
+    that of the closest element around it that has one. NULL where it lasts to the end of the page. ``inner`` says that
+    the element has no close token of its own. Elements without one are looked up by depth: the close of
+    the surroundings is the next one from that depth. Windows over the page only.
+    """
+    here = F.struct("pos", *counts)
+    own = in_order([*keys, "tag", "lvl"])
+    opens, closes = F.col("step") == 1, F.col("step") == -1
+    paired = pair_tags(tokens, keys).withColumn("end", F.when(opens & (F.lead("step").over(own) == -1), F.lead(here).over(own)))
+    loose = opens & F.col("end").isNull()
+    depth = F.sum(F.when(closes, -1).when(F.col("end").isNotNull(), 1).otherwise(0)).over(upto_here(keys))
+    # A closed element's tags enclose everything between them, so the depth falls below a token's at its surroundings' close first.
+    levelled = paired.withColumns({"inner": loose, "level": F.when(closes, depth + 1).when(loose, depth)})
+    later = Window.partitionBy(*keys, "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.last(F.when(closes, here), ignorenulls=True).over(later)
+    return levelled.withColumn("end", F.when(F.col("inner"), around).otherwise(F.col("end")))
+
+
+def inside_elements(tokens: DataFrame, wanted: Column, keys: list[str] = KEYS, counts: tuple[str, ...] = ()) -> DataFrame:
     """Keep the tokens inside elements for which ``wanted`` holds at the open token.
 
     Adds ``around``, the number of such elements around the token, and ``starts``, true at their
-    open tokens. A close token still belongs to the element it ends. Windows only, no join.
+    open tokens. A close token still belongs to the element it closes, but to none that only ends with it.
+    ``wanted`` may ask for ``end``, which carries the columns ``counts`` of the closing token. Windows only, no join.
     """
-    here = F.coalesce((F.col("kind") == "open") & wanted, F.lit(False))
-    paired = pair_tags(tokens.withColumn("starts", here), keys)
-    opener = F.coalesce(F.lag("starts").over(in_order([*keys, "tag", "lvl"])), F.lit(False))
-    step = F.when((F.col("step") == 1) & F.col("starts"), 1).when((F.col("step") == -1) & opener, -1).otherwise(0)
-    stepped = paired.withColumn("step", step)
-    ends = F.when(F.col("step") == -1, 1).otherwise(0)
+    paired = paired_ends(tokens, keys, *counts)
+    starts = F.coalesce((F.col("step") == 1) & wanted, F.lit(False))
+    marked = paired.withColumn("starts", starts)
+    own = F.coalesce(F.lag("starts").over(in_order([*keys, "tag", "lvl"])), F.lit(False))
+    # Elements without a close of their own that end here: those opened on this level since its last close.
+    opened = F.sum((F.col("starts") & F.col("inner")).cast("int")).over(upto_here(keys, "level"))
+    closing = F.col("step") == -1
+    marked = marked.withColumn("opened", opened)
+    ended = F.coalesce(F.max(F.when(closing, F.col("opened"))).over(before_here(keys, "level")), F.lit(0))
+    closed = F.when(closing & own, 1).otherwise(0)
+    marked = marked.withColumns({"closed": closed, "ends": F.when(closing, closed + F.col("opened") - ended).otherwise(0)})
+    step = F.col("starts").cast("int") - F.col("ends")
     return (
-        stepped.withColumn("around", F.sum("step").over(upto_here(keys)) + ends)
+        marked.withColumn("around", F.sum(step).over(upto_here(keys)) + F.col("closed"))
         .where(F.col("around") > 0)
-        .withColumn("starts", F.col("step") == 1)
-        .drop("step", "lvl")
+        .drop("step", "lvl", "inner", "level", "end", "opened", "closed", "ends")
     )
 
 
 def element_spans(tokens: DataFrame, wanted: Column, keys: list[str] = KEYS) -> DataFrame:
     """Extent of every element for which ``wanted`` holds at its open token.
 
-    Returns ``keys, start, end, tag, attrs``; ``end`` is NULL where no close token was found.
+    Returns ``keys, start, end, tag, attrs``. An element without a close tag ends with the element around it, at the same
+    token; ``end`` is NULL where it lasts to the end of the page.
     """
-    paired = pair_tags(tokens, keys).where(F.col("step") != 0)
-    following = in_order([*keys, "tag", "lvl"])
-    return (
-        paired.withColumn("next_kind", F.lead("kind").over(following))
-        .withColumn("next_pos", F.lead("pos").over(following))
-        .where((F.col("kind") == "open") & wanted)
-        .select(
-            *keys,
-            F.col("pos").alias("start"),
-            F.when(F.col("next_kind") == "close", F.col("next_pos")).alias("end"),
-            "tag",
-            "attrs",
-        )
+    return paired_ends(tokens, keys).where((F.col("step") == 1) & wanted).select(
+        *keys, F.col("pos").alias("start"), F.col("end.pos").alias("end"), "tag", "attrs"
     )

@@ -1,5 +1,8 @@
 """Links, assets, placeholders, lines and snapshots, hot keys included."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +106,55 @@ def test_natural_name_meets_numbered_name(spark):
     assert got == ["a.png", "a-1.png", "a-1-1.png", "a-2.png"] and len(set(got)) == 4
 
 
+def _first_free(wanted, separator):
+    """The names one after the other, each taking the first free number."""
+    taken = []
+    for name in wanted:
+        if name is None:
+            taken.append(None)
+            continue
+        dot = name.rfind(".")
+        stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+        tries = (f"{stem}{separator}{n}{suffix}" for n in range(1, len(wanted) + 1))
+        taken.append(name if name not in taken else next(t for t in tries if t not in taken))
+    return taken
+
+
+def test_names_against_one_by_one(spark):
+    rng = random.Random(7)
+    pool = ["a.png", "a-1.png", "a-2.png", "a-1-1.png", "b", "b-1", ".x", "c.", None, "d.e.f", "a_1.png"]
+    pages = {i: [rng.choice(pool[: rng.randint(1, len(pool))]) for _ in range(rng.randint(0, 40))] for i in range(60)}
+    rows = [(p, 1 + i * 3 // max(len(ns), 1), i, n) for p, ns in pages.items() for i, n in enumerate(ns)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id int, pass int, pos int, name string")
+    got = {}
+    for r in assets.unique_names(df).orderBy("page_id", "pass", "pos").collect():
+        got.setdefault(r.page_id, []).append(r.name)
+    assert got == {p: _first_free(ns, "-") for p, ns in pages.items() if ns}
+    assert assets.unique_names(df.limit(0)).columns == df.columns and assets.unique_names(df.limit(0)).count() == 0
+
+
+def test_a_thousand_files_of_one_name(spark):
+    df = spark.range(1000).select(F.lit(1).alias("page_id"), F.lit(1).alias("pass"), F.col("id").alias("pos"), F.lit("image.png").alias("name"))
+    got = [r.name for r in assets.unique_names(df).orderBy("pos").collect()]
+    assert got == ["image.png"] + [f"image-{n}.png" for n in range(1, 1000)]
+
+
+def test_an_address_saved_once(page):
+    html = '<img src="/x/a.png"><img src="/y/a.png"><img src="/x/a.png"><a href="/y/a.png">f</a><img src="data:image/png;base64">'
+    rows = assets.asset_manifest(page(html, "https://e.com/d"), dedupe_urls=True).orderBy("pass", "pos").collect()
+    assert [(r["pass"], r.name, r.status) for r in rows] == [
+        (1, "a.png", "ok"), (1, "a-1.png", "ok"), (1, "a.png", "ok"), (1, None, "failed"), (3, "a-1.png", "ok")]
+
+
+def test_names_take_one_scan_and_one_exchange(spark):
+    source = io.scan_pages(spark, "/root/testdata/sf0.001/pages.parquet")
+    for options in ({}, {"dedupe_urls": True}):
+        plan = assets.asset_manifest(source, **options)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bExchange\b", plan)) <= 1 and plan.count("FileScan") == 1
+        assert "Python" not in plan and "Window" not in plan
+
+
 def test_renames_apply_in_name_order(spark):
     files = spark.createDataFrame([(1, "b c.png"), (1, "a b c.png"), (1, "ok.png")], "page_id int, name string")
     renames = assets.unique_renames(files)

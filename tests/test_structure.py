@@ -25,7 +25,7 @@ def test_token_lengths_cover_the_page(spark):
 def test_extents_with_unclosed_and_stray_tags(page):
     html = "<div><p><b>x<br><p>y</p></div></div><div id='2'>z</div>"
     spans = tokens.element_spans(tokens.html_tokens(page(html)), F.col("tag").isin("div", "p")).orderBy("start").collect()
-    assert [(s.tag, s.start, s.end) for s in spans] == [("div", 0, 8), ("p", 1, None), ("p", 5, 7), ("div", 10, 12)]
+    assert [(s.tag, s.start, s.end) for s in spans] == [("div", 0, 8), ("p", 1, 8), ("p", 5, 7), ("div", 10, 12)]
 
 
 def test_root_follows_selector_order(page):
@@ -140,3 +140,50 @@ def test_elements_without_a_close_tag_end_with_their_surroundings(page):
 def test_own_tag_of_a_code_element_does_not_count(page):
     html = '<pre class="line-numbers notion-code-block"><span>x = 1</span></pre>'
     assert [r.text for r in code.code_blocks(tokens.html_tokens(page(html))).collect()] == ["x = 1"]
+
+
+# Page, tags asked for, and their extents; NULL where an element lasts to the end of the page.
+ENDS = {
+    "siblings without a close": ("<ul><li>a<li>b</ul>c", ["li"], [("li", 1, 5), ("li", 3, 5)]),
+    "closest closed element around": ("<section><div><p>a</div><p>b</section>", ["p"], [("p", 2, 4), ("p", 5, 7)]),
+    "surroundings without a close": ("<main><div><p>a<b>c</main>d", ["div", "p", "b"], [("div", 1, 6), ("p", 2, 6), ("b", 4, 6)]),
+    "nothing around": ("<p>a<div>b</div>c", ["p", "div"], [("p", 0, None), ("div", 2, 4)]),
+    "stray closes": ("</p></div><div><p>a</span></div><i>x", ["div", "p", "i"], [("div", 2, 6), ("p", 3, 6), ("i", 7, None)]),
+    "crossing marks": ("<b><i><u>x</b>y</i>z", ["b", "i", "u"], [("b", 0, 4), ("i", 1, 6), ("u", 2, 4)]),
+    "void and self-closed": ("<div><img><br/>a<p>b</div>", ["p", "img"], [("p", 4, 6)]),
+}
+
+
+def test_ends_of_elements(spark):
+    rows = [(name, html) for name, (html, *_) in ENDS.items()]
+    pages = spark.createDataFrame([*rows, ("empty", ""), ("null", None)], "page_id string, html string")
+    got = tokens.element_spans(tokens.html_tokens(pages), F.lit(True)).collect()
+    for name, (_, tags, extents) in ENDS.items():
+        found = sorted((r.start, r.tag, r.end) for r in got if r.page_id == name and r.tag in tags)
+        assert [(tag, start, end) for start, tag, end in found] == extents, name
+    assert not [r for r in got if r.page_id in ("empty", "null")]
+
+
+def test_tokens_inside_elements_without_a_close(page):
+    html = "<div><p x>a<p x>b</div>c<p x>d</p>e<div><p>f</div>"
+    kept = tokens.inside_elements(tokens.html_tokens(page(html)), F.col("attrs") == "x").orderBy("pos").collect()
+    assert [(r.pos, r.around, r.starts) for r in kept] == [
+        (1, 1, True), (2, 1, False), (3, 2, True), (4, 2, False), (7, 1, True), (8, 1, False), (9, 1, False)]
+
+
+def test_code_candidates_by_their_content(page):
+    cls = 'class="line-numbers notion-code-block"'
+    inner = f'<div {cls}><span>x</span><span>=</span>1</div>'
+
+    def texts(html, **options):
+        return [r.text for r in code.code_blocks(tokens.html_tokens(page(html)), **options).orderBy("pos").collect()]
+
+    assert texts(f"<div {cls}><pre>a</pre>{inner}</div>") == ["x = 1"]
+    assert texts(f"<div {cls}>{inner}<p>after</p></div>") == ["x = 1after"]
+    assert texts(f"<div {cls}><code>a</code>{inner}{inner.replace('x', 'y')}</div>") == ["x = 1", "y = 1"]
+    assert texts(f"<div {cls}><div {cls}><pre>a</pre>{inner}</div>tail</div>") == ["x = 1"]
+    assert texts(f"<pre {cls}><span>k</span></pre><p>t</p><pre>z</pre>") == ["k"]
+    assert texts(f"<section><div {cls}>u</section><code>v</code>") == ["u"]
+    assert texts(f"<div {cls}>u<code>v</code>") == []
+    spans = "<section><span>a</span><span>b</span><span>c</span><span>d</span></section>"
+    assert texts(f"<div {cls}><pre>a</pre>{spans}</div>", span_fallback=True) == ["abcd"]
