@@ -228,6 +228,8 @@ SAFE_TITLES = TITLES + f""",
 folders AS (SELECT page_id, substr({safe('title')}, 1, 160) AS f FROM titles)"""
 sql("subdocuments", with_(PAGE_MD, SAFE_TITLES, LINKED) + """SELECT l.page_id AS parent_id, target AS child_id, f || '/' || f || '.md' AS child_path, md AS child_md
     FROM linked l JOIN folders f ON f.page_id = target JOIN page_md m ON m.page_id = target""")
+sql("linked_documents", with_(PAGE_MD, SAFE_TITLES, LINKED) + """SELECT m.page_id AS child_id, f AS folder, md AS child_md
+    FROM page_md m JOIN folders USING (page_id) WHERE page_id IN (SELECT target FROM linked)""")
 sql("append_subpages", """SELECT p.page_id, 'page ' || p.page_id || chr(10) || CASE WHEN c.page_id IS NULL THEN '' ELSE
     chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: https://ws.notion.site/V-k' || (p.page_id // 2) || 'z-7' || chr(10) || chr(10)
     || 'page ' || c.page_id || chr(10) END AS md, CAST(CASE WHEN c.page_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_subpages
@@ -445,5 +447,33 @@ sql("table_markdown", with_(ORDER_LINES) + """SELECT page_id, 'before' || chr(10
     || chr(10) || chr(10) || 'after' || chr(10) AS md FROM table_lines GROUP BY page_id""")
 sql("role_markdown", with_(PAGE_MD) + """SELECT page_id, md || chr(10) || '[q ' || page_id || '](/q/' || page_id || ')' || chr(10) || chr(10)
     || '[card ' || page_id || '](/c/' || page_id || ')' || chr(10) || chr(10) || 'leaf ' || page_id || chr(10) AS md FROM page_md""")
+
+# --- a whole corpus -------------------------------------------------------------------------
+
+# Page 2m is document m, page 2m + 1 its variant; ``own_goal``: the link leads to the page's own document and stays as it is.
+CONVERTED = with_(PAGE_MD, SAFE_TITLES, rf"""
+base AS (SELECT m.page_id, md, title, f, replace(url_encode(f), '%2F', '/') AS q, {DOC.format('m.page_id // 2')} AS own,
+    CASE WHEN m.page_id % 3 = 0 THEN 0 ELSE m.page_id // 4 END AS target FROM page_md m JOIN folders USING (page_id) JOIN titles USING (page_id)),
+goals AS (SELECT b.*, {DOC.format('b.target')} AS doc, b.target = b.page_id // 2 AS own_goal, g.f AS goal, g.q || '/' || g.q || '.md' AS path
+    FROM base b JOIN base g ON g.page_id = 2 * b.target)""")
+
+
+def last_paragraph(page: str, folder: str, link: str) -> str:
+    """The paragraph every page ends with, its assets below ``folder``."""
+    picture = f"'![](' || {folder} || '/' || {page}.page_id % 7 ||"
+    return f"""chr(10) || {picture} '.png)' || {picture} '-1.png) [file](' || {folder} || '/' || {page}.page_id % 3 || '.pdf) [doc](' || {link}
+        || ') [v](' || {page}.own || '-7)' || chr(10)"""
+
+
+CONVERTED_MD = f"""p.md || {last_paragraph('p', "p.q || '_assets'", 'CASE WHEN p.own_goal THEN p.doc ELSE p.path END')} || CASE WHEN c.page_id IS NULL THEN '' ELSE
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: ' || p.own || '-7' || chr(10) || chr(10) || c.md
+    || {last_paragraph('c', "'subpage_1'", 'CASE WHEN c.target = p.target AND NOT p.own_goal THEN p.path ELSE c.doc END')} END"""
+sql("convert_corpus", CONVERTED + f"""SELECT *, CAST(strlen(md) AS BIGINT) AS n_bytes, 'ok' AS status FROM (SELECT p.page_id, p.title,
+    '/out/' || p.f || ' - 20240506-070809/' || p.f || '.md' AS out_path, {CONVERTED_MD} AS md, CAST(c.page_id IS NOT NULL AS BIGINT) AS n_subpages
+    FROM goals p LEFT JOIN goals c ON p.page_id % 2 = 0 AND c.page_id = p.page_id + 1)""")
+sql("convert_corpus_children", CONVERTED + f"""SELECT p.page_id AS child_id, p.f AS folder, p.md || {last_paragraph('p', "p.q || '_assets'", 'p.doc')} AS child_md
+    FROM goals p WHERE page_id IN (SELECT 2 * target FROM goals WHERE NOT own_goal)""")
+sql("convert_corpus_members", CONVERTED + """SELECT page_id AS parent_id, doc AS url, 2 * target AS child_id, goal || '/' || goal || '.md' AS child_path
+    FROM goals WHERE NOT own_goal""")
 ORACLES["page_links_quoted"] = ORACLES["page_links"]
 ORACLES["asset_refs_quoted"] = ORACLES["asset_refs"]

@@ -394,7 +394,37 @@ def unresolved_links(spark, sf):
 def subdocuments(spark, sf):
     source = fx.linked_pages(spark, sf)
     md = plans.pages_to_markdown(fx.pages(spark, sf), ARTICLE)
-    return corpus.pages_with_subdocuments(source, md)[1].select("parent_id", "child_id", "child_path", "child_md")
+    _, members, documents = corpus.pages_with_subdocuments(source, md)
+    return links.subdocument_files(members, documents).select("parent_id", "child_id", "child_path", "child_md")
+
+
+@query
+def linked_documents(spark, sf):
+    """Each linked page once, whatever number of pages link to it."""
+    source = fx.linked_pages(spark, sf)
+    md = plans.pages_to_markdown(fx.pages(spark, sf), ARTICLE)
+    return corpus.pages_with_subdocuments(source, md)[2]
+
+
+def _corpus(spark, sf):
+    return corpus.convert_corpus(fx.corpus_pages(spark, sf), "/out", F.lit(TS).cast("timestamp"), ARTICLE)
+
+
+@query
+def convert_corpus(spark, sf):
+    """Whole documents: assets, subpages and links to local files, in one plan."""
+    found = _corpus(spark, sf).documents
+    return found.select("page_id", "title", "out_path", "md", F.col("n_subpages").cast("bigint").alias("n_subpages"), "n_bytes", "status")
+
+
+@query
+def convert_corpus_children(spark, sf):
+    return _corpus(spark, sf).children
+
+
+@query
+def convert_corpus_members(spark, sf):
+    return _corpus(spark, sf).members.select("parent_id", "url", "child_id", "child_path")
 
 
 @query

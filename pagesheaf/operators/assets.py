@@ -17,14 +17,16 @@ def content_markup(html: Column) -> Column:
     return markup.plain_tags(markup.remove_elements(markup.plain_tags(html), ["script", "style"]))
 
 
-def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> DataFrame:
+def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX, keep: tuple[str, ...] = ()) -> DataFrame:
     """``page_id, pass, pos, src, url``: images (1), backgrounds (2), then linked files (3).
 
+    The page's columns ``keep`` are carried along.
+
     Emoji images are no assets. One scan of the tokens serves the three passes.
     """
     attrs, tag = F.col("attrs"), F.col("tag")
-    bare = pages.select("page_id", F.col("url").alias("base"), content_markup(F.col("html")).alias("html"))
-    tokens = html_tokens(bare, ["page_id", "base"]).where(
+    bare = pages.select("page_id", F.col("url").alias("base"), *keep, content_markup(F.col("html")).alias("html"))
+    tokens = html_tokens(bare, ["page_id", "base", *keep]).where(
         (F.col("kind") == "open") & (tag.isin("img", "a") | F.contains(attrs, F.lit("background")))
     )
     style = markup.attr(attrs, "style")
@@ -37,11 +39,11 @@ def asset_refs(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) -> Dat
             for n, src in ((1, image), (2, background), (3, anchor))
         ]
     )
-    rows = tokens.select("page_id", "base", "pos", F.explode(refs).alias("ref")).where(
+    rows = tokens.select("page_id", "base", *keep, "pos", F.explode(refs).alias("ref")).where(
         F.coalesce(F.col("ref.src") != "", F.lit(False))
     )
     resolved = rows.select(
-        "page_id", "ref.pass", "pos", "ref.src", urls.resolve_url(F.col("base"), F.col("ref.src")).alias("url")
+        "page_id", *keep, "ref.pass", "pos", "ref.src", urls.resolve_url(F.col("base"), F.col("ref.src")).alias("url")
     )
     return resolved.where((F.col("pass") < 3) | urls.is_fetchable_href(F.col("src"), F.col("url"), host_regex))
 
@@ -99,10 +101,10 @@ def asset_manifest(
     """The ``assets`` table: references with unique names, relative paths and a status.
 
     A reference that cannot be saved keeps its row with the status ``failed`` and takes no name.
-    An address referenced twice is saved twice unless ``dedupe_urls`` is set.
+    An address referenced twice is saved twice unless ``dedupe_urls`` is set. ``folder`` may depend on the page's columns.
     """
-    refs = asset_refs(pages, **options).withColumn("name", urls.asset_name(F.col("url")))
-    where = folder if folder is not None else F.lit("assets")
+    placed = pages.withColumn("asset_folder", folder if folder is not None else F.lit("assets"))
+    refs = asset_refs(placed, keep=("asset_folder",), **options).withColumn("name", urls.asset_name(F.col("url")))
     saved = F.col("name").isNotNull()
     if dedupe_urls:
         by_page = _by_page(refs).withColumn("urls", F.transform("refs", lambda r: r.getField("url")))
@@ -115,7 +117,7 @@ def asset_manifest(
         named = unique_names(refs)
     return named.select(
         "page_id", "pass", "pos", "src", "url", "name",
-        F.when(saved, urls.asset_rel_path(where, F.col("name"))).alias("rel_path"),
+        F.when(saved, urls.asset_rel_path(F.col("asset_folder"), F.col("name"))).alias("rel_path"),
         F.when(saved, "ok").otherwise("failed").alias("status"),
     )
 

@@ -128,20 +128,30 @@ def document_folders(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("child_id"), safe.alias("folder"))
 
 
-def subdocuments(resolved: DataFrame, pages: DataFrame, markdown: DataFrame) -> DataFrame:
-    """``parent_id, pos, url, child_id, child_path, child_md``: linked pages as files of their parent.
+def subdocuments(resolved: DataFrame, folders: DataFrame) -> DataFrame:
+    """``parent_id, pos, url, child_id, child_path``: linked pages as files of their parent, without their texts.
 
-    ``resolved`` comes from ``link_targets``, best stored before.
+    ``resolved`` comes from ``link_targets``, ``folders`` from ``document_folders``; both are best stored before.
     """
-    texts = markdown.select(F.col("page_id").alias("child_id"), F.col("md").alias("child_md"))
-    children = document_folders(pages).join(texts, "child_id")
     narrow = resolved.select(F.col("page_id").alias("parent_id"), "pos", "url", "child_id")
     path = F.concat("folder", F.lit("/"), "folder", F.lit(".md"))
-    return skew_safe_join(narrow, children, "child_id", ["parent_id", "pos"]).select(
-        "parent_id", "pos", "url", "child_id", path.alias("child_path"), "child_md"
+    return skew_safe_join(narrow, folders, "child_id", ["parent_id", "pos"]).select(
+        "parent_id", "pos", "url", "child_id", path.alias("child_path")
     )
 
 
+def linked_documents(members: DataFrame, folders: DataFrame, markdown: DataFrame) -> DataFrame:
+    """``child_id, folder, child_md``: each linked page once, however often it is linked."""
+    linked = folders.join(members.select("child_id").distinct(), "child_id", "left_semi")
+    return linked.join(markdown.select(F.col("page_id").alias("child_id"), F.col("md").alias("child_md")), "child_id")
+
+
+def subdocument_files(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row per file below a parent, text included: for a sink that stores every copy."""
+    texts = documents.select("child_id", "child_md")
+    return skew_safe_join(members, texts, "child_id", ["parent_id", "pos"]).select(*members.columns, "child_md")
+
+
 def variant_targets(variants: DataFrame, pages: DataFrame) -> DataFrame:
     """Variant links to stored addresses, with ``child_id``; of several copies the lowest id."""
     by_url = first_per_key(
@@ -150,15 +160,17 @@ def variant_targets(variants: DataFrame, pages: DataFrame) -> DataFrame:
     return skew_safe_join(variants, by_url, "href", ["page_id", "pos"])
 
 
-def append_subpages(markdown: DataFrame, resolved: DataFrame) -> DataFrame:
+def append_subpages(markdown: DataFrame, resolved: DataFrame, child_text: Column | None = None) -> DataFrame:
     """Append each stored variant page: ``page_id, md, n_subpages``.
 
     ``resolved`` comes from ``variant_targets``, best stored before. What is collected per page is
-    the output document itself.
+    the output document itself. ``child_text`` may change a child's text by the columns of its link and of its own
+    row, which are named ``child_…``.
     """
-    texts = markdown.select(F.col("page_id").alias("child_id"), F.col("md").alias("child_md"))
+    texts = markdown.select(*[F.col(c).alias("child_id" if c == "page_id" else f"child_{c}") for c in markdown.columns])
+    body = F.col("child_md") if child_text is None else child_text
     parts = skew_safe_join(resolved, texts, "child_id", ["page_id", "pos"])
-    section = F.concat(F.lit("\n\n---\n\n## Subpage: "), "href", F.lit("\n\n"), "child_md")
+    section = F.concat(F.lit("\n\n---\n\n## Subpage: "), "href", F.lit("\n\n"), body)
     appended = parts.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", section.alias("md")))).alias("sections")
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesheaf import fixed
-from pagesheaf.operators import links
+from pagesheaf.functions import markup, names, urls
+from pagesheaf.operators import assets, links
+from pagesheaf.plans.markdown import pages_to_markdown
 from pagesheaf.session import staged
 
 
@@ -18,24 +22,27 @@ def resolved_links(pages: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX) ->
 
 def pages_with_subdocuments(
     pages: DataFrame, markdown: DataFrame, host_regex: str = fixed.PAGE_HOST_REGEX
-) -> tuple[DataFrame, DataFrame]:
-    """Parents with local links, and the sub-documents those point at: (markdown, subdocuments).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parents with local links, their files, and the linked documents: (markdown, members, documents).
 
-    A sub-document goes one level deep; its path is relative to the parent's folder. Ids are
-    resolved and stored first, whole documents are joined once, at the end. The documents serve as
-    parents and as children, so they too are stored and not rendered twice.
+    A sub-document goes one level deep; its path is relative to the parent's folder. ``members`` holds the links as narrow
+    rows (``links.subdocuments``), ``documents`` every linked page once (``links.linked_documents``); only a sink that
+    wants a copy for each parent joins them (``links.subdocument_files``).
     """
     markdown = staged(markdown, "markdown")
+    members, folders = _members(pages, host_regex)
+    return _with_local_links(markdown, members), members, links.linked_documents(members, folders, markdown)
+
+
+def _members(pages: DataFrame, host_regex: str) -> tuple[DataFrame, DataFrame]:
     targets = staged(resolved_links(pages, host_regex)[0], "targets")
-    children = links.subdocuments(targets, pages, markdown)
-    mapping = _local_paths(targets, pages)
-    return links.rewrite_links(markdown, mapping), children
+    folders = staged(links.document_folders(pages), "folders")
+    return staged(links.subdocuments(targets, folders), "members"), folders
 
 
-def _local_paths(targets: DataFrame, pages: DataFrame) -> DataFrame:
-    folder: Column = F.col("folder")
-    joined = links.skew_safe_join(targets, links.document_folders(pages), "child_id", ["page_id", "pos"])
-    return joined.select("page_id", "pos", "url", F.concat(folder, F.lit("/"), folder, F.lit(".md")).alias("rel_path"))
+def _with_local_links(markdown: DataFrame, members: DataFrame) -> DataFrame:
+    mapping = members.select(F.col("parent_id").alias("page_id"), "pos", "url", F.col("child_path").alias("rel_path"))
+    return links.rewrite_links(markdown, mapping)
 
 
 def pages_with_subpages(pages: DataFrame, markdown: DataFrame) -> DataFrame:
@@ -43,3 +50,66 @@ def pages_with_subpages(pages: DataFrame, markdown: DataFrame) -> DataFrame:
     markdown = staged(markdown, "markdown")
     targets = staged(links.variant_targets(staged(links.variant_links(pages), "variants"), pages), "variant-targets")
     return links.append_subpages(markdown, targets)
+
+
+class Corpus(NamedTuple):
+    """The tables of a converted corpus.
+
+    ``documents``: ``page_id, title, out_path, md, n_subpages, sha256, n_bytes, status``. ``members``: the files below a document,
+    ``parent_id, pos, url, child_id, child_path``. ``children``: ``child_id, folder, child_md``, once for each linked page.
+    ``assets``: the manifest, with paths as the documents have them.
+    """
+
+    documents: DataFrame
+    members: DataFrame
+    children: DataFrame
+    assets: DataFrame
+
+
+def convert_corpus(
+    pages: DataFrame, base_dir: str, ts: Column, selectors=None, host_regex: str = fixed.PAGE_HOST_REGEX
+) -> Corpus:
+    """Convert whole pages: assets first, then Markdown, appended subpages, and links to local files.
+
+    A page is rendered once. Its text names its assets by a mark made from its content, which is replaced where the
+    folder is known: ``<stem>_assets`` in its own document, ``<folder>_assets`` as a linked file, ``subpage_<i>``, relative to the
+    assets folder, where it is appended to another one. A page without content has an empty document and the status ``empty``.
+    """
+    marked = pages.select("page_id", "url", "html", F.concat(F.lit("a"), F.md5(F.coalesce("html", F.lit("")))).alias("mark"))
+    title = markup.extract_title(F.col("html"))
+    layout = staged(marked.select("page_id", "url", "mark", title.alias("title")), "layout")
+    folder = names.output_folder(F.lit(base_dir), F.col("title"), F.col("url"), ts)
+    layout = layout.withColumn("folder", folder).withColumn(
+        "out_path", names.output_path(F.col("folder"), names.output_name(F.col("title"), F.col("url")))
+    )
+    own_folder = F.substring_index(names.assets_folder(F.col("folder"), F.col("out_path"), F.lit(None).cast("string")), "/", -1)
+    layout = layout.select("page_id", "mark", "title", "out_path", urls.quote_path(own_folder).alias("own_folder"))
+
+    manifest = staged(assets.asset_manifest(marked, F.col("mark"), host_regex=host_regex), "assets")
+    rendered = pages_to_markdown(assets.rewrite_assets(pages, manifest), selectors)
+    text = F.coalesce("md", F.lit("\n")).alias("md")
+    markdown = staged(
+        layout.select("page_id", "mark").join(rendered, "page_id", "left").select("page_id", "mark", text, F.col("md").isNull().alias("empty")),
+        "markdown",
+    )
+
+    variants = staged(links.variant_targets(staged(links.variant_links(pages), "variants"), pages), "variant-targets")
+    subpage_folder = F.concat(F.lit("subpage_"), F.col("pos").cast("string"))
+    appended = links.append_subpages(
+        markdown.select("page_id", "md", "mark"), variants, F.replace("child_md", F.col("child_mark"), subpage_folder)
+    )
+    members, folders = _members(pages, host_regex)
+    whole = _with_local_links(appended, members).join(markdown.select("page_id", "empty"), "page_id").join(layout, "page_id")
+    whole = whole.withColumn("md", F.replace("md", F.col("mark"), F.col("own_folder")))
+    documents = whole.select(
+        "page_id", "title", "out_path", "md", "n_subpages", F.sha2("md", 256).alias("sha256"),
+        F.octet_length("md").cast("bigint").alias("n_bytes"), F.when(F.col("empty"), "empty").otherwise("ok").alias("status"),
+    )
+    marks = markdown.select(F.col("page_id").alias("child_id"), "mark")
+    child_folder = urls.quote_path(F.concat("folder", F.lit("_assets")))
+    children = links.linked_documents(members, folders, markdown).join(marks, "child_id").select(
+        "child_id", "folder", F.replace("child_md", F.col("mark"), child_folder).alias("child_md")
+    )
+    placed = manifest.join(layout.select("page_id", "mark", "own_folder"), "page_id")
+    placed = placed.withColumn("rel_path", F.replace("rel_path", F.col("mark"), F.col("own_folder")))
+    return Corpus(documents, members, children, placed.select(*manifest.columns))

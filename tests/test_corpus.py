@@ -33,6 +33,38 @@ def test_link_text_and_relative_links(page):
         ("https://notion.so/Rel-1b1b1b1b1b1b1b1b1b1b1b1b1b1b1b1b", "MySub"), (SITE, SITE)]
 
 
+def test_a_target_of_many_links_is_one_document(spark):
+    hub = f"https://ws.notion.site/H-{'a' * 32}"
+    html = F.when(F.col("id") == 0, "<title>Hub</title>").otherwise(f'<a href="{hub}">x</a>')
+    url = F.when(F.col("id") == 0, hub).otherwise(F.concat(F.lit("https://ws.notion.site/P-"), F.md5(F.col("id").cast("string"))))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), url.alias("url"), html.alias("html"))
+    parents, members, documents = corpus.pages_with_subdocuments(pages, pages.select("page_id", F.lit("text").alias("md")))
+    assert members.count() == 1999 and "child_md" not in members.columns
+    assert [(r.child_id, r.folder, r.child_md) for r in documents.collect()] == [(0, "Hub", "text")]
+
+
+def test_convert_corpus(spark):
+    a, b = (f"https://ws.notion.site/A-{c * 32}" for c in "ab")
+    pages = spark.createDataFrame([
+        (1, a, f'<title>A: one</title><main><img src="/i/x.png"><img src="/j/x.png"><p><a href="{b}">to b</a> <a href="https://o.example.org/d.pdf">d</a></p>'
+               f'<p><a href="{a}-2">v</a></p></main>'),
+        (2, a + "-2", '<title>V</title><main><p><img src="y.png"></p></main>'),
+        (3, b, '<title>B b</title><main><p><img src="/i/x.png">t</p></main>'),
+        (4, "https://o.example.org/", ""), (5, "https://o.example.org/5", None)], "page_id bigint, url string, html string")
+    got = corpus.convert_corpus(pages, "/out", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    docs = {r.page_id: r for r in got.documents.collect()}
+    assert docs[1].out_path == "/out/A one - 20240506-070809/A one.md" and docs[1].n_subpages == 1
+    assert docs[1].md == (
+        "![](A%20one_assets/x.png)![](A%20one_assets/x-1.png)\n\n[to b](B%20b/B%20b.md) [d](A%20one_assets/d.pdf)\n\n"
+        f"[v]({a}-2)\n\n\n---\n\n## Subpage: {a}-2\n\n![](subpage_1/y.png)\n")
+    assert docs[2].md == "![](V_assets/y.png)\n" and docs[2].n_subpages == 0
+    assert [(docs[i].status, docs[i].md) for i in (3, 4, 5)] == [("ok", "![](B%20b_assets/x.png)t\n"), ("empty", "\n"), ("empty", "\n")]
+    assert [(r.parent_id, r.child_id, r.child_path) for r in got.members.collect()] == [(1, 3, "B b/B b.md")]
+    assert [(r.child_id, r.child_md) for r in got.children.collect()] == [(3, "![](B%20b_assets/x.png)t\n")]
+    assert sorted((r.page_id, r.rel_path) for r in got.assets.collect()) == [
+        (1, "A%20one_assets/d.pdf"), (1, "A%20one_assets/x-1.png"), (1, "A%20one_assets/x.png"), (2, "V_assets/y.png"), (3, "B%20b_assets/x.png")]
+
+
 def test_variant_links_and_subpages(spark):
     own = "https://ws.notion.site/A-k1"
     html = "".join(f'<a href="{h}">x</a>' for h in (own + "-2", own, own + "-2", "https://o.com/zk1", "https://o.com/k2"))
@@ -74,8 +106,9 @@ def test_subdocuments(spark):
         (0, url[0], "<title>Zero</title>" + link(1) + link(2) + f'<a href="https://ws.notion.site/D-{"f" * 32}">n</a>'),
         (1, url[1], "<title>One / 1</title>" + link(1)), (2, url[2], "<title></title>")], "page_id bigint, url string, html string")
     md = spark.createDataFrame([(0, f"[a]({url[1]}) [b]({url[2]}) {url[1]}"), (1, "one"), (2, "two")], "page_id bigint, md string")
-    parents, children = corpus.pages_with_subdocuments(pages, md)
-    assert {(r.parent_id, r.child_id, r.child_path, r.child_md) for r in children.collect()} == {
+    parents, members, documents = corpus.pages_with_subdocuments(pages, md)
+    assert sorted((r.child_id, r.folder, r.child_md) for r in documents.collect()) == [(1, "One 1", "one"), (2, h[2], "two")]
+    assert {(r.parent_id, r.child_id, r.child_path, r.child_md) for r in links.subdocument_files(members, documents).collect()} == {
         (0, 1, "One 1/One 1.md", "one"), (0, 2, f"{h[2]}/{h[2]}.md", "two")}
     assert parents.where("page_id = 0").collect()[0].md == f"[a](One%201/One%201.md) [b]({h[2]}/{h[2]}.md) {url[1]}"
     assert corpus.resolved_links(pages)[1].count() == 1
