@@ -130,7 +130,11 @@ stops AS (SELECT page_id, min(CASE WHEN same >= {k} THEN attempt END) AS stop, m
 # --- sources and sinks ----------------------------------------------------------------------
 
 sql("scan_pages", "SELECT page_id, url, html FROM pages")
-sql("scan_text_files", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS text,
+sql("write_text_files", """SELECT CASE WHEN doc_id % 11 = 0 THEN '../' || name WHEN doc_id % 7 = 0 THEN 'same/name.md' ELSE name END AS path,
+    strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_bytes, CASE WHEN doc_id % 11 = 0 THEN 'outside' WHEN doc_id % 7 = 0 AND doc_id > least
+    THEN 'repeated' ELSE 'ok' END AS status FROM (SELECT doc_id, text, coalesce(lang, 'none') || '/' || doc_id || '.md' AS name,
+    min(doc_id) FILTER (WHERE doc_id % 7 = 0 AND doc_id % 11 > 0) OVER () AS least FROM documents)""")
+sql("scan_text_files", """SELECT doc_id, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_bytes, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS text,
     CASE WHEN doc_id % 5 = 0 THEN 'utf8_error' ELSE 'ok' END AS status FROM documents""")
 sql("write_markdown", "SELECT doc_id, text AS md, lang FROM documents")
 sql("write_side_html", "SELECT page_id, html FROM pages")

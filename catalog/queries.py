@@ -35,12 +35,35 @@ def scan_pages(spark, sf):
     return fx.pages(spark, sf)
 
 
-@query
-def scan_text_files(spark, sf):
+def _contents(spark, sf):
+    """Documents as bytes, every fifth of which are not UTF-8."""
     content = F.encode("text", "UTF-8")
     broken = F.when(F.col("doc_id") % 5 == 0, F.concat(content, F.unhex(F.lit("80")))).otherwise(content)
-    docs = fx.table(spark, sf, "documents").select("doc_id", broken.alias("content"))
-    return io.decode_text(docs).select("doc_id", "text", "status")
+    return fx.table(spark, sf, "documents").select("doc_id", "lang", broken.alias("content"))
+
+
+def _text_file():
+    """``<lang>/<doc_id>.md``; one path for every seventh document, and one outside the folder for every eleventh."""
+    i = F.col("doc_id")
+    name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), i.cast("string"), F.lit(".md"))
+    return F.when(i % 11 == 0, F.concat(F.lit("../"), name)).when(i % 7 == 0, F.lit("same/name.md")).otherwise(name)
+
+
+@query
+def scan_text_files(spark, sf):
+    """Documents written as one file each and read back."""
+    root = shared_folder(spark, "text-files")
+    i = F.col("doc_id")
+    io.write_text_files(_contents(spark, sf), root, F.concat((i % 10).cast("string"), F.lit("/"), i.cast("string"), F.lit(".md")), F.col("content"), i)
+    found = io.scan_text_files(spark, root, "*.md")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("bigint").alias("doc_id"), "n_bytes", "text", "status")
+
+
+@query
+def write_text_files(spark, sf):
+    """The report of written files, those that could not be written included."""
+    written = io.write_text_files(_contents(spark, sf), shared_folder(spark, "text-files"), _text_file(), F.col("content"), F.col("doc_id"))
+    return written.select("path", "n_bytes", "status")
 
 
 @query
@@ -60,7 +83,7 @@ def write_side_html(spark, sf):
 
 @query
 def quarantine(spark, sf):
-    docs = scan_text_files(spark, sf)
+    docs = io.decode_text(_contents(spark, sf))
     good, bad = io.quarantine(docs)
     return good.select("doc_id", F.lit("good").alias("side")).unionByName(bad.select("doc_id", F.lit("bad").alias("side")))
 

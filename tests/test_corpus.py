@@ -313,3 +313,20 @@ def test_shared_folders(spark, monkeypatch):
 def test_emoji_image_with_a_background_is_no_asset(page):
     html = '<img class="notion-emoji" alt="x" src="/e.png" style="background:url(/b.png)"><img src="/i.png">'
     assert [r.src for r in assets.asset_refs(page(html)).collect()] == ["/i.png"]
+
+
+def test_files_of_any_path(spark, tmp_path):
+    rows = [(1, "a/b/c.md", "é"), (2, "a/b/c.md", "later"), (3, "/abs.md", "x"), (4, "../up.md", "x"), (5, None, "x"), (6, "n.md", None),
+            (7, "x" * 300 + ".md", "long"), (8, "", "x"), (9, "e.md", ""), (10, "a/b", "a folder"), (11, "a/./d.md", "x"), (12, "t/", "x")]
+    df = spark.createDataFrame(rows, "id int, p string, md string").coalesce(1)
+    done = io.write_text_files(df, str(tmp_path / "out"), F.col("p"), F.col("md"), F.col("id"))
+    status = sorted((r.path or "", r.status) for r in done.collect())
+    assert status == sorted([
+        ("a/b/c.md", "ok"), ("a/b/c.md", "repeated"), ("/abs.md", "outside"), ("../up.md", "outside"), ("", "missing"), ("n.md", "missing"),
+        ("x" * 300 + ".md", "failed"), ("", "missing"), ("e.md", "ok"), ("a/b", "failed"), ("a/./d.md", "outside"), ("t/", "outside")])
+    files = {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file()}
+    assert files == {"a/b/c.md": "é", "e.md": ""}
+    assert io.quarantine(done)[0].count() == 2 and io.quarantine(done)[1].where("error is not null").count() == 2
+    again = io.write_text_files(df.limit(1).withColumn("md", F.lit("new")), f"file:{tmp_path}/out", F.col("p"), F.col("md"), F.col("id"))
+    assert again.count() == 1 and (tmp_path / "out/a/b/c.md").read_text() == "new"
+    assert io.write_text_files(df.limit(0), str(tmp_path / "none"), F.col("p"), F.col("md"), F.col("id")).count() == 0
