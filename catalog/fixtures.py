@@ -79,6 +79,32 @@ def asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("html", in_article(F.col("html"), extra))
 
 
+def _link_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, pos, word`` of the links stored pages hold."""
+    words = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))
+    return pages(spark, sf_dir).select("page_id", F.posexplode(words).alias("pos", "word"))
+
+
+def repeated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, pass, pos, name``: a picture for each link, twice, and between them some with a natural number."""
+    number = F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("pass")
+    found = _link_words(spark, sf_dir).select("page_id", number, "pos", "word").where((F.col("pass") != 2) | (F.col("pos") % 2 == 0))
+    return found.select("page_id", "pass", "pos", F.concat("word", F.when(F.col("pass") == 2, "-1.png").otherwise(".png")).alias("name"))
+
+
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, name``: three files for each link, two of which have one safe name."""
+    endings = F.explode(F.array(*[F.lit(e) for e in (" x.png", "(x.png", ".txt")]))
+    return _link_words(spark, sf_dir).select("page_id", "word", endings.alias("ending")).select("page_id", F.concat("word", "ending").alias("name")).distinct()
+
+
+def file_texts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """``page_id, md``: every file of a page by its path and bare, in name order."""
+    entry = F.concat(F.lit(f"![x]({folder}/"), "name", F.lit(") ("), "name", F.lit(" "), "name")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", entry.alias("entry")))), lambda e: e.getField("entry")), "\n")
+    return odd_files(spark, sf_dir).groupBy("page_id").agg(whole.alias("md"))
+
+
 def doc_url(number: Column) -> Column:
     return F.concat(F.lit("https://ws.notion.site/Doc-"), F.md5(number.cast("string")))
 

@@ -295,8 +295,12 @@ sql("asset_manifest_by_url", with_(ALL_REFS, "firsts AS (SELECT page_id, url, na
     JOIN named n ON n.page_id = f.page_id AND n.place = f.place""")
 sql("asset_manifest", NAMED + f"""SELECT p.page_id, CAST(pass AS BIGINT) AS pass, url, n.name, 'assets/' || {QUOTED.format('n.name')} AS rel_path, 'ok' AS status
     FROM placed p JOIN named n ON n.page_id = p.page_id AND n.place = p.place""")
-sql("unique_names", """SELECT page_id, pos, CASE WHEN page_id % 2 = 0 THEN ['a.png', 'b.png', 'a-1.png', 'a-1-1.png', 'c', 'c-1'][pos + 1]
-    ELSE ['a.png', 'b.png', 'a-1.png', '', 'c', 'c-1'][pos + 1] END AS name FROM pages, range(6) r(pos) WHERE page_id % 2 = 0 OR pos <> 3""")
+WORDS = """words AS (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS word FROM
+    (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS l FROM pages))"""
+sql("unique_names", with_("RECURSIVE " + WORDS, """placed AS (SELECT page_id, pass, pos, word || CASE pass WHEN 2 THEN '-1.png' ELSE '.png' END AS name,
+    row_number() OVER (PARTITION BY page_id ORDER BY pass, pos) AS place FROM words, (VALUES (1), (2), (3)) v(pass) WHERE pass <> 2 OR pos % 2 = 0)""",
+    first_free("placed", "-")) + "SELECT page_id, CAST(pass AS BIGINT) AS pass, pos, n.name FROM placed JOIN named n USING (page_id, place)")
+ORACLES["write_asset_manifest"] = ORACLES["asset_manifest"]
 sql("asset_counts", r"SELECT page_id, CAST(6 + len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_assets FROM pages")
 # The page cut at its links, each followed by the rest of the page up to the next one.
 sql("rewrite_assets", with_(ALL_REFS, PLACED, first_free("placed", "-"), f"""
@@ -307,12 +311,22 @@ cut AS (SELECT page_id, string_split(replace({NO_SCRIPT}, '</article>', '<img sr
 bits AS (SELECT page_id, unnest(range(len(l))) - 1 AS ord, unnest(l) AS bit FROM cut)""")
     + """SELECT b.page_id, string_agg(CASE WHEN b.ord < 0 THEN bit ELSE '<a href="' || path || substr(bit, strpos(bit, '"')) END, '' ORDER BY b.ord) AS html
     FROM bits b LEFT JOIN paths p ON p.page_id = b.page_id AND p.ord = b.ord GROUP BY b.page_id""")
-RENAMES = """renames AS (SELECT page_id, name, new_name FROM pages, (VALUES ('a b.png', 'a_b_1.png'), ('a(b.png', 'a_b_2.png'),
-    ('a_b.png', 'a_b.png'), ('é.pdf', 'asset.pdf'), ('ok.txt', 'ok.txt')) v(name, new_name))"""
-sql("unique_renames", with_(RENAMES) + "SELECT page_id, name, new_name FROM renames")
-sql("sort_names", with_(RENAMES) + "SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY name) AS place FROM renames")
-sql("rewrite_renamed", "SELECT page_id, '![x](f/a_b_1.png) (a_b_2.png) asset.pdf ok.txt' AS md FROM pages")
-sql("encode_asset_paths", "SELECT page_id, '![x](my%20%5Bf%5D/a%20b.png) my%20%5Bf%5D/%C3%A9.pdf' AS md FROM pages")
+FILES = """files AS (SELECT DISTINCT page_id, word || ending AS old FROM words, (VALUES (' x.png'), ('(x.png'), ('.txt')) v(ending))"""
+RENAMES = with_("RECURSIVE " + WORDS, FILES, r"""
+safe AS (SELECT page_id, old, CASE WHEN s = '' THEN 'asset' ELSE s END || suf AS name FROM (SELECT page_id, old, regexp_extract(old, '(\.[^.]+)$', 1) AS suf,
+    trim(regexp_replace(regexp_replace(regexp_extract(old, '^(.+)\.[^.]+$', 1), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '_') AS s FROM files)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY name <> old, old) AS place FROM safe)""", first_free("placed", "_"), """
+renames AS (SELECT p.page_id, p.old, n.name AS new FROM placed p JOIN named n USING (page_id, place))""")
+sql("unique_renames", RENAMES + "SELECT page_id, old AS name, new AS new_name FROM renames")
+sql("sort_names", RENAMES + "SELECT page_id, old AS name, row_number() OVER (PARTITION BY page_id ORDER BY old) AS place FROM renames")
+# One name after the other, as the texts are rewritten in name order.
+sql("rewrite_renamed", RENAMES + """, changes AS (SELECT page_id, list(struct_pack(o := old, n := new) ORDER BY old) FILTER (WHERE old <> new) AS l,
+    string_agg('![x](f/' || old || ') (' || old || ' ' || old, chr(10) ORDER BY old) AS md FROM renames GROUP BY page_id),
+steps AS (SELECT page_id, l, md, 0 AS i FROM changes UNION ALL SELECT page_id, l, replace(replace(replace(md, '/' || l[i + 1].o, '/' || l[i + 1].n),
+    '(' || l[i + 1].o, '(' || l[i + 1].n), l[i + 1].o, l[i + 1].n), i + 1 FROM steps WHERE i < len(l))
+SELECT page_id, md FROM steps WHERE i = coalesce(len(l), 0)""")
+sql("encode_asset_paths", with_(WORDS, FILES) + f"""SELECT page_id, string_agg('![x](' || {QUOTED.format("'my [f]/' || old")} || ') (' || old || ' ' || old,
+    chr(10) ORDER BY old) AS md FROM files GROUP BY page_id""")
 
 # --- placeholders ---------------------------------------------------------------------------
 

@@ -534,10 +534,15 @@ def asset_manifest(spark, sf):
 
 @query
 def unique_names(spark, sf):
-    refs = fx.asset_pages(spark, sf).select(
-        "page_id", F.posexplode(F.array(*[F.lit(n) for n in ("a.png", "b.png", "a.png", "a-1.png", "c", "c")])).alias("pos", "name")
-    ).withColumn("pass", F.lit(1)).where((F.col("page_id") % 2 == 0) | (F.col("pos") != 3))
-    return assets.unique_names(refs).select("page_id", F.col("pos").cast("bigint").alias("pos"), "name")
+    found = assets.unique_names(fx.repeated_files(spark, sf))
+    return found.select("page_id", F.col("pass").cast("bigint").alias("pass"), F.col("pos").cast("bigint").alias("pos"), "name")
+
+
+@query
+def write_asset_manifest(spark, sf):
+    path = shared_folder(spark, "manifest")
+    io.write_asset_manifest(assets.asset_manifest(fx.asset_pages(spark, sf)), path)
+    return spark.read.parquet(path).select("page_id", F.col("pass").cast("bigint").alias("pass"), "url", "name", "rel_path", "status")
 
 
 @query
@@ -553,10 +558,7 @@ def rewrite_assets(spark, sf):
 
 @query
 def unique_renames(spark, sf):
-    files = fx.pages(spark, sf).select(
-        "page_id", F.explode(F.array(*[F.lit(n) for n in ("a b.png", "a(b.png", "a_b.png", "é.pdf", "ok.txt")])).alias("name")
-    )
-    return assets.unique_renames(files)
+    return assets.unique_renames(fx.odd_files(spark, sf))
 
 
 @query
@@ -569,16 +571,12 @@ def sort_names(spark, sf):
 
 @query
 def rewrite_renamed(spark, sf):
-    renames = unique_renames(spark, sf)
-    md = fx.pages(spark, sf).select("page_id", F.lit("![x](f/a b.png) (a(b.png) é.pdf ok.txt").alias("md"))
-    return assets.rewrite_renamed(md, renames)
+    return assets.rewrite_renamed(fx.file_texts(spark, sf, "f"), unique_renames(spark, sf))
 
 
 @query
 def encode_asset_paths(spark, sf):
-    files = unique_renames(spark, sf).select("page_id", "name")
-    md = fx.pages(spark, sf).select("page_id", F.lit("![x](my [f]/a b.png) my [f]/é.pdf").alias("md"))
-    return assets.encode_asset_paths(md, files, F.lit("my [f]"))
+    return assets.encode_asset_paths(fx.file_texts(spark, sf, "my [f]"), fx.odd_files(spark, sf), F.lit("my [f]"))
 
 
 # --- placeholders ---------------------------------------------------------------------------
