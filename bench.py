@@ -16,7 +16,7 @@ sys.path.insert(0, ROOT)
 
 HEADLINE = [
     "pages_to_markdown", "render_markdown", "page_blocks", "html_tokens", "content_root", "extract_title", "page_links",
-    "subdocuments", "append_subpages", "asset_manifest", "rewrite_assets", "placeholders_html", "placeholders_text",
+    "subdocuments", "convert_corpus", "append_subpages", "asset_manifest", "rewrite_assets", "placeholders_html", "placeholders_text",
     "normalize_summary", "collapse_blank_runs", "selectable_chunks", "code_blocks", "dedup_chunks", "stable_round",
     "pick_attempt", "html_unescape", "stream_stable_pages",
 ]

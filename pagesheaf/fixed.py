@@ -76,7 +76,6 @@ LINE_PLACEHOLDERS = [
     "carregando código de plain text",
     "(click to open)",
 ]
-TEXT_WAIT_PHRASES = ["Carregando código", "Loading code"]
 
 # Round limits.
 HEIGHT_STABLE_ROUNDS = 8

@@ -1,27 +1,5 @@
-"""Declared schemas (DDL) of the tables the operators exchange."""
+"""Declared schema (DDL) of the table that is read."""
 
 from __future__ import annotations
 
 PAGES = "page_id BIGINT, url STRING, html STRING"
-TOKENS = "page_id BIGINT, pos INT, kind STRING, tag STRING, attrs STRING, text STRING"
-CHUNKS = "page_id BIGINT, snap INT, pos INT, block_id STRING, html STRING"
-BLOCKS = (
-    "page_id BIGINT, block_no BIGINT, parent_block BIGINT, kind STRING, level INT, run_id BIGINT, "
-    "lang STRING, text STRING"
-)
-LINKS = (
-    "page_id BIGINT, pos INT, href STRING, url STRING, text STRING, target_id STRING"
-)
-ASSETS = (
-    "page_id BIGINT, pass INT, pos INT, src STRING, url STRING, name STRING, rel_path STRING, status STRING"
-)
-PLACEHOLDERS = (
-    "page_id BIGINT, pass INT, pos INT, selector_or_snippet STRING, match_type STRING, context STRING"
-)
-LINES = "doc_id BIGINT, line_no INT, line STRING"
-SNAPSHOTS = (
-    "page_id BIGINT, attempt INT, ts TIMESTAMP, clean BOOLEAN, height BIGINT, html STRING"
-)
-MARKDOWN = (
-    "page_id BIGINT, title STRING, out_path STRING, md STRING, sha256 STRING, n_bytes BIGINT, status STRING"
-)
