@@ -144,7 +144,8 @@ def variant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with an image, a file, a link to another page and, on every even one, a numbered variant of the page.
 
-    Page ``2m`` has the address of document ``m``, page ``2m + 1`` that of its variant 7. Every third page links to document 0.
+    Page ``2m`` has the address of document ``m``, page ``2m + 1`` that of its variant 7654321.
+    The number is the variant's key, and no document's address ends with it. Every third page links to document 0.
     """
     i = F.col("page_id")
     own = doc_url(F.floor(i / 2))
@@ -152,9 +153,9 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.concat(
         F.lit('<p><img src="/img/'), (i % 7).cast("string"), F.lit('.png"><img src="/other/'), (i % 7).cast("string"),
         F.lit('.png"> <a href="https://files.example.org/'), (i % 3).cast("string"), F.lit('.pdf">file</a> <a href="'), doc_url(target),
-        F.lit('">doc</a> <a href="'), own, F.lit('-7">v</a></p>'),
+        F.lit('">doc</a> <a href="'), own, F.lit('-7654321">v</a></p>'),
     )
-    url = F.when(i % 2 == 1, F.concat(own, F.lit("-7"))).otherwise(own)
+    url = F.when(i % 2 == 1, F.concat(own, F.lit("-7654321"))).otherwise(own)
     return pages(spark, sf_dir).select("page_id", url.alias("url"), in_article(F.col("html"), extra).alias("html"))
 
 

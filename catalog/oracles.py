@@ -480,11 +480,11 @@ def last_paragraph(page: str, folder: str, link: str) -> str:
     """The paragraph every page ends with, its assets below ``folder``."""
     picture = f"'![](' || {folder} || '/' || {page}.page_id % 7 ||"
     return f"""chr(10) || {picture} '.png)' || {picture} '-1.png) [file](' || {folder} || '/' || {page}.page_id % 3 || '.pdf) [doc](' || {link}
-        || ') [v](' || {page}.own || '-7)' || chr(10)"""
+        || ') [v](' || {page}.own || '-7654321)' || chr(10)"""
 
 
 CONVERTED_MD = f"""p.md || {last_paragraph('p', "p.q || '_assets'", 'CASE WHEN p.own_goal THEN p.doc ELSE p.path END')} || CASE WHEN c.page_id IS NULL THEN '' ELSE
-    chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: ' || p.own || '-7' || chr(10) || chr(10) || c.md
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Subpage: ' || p.own || '-7654321' || chr(10) || chr(10) || c.md
     || {last_paragraph('c', "'subpage_1'", 'CASE WHEN c.target = p.target AND NOT p.own_goal THEN p.path ELSE c.doc END')} END"""
 sql("convert_corpus", CONVERTED + f"""SELECT *, CAST(strlen(md) AS BIGINT) AS n_bytes, 'ok' AS status FROM (SELECT p.page_id, p.title,
     '/out/' || p.f || ' - 20240506-070809/' || p.f || '.md' AS out_path, {CONVERTED_MD} AS md, CAST(c.page_id IS NOT NULL AS BIGINT) AS n_subpages
