@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-A tree hashes a vector to a string of digits. A digit is the axis of a randomly turned copy of the vector on which it lies
-farthest out, with the sign, so there are twice as many digits as dimensions, and nearer vectors share longer prefixes.
-The strings of a tree form a prefix tree: a node that holds more than a share of all vectors is split by the next digit,
-so leaves have prefixes of various lengths, and are ranges of the sorted strings. A query descends to its own leaf in
-every tree, the longest prefix it has there, and then ascends in all trees together: the leaves of all trees are visited in
-the order of how little the query must be moved to fall into them, until those visited hold enough strings. Every
-vector of a visited leaf is a candidate; products of all candidates are computed and the best are kept.
+A tree hashes a vector to a string of ``BITS`` bits, the sides of randomly turned planes on which it lies; nearer vectors
+share longer prefixes. The strings of a tree, sorted, form a prefix tree: a node that holds more than a share of all vectors
+is split by the next bit, so leaves are ranges of the sorted strings with prefixes of various lengths. A query descends to
+its longest prefix match in every tree and then ascends in all trees together, one bit at a time: the leaves of all
+trees are visited by falling length of the prefix they share with the query's string, until those visited hold enough
+strings. Every vector of a visited leaf is a candidate; products of all candidates are computed and the best are kept.
+
+How many strings are enough is measured for each table, by one rule at every size: a bounded sample of the queries is compared with all
+vectors, and the ascent goes as far as it takes to reach ``RECALL`` of the sample's true neighbours. Tables whose vectors
+have near neighbours need few strings; where all vectors are about equally far, no hash helps, and it finds that out.
 
 For the largest inner product, vectors get one more coordinate that gives all of them the same length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,14 @@ from pyspark.sql import functions as F
 
 from pagesheaf.llm.common import stored
 
-TREES, DIGITS, SEED = 12, 3, 5
-# A node with more than this share of all vectors is split while it has digits left.
-LEAF_SHARE = 1 / 64
-# Strings that the visited leaves of a query hold together: a share of the table, and at least so many.
-VISITED_SHARE, VISITED = 0.5, 8_000
+# Bits of a string, and by how many the tree is made deeper with one count of the strings.
+TREES, BITS, STEP, SEED = 12, 30, 6, 5
+# A node with more than this share of all vectors is split while its strings have bits left.
+LEAF_SHARE = 1 / 1024
+# Leaves that a query visits at most, about: where it needs more strings than so many leaves hold, leaves are made larger.
+VISITS = 64
+# Part of the true neighbours that the ascent must reach, and queries of the sample on which that is measured.
+RECALL, SAMPLE = 0.95, 200
 # Vectors of a leaf that meet in one array; a leaf with more, of equal vectors say, is dealt over several.
 SLICE = 20_000
 # Rows that a task of the search should hold, and queries whose products it computes at a time.
@@ -40,15 +47,20 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _turns(dims: int, tree: int) -> np.ndarray:
-    rng = np.random.default_rng([SEED, tree, dims])
-    return np.stack([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(DIGITS)])
+def _planes(dims: int) -> list[np.ndarray]:
+    """Normals of the planes of every tree, at right angles as far as there are dimensions."""
+    out = []
+    for tree in range(TREES):
+        rng = np.random.default_rng([SEED, tree, dims])
+        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-BITS // dims))]
+        out.append(np.concatenate(turns, axis=1)[:, :BITS])
+    return out
 
 
-def _reach(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """How far out a vector lies on every axis, once for each sign."""
-    y = x @ turn
-    return np.stack([-y, y], axis=2).reshape(len(x), -1)
+def _codes(x: np.ndarray, planes: list[np.ndarray]) -> np.ndarray:
+    """Strings of all vectors as numbers, one column for each tree."""
+    weights = 2.0 ** np.arange(BITS - 1, -1, -1)
+    return np.stack([(x @ p > 0) @ weights for p in planes], axis=1).astype(np.int64)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -62,30 +74,107 @@ def _padded(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def _leaves(strings: DataFrame, base: int, total: int) -> list[tuple[int, int, int, int]]:
-    """(tree, first string, digits of the prefix, vectors) of every leaf, in order.
+def _asked(x: np.ndarray) -> np.ndarray:
+    """Vectors of queries: of length one, with nothing in the coordinate that evens out lengths."""
+    return np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1)
+
 
-    A level has at most ``1 / LEAF_SHARE`` nodes that are split, so there is a fixed bound of ``TREES * DIGITS * base /
-    LEAF_SHARE`` leaves, whatever the table holds.
+def _leaves(strings: DataFrame, total: int, share: float) -> np.ndarray:
+    """Rows (tree, first string, bits of the prefix, vectors) of every leaf, in order.
+
+    A level has at most ``TREES / share`` nodes that are split, and ``STEP`` levels are counted at a time, so at most
+    ``2 ** STEP`` times as many counts reach the driver, whatever the table holds.
     """
-    most = max(total * LEAF_SHARE, 1)
+    most = max(total * share, 1)
     out: list[tuple[int, int, int, int]] = []
     inside = strings
-    for depth in range(1, DIGITS + 1):
-        width = base ** (DIGITS - depth)
-        level = inside.withColumn("node", F.expr(f"(code div {width}) * {width}"))
-        counts = level.groupBy("tree", "node").agg(F.sum("n").alias("n"))
-        last = depth == DIGITS
-        out += [(r.tree, r.node, depth, r.n) for r in counts.where(F.lit(last) | (F.col("n") <= most)).collect()]
-        if last:
+    for depth in range(STEP, BITS + 1, STEP):
+        level = inside.withColumn("node", F.expr(f"shiftleft(shiftright(code, {BITS - depth}), {BITS - depth})"))
+        left = {(r.tree, r.node): r.n for r in level.groupBy("tree", "node").agg(F.sum("n").alias("n")).collect()}
+        for bits in range(depth - STEP + 1, depth + 1):
+            sums: Counter[tuple[int, int]] = Counter()
+            for (tree, node), n in left.items():
+                sums[tree, node >> BITS - bits << BITS - bits] += n
+            done = {at for at, n in sums.items() if n <= most or bits == BITS}
+            out += [(tree, node, bits, sums[tree, node]) for tree, node in done]
+            left = {(t, node): n for (t, node), n in left.items() if (t, node >> BITS - bits << BITS - bits) not in done}
+        if not left:
             break
-        split = counts.where(F.col("n") > most).select("tree", "node")
+        # Bounded by the share: these are the nodes that hold more than it.
+        split = strings.sparkSession.createDataFrame(sorted(left), "tree int, node bigint")
         inside = level.join(F.broadcast(split), ["tree", "node"]).select("tree", "code", "n")
-    return sorted(out)
+    return np.array(sorted(out), np.int64)
+
+
+def _ascent(codes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the strings of each query: the leaves in the order of their visit, and the strings held by those before."""
+    tree, first, depth, held = leaves.T
+    # The length of a number in bits, which tells where two strings part.
+    part = np.frexp((codes[:, tree] ^ first).astype(np.float64))[1]
+    shared = np.minimum(BITS - part, depth)
+    order = np.argsort(-shared, axis=1, kind="stable")
+    return order, np.cumsum(held[order], axis=1) - held[order]
+
+
+def _leaf_of(codes: np.ndarray, leaves: np.ndarray, tree: int) -> np.ndarray:
+    own = np.nonzero(leaves[:, 0] == tree)[0]
+    return own[np.searchsorted(leaves[own, 1], codes[:, tree], "right") - 1]
+
+
+def _sampled(rows: DataFrame, dims: int, longest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a bounded sample of the queries: their strings, and of every true neighbour the query's place and its strings."""
+    sample = rows.where("query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "vec").collect()
+    if not sample:
+        return np.zeros((0, TREES), np.int64), np.zeros(0, np.int64), np.zeros((0, TREES), np.int64)
+    ids, x = np.array([r.vec_id for r in sample], np.int64), np.array([r.vec for r in sample], np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shared.value
+        planes = _planes(dims + 1)
+        best: tuple[np.ndarray, ...] | None = None
+        for b in batches:
+            vec, names = _matrix(b.column(1), dims), b.column(0).to_numpy()
+            score = asked @ vec.T
+            score[own[:, None] == names[None, :]] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            codes = _codes(_padded(vec, longest), planes)
+            found = (np.take_along_axis(score, top, 1), names[top], codes[top])
+            if best is not None:
+                found = tuple(np.concatenate(z, axis=1) for z in zip(best, found))
+                top = np.argsort(-found[0], axis=1, kind="stable")[:, :k]
+                found = tuple(z[np.arange(len(top))[:, None], top] for z in found)
+            best = found
+        if best is not None:
+            q, at = np.nonzero(np.isfinite(best[0]))
+            codes = pa.FixedSizeListArray.from_arrays(pa.array(best[2][q, at].ravel()), TREES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, pa.int32()), pa.array(best[0][q, at]), pa.array(best[1][q, at]), codes], ["q", "score", "vec_id", "codes"])
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    each = rows.select("vec_id", "vec").mapInArrow(closest, "q int, score double, vec_id bigint, codes array<bigint>")
+    true = each.withColumn("r", rank).where(F.col("r") <= k).select("q", "codes").collect()
+    codes = np.array([r.codes for r in true], np.int64).reshape(len(true), TREES)
+    return _codes(_asked(x), _planes(dims + 1)), np.array([r.q for r in true], np.int64), codes
+
+
+def _enough(asked: np.ndarray, who: np.ndarray, codes: np.ndarray, leaves: np.ndarray, k: int, recall: float) -> int:
+    """Strings that visited leaves must hold, so that the sample's ``k`` true neighbours are reached to the part ``recall``.
+
+    It is never fewer than hold ``k`` vectors besides the query, each with a string in every tree.
+    """
+    least = TREES * (k + 1)
+    if not len(who):
+        return least
+    order, before = _ascent(asked, leaves)
+    reached = np.empty_like(before)
+    np.put_along_axis(reached, order, before, axis=1)
+    cost = np.min([reached[who, _leaf_of(codes, leaves, t)] for t in range(TREES)], axis=0)
+    return max(int(np.quantile(cost, recall, method="higher")) + 1, least)
 
 
 def nearest(
-    vectors: DataFrame, query: Column | None = None, k: int = 20, visited_share: float = VISITED_SHARE,
+    vectors: DataFrame, query: Column | None = None, k: int = 20, recall: float = RECALL,
     key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of every query, by inner product in double precision.
@@ -94,7 +183,7 @@ def nearest(
     but the query's own. Ties go to the smaller key. A query with fewer than ``k`` candidates has them all. Vectors that
     are null, zero, or hold null or non-finite components, rows without a key, and vectors whose length isn't the most
     frequent one take no part. Of rows that share a key the smallest vector counts. Without any vector left there are no
-    rows; other columns are not read. Tables of up to ``VISITED / TREES`` vectors are searched whole.
+    rows; other columns are not read. The ascent reaches the part ``recall`` of the neighbours of a sample.
     """
     rows = vectors.where(usable(vector) & F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("vec_id"))
     rows = rows.agg(F.min(vector).alias("vec"))
@@ -109,30 +198,31 @@ def nearest(
         return spark.createDataFrame([], result).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     dims, total, longest = found.dims, found.n, float(np.sqrt(found.square))
     rows = rows.where(F.size("vec") == dims)
-    base = 2 * (dims + 1)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = [_turns(dims + 1, t) for t in range(TREES)]
+        planes = _planes(dims + 1)
         for b in batches:
-            x = _padded(_matrix(b.column(0), dims), longest)
-            for t, turn in enumerate(turns):
-                code = np.zeros(len(x), np.int64)
-                for level in turn:
-                    code = code * base + _reach(x, level).argmax(axis=1)
-                values, n = np.unique(code, return_counts=True)
+            codes = _codes(_padded(_matrix(b.column(0), dims), longest), planes)
+            for t in range(TREES):
+                values, n = np.unique(codes[:, t], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(values), t), pa.int32()), pa.array(values), pa.array(n, pa.int64())], ["tree", "code", "n"])
 
     hashed = rows.select("vec").mapInArrow(strings, "tree int, code bigint, n bigint")
     hashed = stored(hashed.groupBy("tree", "code").agg(F.sum("n").alias("n")), "strings")
-    leaves = spark.sparkContext.broadcast(np.array(_leaves(hashed, base, total), np.int64))
-    wanted = max(visited_share * total, VISITED)
+    sample = _sampled(rows, dims, longest, k)
+    found_leaves = _leaves(hashed, total, LEAF_SHARE)
+    wanted = _enough(*sample, found_leaves, k, recall)
+    larger = wanted / total / VISITS
+    if larger > LEAF_SHARE:
+        found_leaves = _leaves(hashed, total, larger)
+        wanted = _enough(*sample, found_leaves, k, recall)
+    shared = spark.sparkContext.broadcast(found_leaves)
 
     def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, first, depth, held = leaves.value.T
-        slices = -(-held // SLICE)
-        turns = [_turns(dims + 1, t) for t in range(TREES)]
-        bounds = [np.nonzero(tree == t)[0] for t in range(TREES)]
+        leaves = shared.value
+        slices = -(-leaves[:, 3] // SLICE)
+        planes = _planes(dims + 1)
 
         def out(at, leaf, piece, is_query, b):
             return pa.RecordBatch.from_arrays(
@@ -143,28 +233,15 @@ def nearest(
             vec = _matrix(b.column(1), dims)
             ids = b.column(0).to_numpy()
             every = np.arange(len(vec))
-            x = _padded(vec, longest)
-            for t, turn in enumerate(turns):
-                code = np.zeros(len(x), np.int64)
-                for level in turn:
-                    code = code * base + _reach(x, level).argmax(axis=1)
-                leaf = bounds[t][np.searchsorted(first[bounds[t]], code, "right") - 1]
-                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            codes = _codes(_padded(vec, longest), planes)
+            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            for t in range(TREES):
+                leaf = _leaf_of(codes, leaves, t)
                 yield out(every, leaf, spread % slices[leaf], False, b)
             asks = np.nonzero(b.column(2).to_numpy(zero_copy_only=False))[0]
             for i in range(0, len(asks), BLOCK):
                 at = asks[i:i + BLOCK]
-                q = np.concatenate([vec[at] / np.linalg.norm(vec[at], axis=1, keepdims=True), np.zeros((len(at), 1))], axis=1)
-                move = np.zeros((len(at), len(tree)))
-                for t, turn in enumerate(turns):
-                    own = bounds[t]
-                    for level in range(DIGITS):
-                        reach = _reach(q, turn[level])
-                        gap = (reach.max(axis=1, keepdims=True) - reach) ** 2
-                        digit = first[own] // base ** (DIGITS - level - 1) % base
-                        move[:, own] += np.where(depth[own] > level, gap[:, digit], 0)
-                order = np.argsort(move, axis=1, kind="stable")
-                before = np.cumsum(held[order], axis=1) - held[order]
+                order, before = _ascent(_codes(_asked(vec[at]), planes), leaves)
                 who, place = np.nonzero(before < wanted)
                 leaf = order[who, place]
                 n = slices[leaf]

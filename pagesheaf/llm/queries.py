@@ -44,7 +44,7 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), k=20, visited_share=0.5)
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, recall=0.95)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

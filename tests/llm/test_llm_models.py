@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 from fixtures import documents, empty, pairs, prose  # noqa: E402
@@ -162,7 +163,7 @@ def test_nearest_finds_all_in_small_tables(spark):
     rows = [(i, [float(v) for v in r], "x") for i, r in enumerate(x)]
     bad = [(200, [0.0] * 6, ""), (220, None, ""), (240, [float("nan")] * 6, ""), (260, [None] * 6, ""), (None, [1.0] * 6, ""), (280, [1.0], "")]
     table = spark.createDataFrame(rows + bad + rows[:3], "vec_id bigint, embedding array<double>, score string")
-    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in forest.nearest(table, k=20).collect()]
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in forest.nearest(table, k=20, recall=1.0).collect()]
     products = x @ x.T
     want = []
     for i in range(0, 150, 20):
@@ -175,7 +176,6 @@ def test_nearest_finds_all_in_small_tables(spark):
 
 
 def test_nearest_recall_with_split_leaves_and_slices(spark, monkeypatch):
-    monkeypatch.setattr(forest, "VISITED", 100)
     monkeypatch.setattr(forest, "SLICE", 100)
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal((600, 16)) + 4 * rng.standard_normal((1, 16)) for _ in range(4)])
@@ -193,6 +193,55 @@ def test_nearest_recall_with_split_leaves_and_slices(spark, monkeypatch):
     assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
 
 
+def recall_of(spark, x, monkeypatch, queries):
+    """Recall of the first 20 for some queries, and the strings that were held to be enough, by the rule of production."""
+    seen = []
+    measure = forest._enough
+    monkeypatch.setattr(forest, "_enough", lambda *a: seen.append(measure(*a)) or seen[-1])
+    names = "vec_id bigint, embedding array<float>, vec string, query string, leaf string, slice int, tree int, code int"
+    table = spark.createDataFrame([(i, r, "v", "q", "l", 1, 2, 3) for i, r in enumerate(x.tolist())], names)
+    got = forest.nearest(table, F.col("vec_id") % queries == 0).collect()
+    monkeypatch.undo()
+    asked = np.arange(0, len(x), queries)
+    products = x[asked].astype(float) @ x.T.astype(float)
+    products[np.arange(len(asked)), asked] = -np.inf
+    best = {(int(q), int(v)) for q, row in zip(asked, np.argsort(-products, axis=1)[:, :20]) for v in row}
+    return len(best & {(r.query_id, r.vec_id) for r in got}) / len(best), seen[-1]
+
+
+def test_nearest_recall_at_three_sizes_by_one_rule(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    for n, queries in ((2_000, 5), (20_000, 50), (60_000, 150)):
+        found, _ = recall_of(spark, rng.standard_normal((n, 32)).astype(np.float32), monkeypatch, queries)
+        assert found >= 0.92, (n, found)
+
+
+def test_nearest_visits_few_strings_where_vectors_have_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((200, 32)), 60, axis=0) + 0.1 * rng.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, enough = recall_of(spark, x.astype(np.float32), monkeypatch, 20)
+    assert found >= 0.92 and enough < 0.15 * len(x), (found, enough)
+
+
+def test_nearest_ascends_by_the_length_of_the_shared_prefix(spark):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << forest.BITS, (500, forest.TREES))
+    rows = [(t, int(c), 1) for t in range(forest.TREES) for c in codes[:, t]]
+    leaves = forest._leaves(spark.createDataFrame(rows, "tree int, code bigint, n bigint"), 500, 1 / 64)
+    assert leaves[:, 3].sum() == 500 * forest.TREES and leaves[:, 3].max() <= 500 / 64
+    order, before = forest._ascent(codes[:3], leaves)
+    for q in range(3):
+        shared = []
+        for tree, first, depth, _ in leaves[order[q]].tolist():
+            a, b = (f"{c:0{forest.BITS}b}"[:depth] for c in (int(codes[q, tree]), first))
+            shared.append(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), depth))
+        assert shared == sorted(shared, reverse=True)
+        assert before[q].tolist() == [0, *np.cumsum(leaves[order[q], 3]).tolist()][:-1]
+        held = forest._leaf_of(codes, leaves, 0)
+        assert all(leaves[at, 1] <= codes[i, 0] for i, at in enumerate(held)) and set(held) <= set(np.nonzero(leaves[:, 0] == 0)[0])
+
+
 def test_mixing_meets_the_limit_and_keeps_every_row(spark):
     docs = documents(spark)
     order = mixing.mixed_order(docs, max_passes=2.0, block_tokens=500)
