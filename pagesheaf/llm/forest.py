@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ TREES, BITS, STEP, SEED = 12, 30, 6, 5
 # A node with more than this share of all vectors is split while its strings have bits left.
 LEAF_SHARE = 1 / 1024
 # Leaves that a query visits at most, about: where it needs more strings than so many leaves hold, leaves are made larger.
-VISITS = 64
+VISITS = 32
 # Part of the true neighbours that the ascent must reach, and queries of the sample on which that is measured.
 RECALL, SAMPLE = 0.95, 200
 # Vectors of a leaf that meet in one array; a leaf with more, of equal vectors say, is dealt over several.
@@ -173,6 +174,21 @@ def _enough(asked: np.ndarray, who: np.ndarray, codes: np.ndarray, leaves: np.nd
     return max(int(np.quantile(cost, recall, method="higher")) + 1, least)
 
 
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest products of each query, each candidate once: query, rank from 0, candidate and product, in order."""
+    order = np.lexsort((-s, c, q))
+    q, c, s = q[order], c[order], s[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+    q, c, s = q[new], c[new], s[new]
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    starts = np.nonzero(np.concatenate(([True], q[1:] != q[:-1])))[0]
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    top = rank < k
+    return q[top], rank[top], c[top], s[top]
+
+
 def nearest(
     vectors: DataFrame, query: Column | None = None, k: int = 20, recall: float = RECALL,
     key: str = "vec_id", vector: str = "embedding",
@@ -190,12 +206,12 @@ def nearest(
     is_query = (F.col("vec_id") % 20 == 0) if query is None else query
     rows = stored(rows.select("vec_id", "vec", is_query.alias("query")), "vectors")
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    found = rows.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
+    found = rows.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n"), F.count_if("query").alias("asks"), F.max(square).alias("square"))
     found = found.orderBy(F.desc("n"), "dims").first()
-    result = "query_id bigint, vec_id bigint, score double"
+    result = "query_id bigint, rank int, vec_id bigint, score double"
     spark = vectors.sparkSession
     if found is None:
-        return spark.createDataFrame([], result).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+        return spark.createDataFrame([], result)
     dims, total, longest = found.dims, found.n, float(np.sqrt(found.square))
     rows = rows.where(F.size("vec") == dims)
 
@@ -280,17 +296,26 @@ def nearest(
                 best.append((ids[at][r], ids[cs][c], np.einsum("ij,ij->i", x[at][r], x[cs][c])))
         if not best:
             return
-        q, c, s = (np.concatenate(z) for z in zip(*best))
-        order = np.lexsort((c, -s, q))
-        q, c, s = q[order], c[order], s[order]
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
-        q, c, s = q[new], c[new], s[new]
+        q, _, c, s = _best(*(np.concatenate(z) for z in zip(*best)), k)
+        # One row for each query, so that few rows go to the merge.
         starts = np.nonzero(np.concatenate(([True], q[1:] != q[:-1])))[0]
-        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-        top = rank < k
-        yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(c[top]), pa.array(s[top])], ["query_id", "vec_id", "score"])
+        ends = pa.array(np.append(starts, len(q)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(z)) for z in (c, s)]
+        yield pa.RecordBatch.from_arrays([pa.array(q[starts]), *lists], ["query_id", "vec_ids", "scores"])
 
-    pairs = dealt.mapInArrow(search, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids = t["vec_ids"].combine_chunks()
+        n = pc.list_value_length(ids).to_numpy()
+        scores = t["scores"].combine_chunks().flatten().to_numpy()
+        q, rank, c, s = _best(np.repeat(t["query_id"].to_numpy(), n), ids.flatten().to_numpy(), scores, k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q), pa.array((rank + 1).astype(np.int32)), pa.array(c), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
+
+    # A query has one row from each task that holds a leaf it visits.
+    merges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.asks * VISITS // TASK_ROWS))
+    each = dealt.mapInArrow(search, "query_id bigint, vec_ids array<bigint>, scores array<double>").repartition(merges, "query_id")
+    return each.mapInArrow(merge, result)
