@@ -115,6 +115,13 @@ def test_document_table(page):
     assert row.out_path == "/o/A b - 20240102-030405/A b.md" and row.status == "ok" and row.n_bytes == len(row.md.encode())
 
 
+def test_an_element_that_never_ends_takes_no_sort_of_its_own(spark, page):
+    plan = pages_to_markdown(page("<h2>a<div>b</div><p>c"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Sort \[[^\]]*lost_no", plan)
+    html = "<div><h2>a<div>b</div></div><p>c</p><div><blockquote>d<p>e</p></div>f<h3>g"
+    assert [r.md for r in pages_to_markdown(page(html)).collect()] == ["## a\n\n## b\n\nc\n\n> d\n\n> e\n\nf\n\n### g\n"]
+
+
 def test_one_exchange_serves_the_whole_plan(spark):
     df = pages_to_markdown(scan_pages(spark, f"{SF}/pages.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
