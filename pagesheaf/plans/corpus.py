@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagesheaf import fixed
 from pagesheaf.functions import markup, names, urls
 from pagesheaf.operators import assets, links
+from pagesheaf.operators.tokens import page_partitions
 from pagesheaf.plans.markdown import pages_to_markdown
 from pagesheaf.session import staged
 
@@ -86,7 +87,7 @@ def convert_corpus(
     layout = layout.select("page_id", "mark", "title", "out_path", urls.quote_path(own_folder).alias("own_folder"))
 
     manifest = staged(assets.asset_manifest(marked, F.col("mark"), host_regex=host_regex), "assets")
-    rendered = pages_to_markdown(assets.rewrite_assets(pages, manifest), selectors)
+    rendered = pages_to_markdown(assets.rewrite_assets(pages, manifest), selectors, partitions=page_partitions(pages))
     text = F.coalesce("md", F.lit("\n")).alias("md")
     markdown = staged(
         layout.select("page_id", "mark").join(rendered, "page_id", "left").select("page_id", "mark", text, F.col("md").isNull().alias("empty")),

@@ -122,6 +122,16 @@ def test_an_element_that_never_ends_takes_no_sort_of_its_own(spark, page):
     assert [r.md for r in pages_to_markdown(page(html)).collect()] == ["## a\n\n## b\n\nc\n\n> d\n\n> e\n\nf\n\n### g\n"]
 
 
+def test_partitions_follow_the_size_of_the_pages(spark, page):
+    """A partition holds so many bytes of HTML whatever the table holds, also where adaptive execution would merge them."""
+    rows = spark.range(64).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("<p>same</p>"), 50_000).alias("html"))
+    size = 64 * 11 * 50_000
+    for df in (tokens.html_tokens(rows, cluster=True), blocks.block_segments(rows)):
+        used = df.select("page_id").distinct().select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tokens.page_partitions(rows) >= size / tokens.PARTITION_BYTES and used > 8
+    assert tokens.page_partitions(page("<p>x</p>")) is None
+
+
 def test_one_exchange_serves_the_whole_plan(spark):
     df = pages_to_markdown(scan_pages(spark, f"{SF}/pages.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
