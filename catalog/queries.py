@@ -631,7 +631,9 @@ def dedup_occurrences(spark, sf):
 
 @query
 def dedup_matches_ci(spark, sf):
-    words = fx.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("pos", "match"))
+    # Whole texts are exchanged, once, and not their words.
+    docs = tokens.clustered(fx.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], column="text")
+    words = docs.select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("pos", "match"))
     return placeholders.dedup_matches_ci(words, ["doc_id"]).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "match")
 
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from catalog.queries import QUERIES
 from pagesheaf.operators import blocks, chunks, code, tokens
 from pagesheaf.plans.markdown import markdown_documents, pages_to_blocks, pages_to_markdown
 from pagesheaf.sources.pages import scan_pages
@@ -132,6 +133,11 @@ def test_partitions_follow_the_size_of_the_pages(spark, page):
     assert tokens.page_partitions(page("<p>x</p>")) is None
 
 
+def test_words_meet_behind_one_exchange_of_whole_texts(spark):
+    plan = QUERIES["dedup_matches_ci"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [k.split("#")[0] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)] == ["doc_id"] and "_w0" not in re.search(r"hashpartitioning\(([^)]*)\)", plan).group(1)
+
+
 def test_one_exchange_serves_the_whole_plan(spark):
     df = pages_to_markdown(scan_pages(spark, f"{SF}/pages.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
