@@ -9,6 +9,7 @@ from pagesheaf import fixed
 from pagesheaf.functions import markup
 from pagesheaf.functions.text import code_text, strip
 from pagesheaf.operators.tokens import KEYS, in_order, inside_elements, pair_tags, upto_here, whole_group
+from pagesheaf.session import staged
 
 
 def _is_code_element() -> Column:
@@ -92,6 +93,8 @@ def code_blocks(
     """
     found = _marked_elements(tokens, keys)
     if span_fallback:
+        # Read three times below, and small beside the tokens it comes from.
+        found = staged(found, "marked-code")
         loose = _many_span_elements(tokens, keys, least_spans)
         others = tokens.join(found.select(*keys).distinct(), keys, "left_anti")
         loose = loose.join(found.select(*keys).distinct(), keys, "left_anti")

@@ -133,6 +133,13 @@ def test_partitions_follow_the_size_of_the_pages(spark, page):
     assert tokens.page_partitions(page("<p>x</p>")) is None
 
 
+def test_marked_elements_are_made_once_for_the_fallback(page):
+    html = "<section><span>a</span><span>=</span><span>b</span><span>c</span></section>"
+    found = code.code_blocks(tokens.html_tokens(page(html), cluster=True), span_fallback=True)
+    assert "starts" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(found.collect()) == 1
+
+
 def test_words_meet_behind_one_exchange_of_whole_texts(spark):
     plan = QUERIES["dedup_matches_ci"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert [k.split("#")[0] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)] == ["doc_id"] and "_w0" not in re.search(r"hashpartitioning\(([^)]*)\)", plan).group(1)
