@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pagesheaf.schemas import PAGES
 from pagesheaf.session import staged
 
+# Tasks of a scan of files for each core. Spark counts 4 MB for opening a file, so small ones would be read by a task for every few.
+SCAN_TASKS = 32
+
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages; only the three columns the operators use are read."""
@@ -30,12 +33,13 @@ def decode_text(df: DataFrame, content: str = "content") -> DataFrame:
 def scan_text_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """``path, n_bytes, text, status`` of text files; a file that is not UTF-8 does not fail the job.
 
-    With a ``pattern`` of file names, folders below ``path`` are read as well.
+    With a ``pattern`` of file names, folders below ``path`` are read as well. However many files there are, they are read
+    by ``SCAN_TASKS`` tasks for each core at most, one file after another.
     """
     reader = spark.read.format("binaryFile")
     if pattern is not None:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    files = reader.load(path)
+    files = reader.load(path).coalesce(SCAN_TASKS * spark.sparkContext.defaultParallelism)
     return decode_text(files).select("path", F.col("length").alias("n_bytes"), "text", "status")
 
 

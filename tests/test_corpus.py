@@ -252,6 +252,19 @@ def test_text_files(spark, tmp_path):
     assert good.count() == bad.count() == 1
 
 
+def test_many_text_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(60):
+        (tmp_path / f"{i}.md").write_text(str(i))
+    monkeypatch.setattr(io, "SCAN_TASKS", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = io.scan_text_files(spark, str(tmp_path), "*.md").select("text", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(int(r.text) for r in read) == list(range(60))
+    assert len({r.task for r in read}) <= spark.sparkContext.defaultParallelism
+
+
 def snaps(spark, rows):
     return spark.createDataFrame(rows, "page_id int, attempt int, clean boolean, height bigint, html string")
 
