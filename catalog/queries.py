@@ -415,18 +415,14 @@ def unresolved_links(spark, sf):
 
 @query
 def subdocuments(spark, sf):
-    source = fx.linked_pages(spark, sf)
-    md = plans.pages_to_markdown(fx.pages(spark, sf), ARTICLE)
-    _, members, documents = corpus.pages_with_subdocuments(source, md)
+    members, documents = corpus.linked_documents(fx.linked_pages(spark, sf), ARTICLE, texts=fx.pages(spark, sf))
     return links.subdocument_files(members, documents).select("parent_id", "child_id", "child_path", "child_md")
 
 
 @query
 def linked_documents(spark, sf):
     """Each linked page once, whatever number of pages link to it."""
-    source = fx.linked_pages(spark, sf)
-    md = plans.pages_to_markdown(fx.pages(spark, sf), ARTICLE)
-    return corpus.pages_with_subdocuments(source, md)[2]
+    return corpus.linked_documents(fx.linked_pages(spark, sf), ARTICLE, texts=fx.pages(spark, sf))[1]
 
 
 def _corpus(spark, sf):
@@ -442,12 +438,12 @@ def convert_corpus(spark, sf):
 
 @query
 def convert_corpus_children(spark, sf):
-    return _corpus(spark, sf).children
+    return corpus.corpus_children(fx.corpus_pages(spark, sf), ARTICLE)
 
 
 @query
 def convert_corpus_members(spark, sf):
-    return _corpus(spark, sf).members.select("parent_id", "url", "child_id", "child_path")
+    return corpus.linked_members(fx.corpus_pages(spark, sf))[0].select("parent_id", "url", "child_id", "child_path")
 
 
 @query

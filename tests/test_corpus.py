@@ -65,6 +65,22 @@ def test_convert_corpus(spark):
         (1, "A%20one_assets/d.pdf"), (1, "A%20one_assets/x-1.png"), (1, "A%20one_assets/x.png"), (2, "V_assets/y.png"), (3, "B%20b_assets/x.png")]
 
 
+def test_only_linked_pages_are_rendered(spark, monkeypatch):
+    url = [f"https://ws.notion.site/D-{i:032x}" for i in range(40)]
+    html = [f'<title>T{i}</title><main><p><img src="/i/x.png">text {i} <a href="{url[i // 20]}">up</a></p></main>' for i in range(40)]
+    pages = spark.createDataFrame([(i, url[i], html[i]) for i in range(40)] + [(None, None, html[1])], "page_id bigint, url string, html string")
+    rendered = []
+    plan = corpus.pages_to_markdown
+    monkeypatch.setattr(corpus, "pages_to_markdown", lambda pages, *a, **b: rendered.append(pages.count()) or plan(pages, *a, **b))
+    members, documents = corpus.linked_documents(pages)
+    children = corpus.corpus_children(pages)
+    assert rendered == [2, 2]
+    parents, all_members, all_documents = corpus.pages_with_subdocuments(pages, plan(pages))
+    whole = corpus.convert_corpus(pages, "/out", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    for few, all_of in ((members, all_members), (members, whole.members), (documents, all_documents), (children, whole.children)):
+        assert few.columns == all_of.columns and sorted(few.collect(), key=str) == sorted(all_of.collect(), key=str) != []
+
+
 def test_variant_links_and_subpages(spark):
     own = "https://ws.notion.site/A-k1"
     html = "".join(f'<a href="{h}">x</a>' for h in (own + "-2", own, own + "-2", "https://o.com/zk1", "https://o.com/k2"))
