@@ -85,6 +85,49 @@ def test_near_copy_stage_keeps_different_texts_of_one_id(spark):
     assert pipeline.near_copies(spark, empty(spark), "").count() == 0 and pipeline.near_copies(spark, documents(spark), "").columns == documents(spark).columns
 
 
+def test_sketches_drop_no_similar_sets():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for n in (0, 1, 2, 63, 64, 65, 130, 400, 3000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for keep in (1.0, 0.95, 0.89, 0.8, 0.5, 0.0):
+            other = np.unique(np.concatenate((base[: int(n * keep)], rng.integers(0, 2**64, n - int(n * keep), dtype=np.uint64))))
+            mine = np.unique(base[: max(n - n // 9, min(n, 1))] if keep == 1 else base)
+            a, b = (len(x).to_bytes(8, "little") + similar.parity_sketch(x) for x in (mine, other))
+            shared = len(np.intersect1d(mine, other))
+            assert similar._least_apart(a[8:], b[8:]) <= len(mine) + len(other) - 2 * shared
+            alike = shared >= 0.8 * (len(mine) + len(other) - shared) - 1e-9
+            may = similar.may_be_similar(a, b, 0.8)
+            assert may == similar.may_be_similar(b, a, 0.8) and (may or not alike)
+            dropped += not may
+    assert dropped >= 15
+
+
+def test_texts_move_only_for_pairs_that_sketches_allow(spark, monkeypatch):
+    texts = [" ".join(f"w{(7 * i) ** 2 + j}" for j in range(60)) for i in range(40)]
+    texts.append(texts[0].replace("w59", "x"))
+    nodes = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "node bigint, text string").repartition(3)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 41)], "u bigint, v bigint")
+    moved, compared = [], similar._compared
+    monkeypatch.setattr(similar, "_compared", lambda pairs, *a: moved.append(pairs.count()) or compared(pairs, *a))
+    got = similar._verified(pairs, nodes, similar.sketches(nodes, 5), 5, 0.8, "test-links").collect()
+    assert [tuple(r) for r in got] == [(40, 0)] and moved == [40, 1]
+
+
+def test_pipeline_sends_small_batches(spark):
+    from pagesheaf.llm.common import BATCH_ROWS, small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("500", 500)):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_search_query_is_the_whole_text(spark, monkeypatch, tmp_path):
     """Query 20 has 60 rare words and a long passage of middling ones; documents with its passage beat one rare word."""
     monkeypatch.setattr(search, "SHARD_DOCS", 40)
