@@ -6,13 +6,16 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 
 from fixtures import documents, empty  # noqa: E402
+from test_llm_models import bm25  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
 from pagesheaf.llm import queries, search, similar  # noqa: E402
+from pagesheaf.llm.common import stored  # noqa: E402
 
 
 def test_packing_query_packs_tokens(spark, tmp_path):
@@ -156,3 +159,31 @@ def test_search_query_is_the_whole_text(spark, monkeypatch, tmp_path):
         ranked = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
         want += [(q, r, d, round(s, 7)) for r, (d, s) in enumerate(ranked, 1)]
     assert got == sorted(want) and {d for q, _, d, _ in got if q == 20} <= set(range(41, 56))
+
+
+@pytest.mark.parametrize("docs_, postings, entries", [(7, 1 << 20, 1 << 20), (12_000, 90, 1 << 20), (12_000, 1 << 20, 300), (1, 1, 1)])
+def test_search_in_shards_and_chunks(spark, monkeypatch, docs_, postings, entries):
+    """Equal documents in different shards, and a query whose own document is in one of them: ties go to the smaller id."""
+    for name, value in (("SHARD_DOCS", docs_), ("SHARD_POSTINGS", postings), ("CHUNK_ENTRIES", entries), ("BLOCK_DOCS", 2)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"m{x}" for x in rng.integers(0, 30, 1 + i % 25))) for i in range(1, 61)]
+    rows += [(i + 100, t) for i, t in rows] + [(300, "only"), (320, ""), (340, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 7)) for r in search.top_documents(docs, k=4).collect())
+    assert got == bm25(rows, 4, None) and {q for q, *_ in got} == {20, 40, 60, 120, 140, 160}
+
+
+def test_search_moves_no_postings(spark):
+    docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(50)], "doc_id bigint, text string").repartition(2)
+    index = search._index(stored(docs, "test-docs"), "")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sum(len(r.doc_ids) // 8 for r in index.collect()) == 50
+
+
+def test_search_hashes_tell_terms_apart(spark, monkeypatch):
+    stats = spark.createDataFrame([("a", 1), ("b", 1), (None, 2)], "term string, df bigint")
+    assert search._unlike(stats) == ""
+    told = search._hash
+    monkeypatch.setattr(search, "_hash", lambda salt: told(salt) if salt else F.xxhash64(F.lit(1)))
+    assert search._unlike(stats) == "\x00"
