@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesheaf.llm.common import stored
@@ -139,6 +139,13 @@ def _links_of_task(homes: tuple, reps: tuple, threshold: int) -> tuple[np.ndarra
     return names[label[own]], names[own]
 
 
+def _pattern_table(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows (side, syn, err). From Arrow: a list of rows would start Python workers of another kind beside those of the
+    other stages, and both stay."""
+    types = {"side": pa.int32(), "syn": pa.int32(), "err": pa.int64()}
+    return spark.createDataFrame(pa.table({c: pa.array(x, t) for (c, t), x in zip(types.items(), zip(*rows))}))
+
+
 def near_links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp``; they span the components of all pairs within ``threshold``.
 
@@ -151,7 +158,7 @@ def near_links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     rows = [(0, s, e) for s, e in patterns(RADIUS + left)]
     rows += [(1, s, e) for s, e in patterns(RADIUS + max(threshold - left - 1, 0))]
     # The tables of patterns depend on the threshold alone: 32 x (156 + 16) rows for 4 bits.
-    table = F.broadcast(spark.createDataFrame(rows, "side int, syn int, err bigint"))
+    table = F.broadcast(_pattern_table(spark, rows))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), _half(F.col("fp"), s).alias("part")) for s in (0, 1)]))
     n = fps.count()
     tasks = max(1, -(-n * len(rows) // 32 // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -135,6 +135,14 @@ def test_every_syndrome_has_the_same_number_of_anchors():
     assert set(Counter(s for s, _ in simhash.patterns(3)).values()) == {156}
 
 
+def test_patterns_need_no_python_workers(spark):
+    rows = [(0, 3, 5), (1, 2, 1 << 30)]
+    table = simhash._pattern_table(spark, rows)
+    assert [tuple(r) for r in table.collect()] == rows
+    assert table.schema.simpleString() == "struct<side:int,syn:int,err:bigint>"
+    assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = simhash.keep_one(docs)
