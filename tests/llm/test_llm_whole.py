@@ -187,3 +187,41 @@ def test_search_hashes_tell_terms_apart(spark, monkeypatch):
     told = search._hash
     monkeypatch.setattr(search, "_hash", lambda salt: told(salt) if salt else F.xxhash64(F.lit(1)))
     assert search._unlike(stats) == "\x00"
+
+
+def test_sketches_are_compared_in_arrays():
+    """In arrays as one by one; texts of 8 to 2,100 shingles, so that sketches have several lengths."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 8, 60, 64, 65, 120, 129, 300, 520, 1500, 2100):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[: int(n * k)], rng.integers(0, 2**64, m, dtype=np.uint64)))) for k in (1, 0.95, 0.9, 0.5) for m in (0, n // 9)]
+    values = [len(x).to_bytes(8, "little") + similar.parity_sketch(x) for x in sets]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    near = similar._Sketches(pa.array([b"", *values], pa.binary())[1:]).may_be_similar(i, j, 0.8)
+    for a, b, got in zip(i, j, near):
+        longer, shorter = sorted((len(values[a]), len(values[b])), reverse=True)
+        assert got == (longer - 8 > 2 * (shorter - 8) or similar.may_be_similar(values[a], values[b], 0.8))
+
+
+def test_pairs_of_large_keys_leave_their_task_only_if_sketches_allow(spark, monkeypatch):
+    """Sixty texts that share a passage of frequent shingles, two of which are near copies."""
+    monkeypatch.setattr(similar, "LATE", 99)
+    passage = " ".join(f"common{i}" for i in range(30))
+    texts = [f"{passage} " + " ".join(f"t{i}w{j}" for j in range(25)) for i in range(60)]
+    texts.append(texts[59].replace("w24", "x"))
+    nodes = [(int(similar._node(similar.shingle_set(x, 5))), x) for x in texts]
+    moved, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *a: moved.append(sorted(map(tuple, pairs.distinct().collect()))) or verified(pairs, *a))
+    similar.similar_links(spark.createDataFrame(nodes, "node bigint, text string"), 5, 0.8).count()
+    near = {nodes[59][0], nodes[60][0]}
+    assert all(set(p) == near for p in moved[1])
+
+
+def test_only_texts_of_pairs_are_exchanged(spark):
+    values = spark.range(20_000).select(F.col("id").alias("node"), F.col("id").cast("string").alias("value"))
+    pairs = spark.createDataFrame([(5, 7), (7, 19_999)], "u bigint, v bigint")
+    got = {r.node for r in similar._of_pairs(values, pairs).collect()}
+    assert {5, 7, 19_999} <= got and len(got) < 10
